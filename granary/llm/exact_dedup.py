@@ -67,8 +67,11 @@ def exact_dedup(
     depth, buckets = directory(heads, capacity)
     # the directory: 2**depth slots (65,536 at most), each pointing to a bucket
     slots = [(s, k) for k, d, p in buckets for s in range(p << (depth - d), (p + 1) << (depth - d))]
-    where = F.broadcast(spark.createDataFrame(slots, "slot long, bucket int"))
-    index = heads.withColumn("slot", _slot(F.col("h"), depth)).join(where, "slot").select("bucket", "h", "n")
+    if depth:
+        where = F.broadcast(spark.createDataFrame(slots, "slot long, bucket int"))
+        index = heads.withColumn("slot", _slot(F.col("h"), depth)).join(where, "slot").select("bucket", "h", "n")
+    else:
+        index = heads.select(F.lit(0).alias("bucket"), "h", "n")
     index = materialize(index.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "dedup-index")
 
     chained = index.where("n > 1").select("bucket", "h")

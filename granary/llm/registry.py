@@ -1,9 +1,11 @@
 """Queries of the text operators, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_files
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_files": token_files.op8_token_files,
     "op9_mixing": mixing.op9_mixing,
 }
 SQL = {
