@@ -1,14 +1,17 @@
 """Queries of the text operators, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, mixing, packing, token_files
+from . import exact_dedup, mixing, packing, simhash, token_files, topk_search
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_topk_search": topk_search.op6_topk_search,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_mixing": mixing.op9_mixing,
 }
 SQL = {
+    "op6_topk_search": topk_search.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }
