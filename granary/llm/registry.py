@@ -1,10 +1,13 @@
 """Queries of the text operators, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, mixing, packing, simhash, token_files, topk_search
+from . import exact_dedup, importance, language_id, mixing, packing, simhash, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_importance": importance.op5_importance,
     "op6_topk_search": topk_search.op6_topk_search,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
