@@ -1,8 +1,9 @@
 """Queries of the text operators, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, importance, language_id, mixing, packing, simhash, token_files, topk_search, toxicity
+from . import exact_dedup, importance, language_id, lm_scoring, mixing, packing, simhash, token_files, topk_search, toxicity
 
 QUERIES = {
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op1_packing": packing.op1_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
