@@ -1,2 +1,401 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the benchmark tables, one for each strategy and the primitives below them, with their SQL where it exists."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import reducers as R
+from ..operators import splitters as P
+from ..roles import Columns
+
+DOCS, PARTS = Columns(id="doc_id", sequence="text"), Columns(id="p_partkey", sequence="p_name")
+VECS, EVENTS, ORDERS = Columns(id="vec_id"), Columns(id="event_id"), Columns(id="o_orderkey")
+BENCH = Columns(id="item_id", sequence="text")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _kept(result: R.ReductionResult, id_col: str) -> DataFrame:
+    return result.kept.select(F.col(id_col).alias("id"), F.col(next(c for c in result.kept.columns if c.endswith("cluster_id"))).alias("cluster_id"))
+
+
+# ---- reducers -------------------------------------------------------------------------------------------------------
+
+
+@query("select min(doc_id) as id, 'exact:' || min(doc_id) as cluster_id from documents group by text")
+def reduce_exact(spark, sf_dir):
+    return _kept(R.Exact().run(_read(spark, sf_dir, "documents"), DOCS), "doc_id")
+
+
+@query("""
+with m as (select doc_id, min(doc_id) over (partition by text) as r from documents)
+select doc_id::varchar as removed_id, r::varchar as representative_id, 'exact:' || r as cluster_id, 1.0::double as score from m where doc_id <> r""")
+def reduce_exact_mapping(spark, sf_dir):
+    return R.Exact().run(_read(spark, sf_dir, "documents"), DOCS).mapping
+
+
+@query("""
+with m as (select p_partkey, min(p_partkey) over (partition by p_name) as r from part)
+select p_partkey::varchar as removed_id, r::varchar as representative_id, 'exact:' || r as cluster_id, 1.0::double as score from m where p_partkey <> r""")
+def reduce_exact_parts(spark, sf_dir):
+    return R.Exact().run(_read(spark, sf_dir, "part"), PARTS).mapping
+
+
+#: Sequential greedy over edges (p, c): each step takes the next row and keeps it unless a kept row precedes it.
+GREEDY = """
+ord as materialized (select id, row_number() over (order by id) as rn from nodes),
+adj as materialized (select c as id, list(p) as earlier from edges group by c),
+step as (
+  select 0::bigint as rn, []::bigint[] as kept
+  union all
+  select s.rn + 1, case when a.earlier is not null and list_has_any(a.earlier, s.kept) then s.kept else list_append(s.kept, o.id) end
+  from step s join ord o on o.rn = s.rn + 1 left join adj a on a.id = o.id),
+kept as materialized (select unnest(kept) as id from step where rn = (select max(rn) from step))
+"""
+COSINE = """
+v as materialized (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as materialized (select id, list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) as e from v),
+nodes as materialized (select id from v),
+edges as materialized (
+  select a.id as p, b.id as c, round(list_inner_product(a.e, b.e), 9) as score
+  from u a join u b on a.id < b.id where round(list_inner_product(a.e, b.e), 9) >= 0.3)
+"""
+
+
+@query(f"with recursive {COSINE} select p, c, round(score, 6) as score from edges")
+def cosine_pairs(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", V.unit(F.col("embedding").cast("array<double>")).alias("v"))
+    return V.close_pairs(e, "vec_id", "v", 0.3, "cosine").select(F.col("a").alias("p"), F.col("b").alias("c"), F.round("score", 6).alias("score"))
+
+
+def _cosine(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return R.EmbeddingCosine(embeddings=e.select("vec_id", "embedding"), embedding_id="vec_id", threshold=0.3).run(e.select("vec_id", "label"), VECS)
+
+
+@query(f"with recursive {COSINE}, {GREEDY} select id, 'embcos:' || id as cluster_id from kept")
+def reduce_embedding_cosine(spark, sf_dir):
+    return _kept(_cosine(spark, sf_dir), "vec_id")
+
+
+MAPPED = """, m as (
+  select c, p, score, row_number() over (partition by c order by {order}) as n from edges
+  where p in (select id from kept) and c not in (select id from kept))
+select c::varchar as removed_id, p::varchar as representative_id, '{prefix}:' || p as cluster_id, round(score, 6) as score from m where n = 1"""
+
+
+@query(f"with recursive {COSINE}, {GREEDY} {MAPPED.format(order='p', prefix='embcos')}")
+def reduce_embedding_cosine_mapping(spark, sf_dir):
+    return _cosine(spark, sf_dir).mapping.withColumn("score", F.round("score", 6))
+
+
+STRUCT = COSINE.replace("where round(list_inner_product(a.e, b.e), 9) >= 0.3", "where round(1 - round(list_inner_product(a.e, b.e), 9), 9) <= 0.68")
+
+
+@query(f"with recursive {STRUCT}, {GREEDY} select id, 'struct:' || id as cluster_id from kept")
+def reduce_structural_distance(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    near = V.close_pairs(e.select("vec_id", V.unit(F.col("embedding").cast("array<double>")).alias("v")), "vec_id", "v", 0.3, "cosine")
+    edges = near.select(F.col("a").alias("id1"), F.col("b").alias("id2"), F.round(1 - F.col("score"), 9).alias("distance"))
+    return _kept(R.StructuralDistance(edges=edges, threshold=0.68).run(e, VECS), "vec_id")
+
+
+DESC = """
+z as materialized (
+  select s_suppkey as id, (s_nationkey - avg(s_nationkey) over ()) / stddev_pop(s_nationkey) over () as x,
+         (s_acctbal - avg(s_acctbal) over ()) / stddev_pop(s_acctbal) over () as y from supplier),
+nodes as materialized (select id from z),
+edges as materialized (
+  select a.id as p, b.id as c, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as score
+  from z a join z b on a.id < b.id where round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) <= 0.4)
+"""
+
+
+def _descriptors(spark, sf_dir):
+    return R.DescriptorEuclidean(threshold=0.4, descriptor_cols=["s_nationkey", "s_acctbal"]).run(_read(spark, sf_dir, "supplier"), Columns(id="s_suppkey"))
+
+
+@query(f"with recursive {DESC}, {GREEDY} select id, 'deuc:' || id as cluster_id from kept")
+def reduce_descriptor_euclidean(spark, sf_dir):
+    return _kept(_descriptors(spark, sf_dir), "s_suppkey")
+
+
+@query(f"with recursive {DESC}, {GREEDY} {MAPPED.format(order='p', prefix='deuc')}")
+def reduce_descriptor_euclidean_mapping(spark, sf_dir):
+    return _descriptors(spark, sf_dir).mapping.withColumn("score", F.round("score", 6))
+
+
+KMER = """
+seqs as materialized (select p_name as sequence, min(p_partkey) as id from part group by p_name),
+toks as materialized (
+  select distinct id, substr(sequence, i::int, 5) as t from seqs, range(1, greatest(length(sequence) - 4, 1) + 1) r(i)),
+cnt as materialized (select id, count(*) as n from toks group by id),
+shared as materialized (select a.id as p, b.id as c, count(*) as shared from toks a join toks b on a.t = b.t and a.id < b.id group by 1, 2),
+jac as materialized (
+  select s.p, s.c, s.shared, s.shared / (x.n + y.n - s.shared)::double as jaccard
+  from shared s join cnt x on x.id = s.p join cnt y on y.id = s.c),
+nodes as materialized (select id from seqs),
+{edges},
+""" + GREEDY + """,
+ends as materialized (
+  select c as cls, p as rep, score, shared from edges union all select p, c, score, shared from edges
+  union all select id, id, 1.0, 1073741824 from seqs),
+m as (
+  select r.p_partkey as id, e.rep, e.score, row_number() over (partition by r.p_partkey order by e.shared desc, e.rep) as n
+  from part r join seqs s on s.sequence = r.p_name join ends e on e.cls = s.id
+  where e.rep in (select id from kept) and e.rep < r.p_partkey)
+select id::varchar as removed_id, rep::varchar as representative_id, '{prefix}:' || rep as cluster_id, round(score, 6) as score from m where n = 1
+"""
+KMER_EDGES = "edges as materialized (select p, c, jaccard as score, shared from jac where jaccard >= 0.3)"
+IDENT_EDGES = """near as materialized (
+  select j.p, j.c, j.shared, a.sequence as x, b.sequence as y from jac j join seqs a on a.id = j.p join seqs b on b.id = j.c
+  where j.jaccard >= 0.2 and abs(length(a.sequence) - length(b.sequence)) / greatest(length(a.sequence), length(b.sequence))::double <= 0.5),
+edges as materialized (
+  select * from (
+    select p, c, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i::int, 1) = substr(y, i::int, 1)))
+                 / greatest(length(x), length(y))::double as score, shared from near) where score >= 0.4)"""
+
+
+def _kmer(spark, sf_dir):
+    return R.KmerJaccard(threshold=0.3).run(_read(spark, sf_dir, "part"), PARTS)
+
+
+@query("with recursive " + KMER.replace("{edges}", KMER_EDGES).replace("{prefix}", "kmer"))
+def reduce_kmer_jaccard_mapping(spark, sf_dir):
+    return _kmer(spark, sf_dir).mapping.withColumn("score", F.round("score", 6))
+
+
+@query("with recursive " + KMER.replace("{edges}", IDENT_EDGES).replace("{prefix}", "ident"))
+def reduce_identity_greedy_mapping(spark, sf_dir):
+    got = R.IdentityGreedy(threshold=0.4, length_tolerance=0.5).run(_read(spark, sf_dir, "part"), PARTS)
+    return got.mapping.withColumn("score", F.round("score", 6))
+
+
+@query()
+def reduce_kmer_jaccard_documents(spark, sf_dir):
+    """Whole texts of all documents; held against a sequential model in the tests."""
+    return _kept(R.KmerJaccard(threshold=0.7).run(_read(spark, sf_dir, "documents"), DOCS), "doc_id")
+
+
+@query()
+def reduce_minhash_jaccard(spark, sf_dir):
+    return _kept(R.MinhashJaccard(threshold=0.7, num_perm=64).run(_read(spark, sf_dir, "documents"), DOCS), "doc_id")
+
+
+@query()
+def reduce_homology(spark, sf_dir):
+    return _kept(R.Homology(min_seq_id=0.6, coverage=0.6).run(_read(spark, sf_dir, "part"), PARTS), "p_partkey")
+
+
+@query("""
+select d.doc_id as id, 'mmseqs2:' || d.doc_id as cluster_id from documents d
+where d.doc_id = (select min(x.doc_id) from documents x where x.text = d.text)""")
+def reduce_homology_precomputed(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("representative"))
+    clusters = docs.join(first, "text").select("representative", F.col("doc_id").alias("member"))
+    return _kept(R.Homology(clusters=clusters).run(docs, DOCS), "doc_id")
+
+
+# ---- splitters ------------------------------------------------------------------------------------------------------
+
+
+def _assigned(result, *cols) -> DataFrame:
+    return result.assigned.select(*cols)
+
+
+@query("""
+with r as (select o_orderkey as id, row_number() over (order by md5('13:' || o_orderkey), o_orderkey) as rn, count(*) over () as n from orders),
+c as (select *, round_even(n * 0.2::double, 0) as nt, round_even(n * 0.1::double, 0) as nv from r)
+select id, case when rn <= n - nt - nv then 'train' when rn <= n - nt then 'val' else 'test' end as split from c""")
+def split_random(spark, sf_dir):
+    return _assigned(P.Random(val_size=0.1).run(_read(spark, sf_dir, "orders"), ORDERS), F.col("o_orderkey").alias("id"), "split")
+
+
+@query("select o_orderkey as id, (ntile(5) over (order by md5('13:' || o_orderkey), o_orderkey) - 1)::int as fold from orders")
+def random_kfold(spark, sf_dir):
+    return _assigned(P.RandomKFold().run(_read(spark, sf_dir, "orders"), ORDERS), F.col("o_orderkey").alias("id"), "fold")
+
+
+STRATA = """
+base as materialized (select {id} as id, ({cls})::varchar as cls from {source}),
+cl as (select cls, count(*) as n, sum(count(*)) over () as total from base group by cls),
+x as (select *, total - ceil(total * 0.2::double) as first, n / total::double * (total - ceil(total * 0.2::double)) as exact from cl),
+f as (select *, floor(round(exact, 9)) as fl, row_number() over (order by round(exact - floor(round(exact, 9)), 9) desc, cls) as nth, sum(floor(round(exact, 9))) over () as got from x),
+t as (select cls, fl + case when nth <= first - got then 1 else 0 end as take from f),
+r as (select b.id, b.cls, row_number() over (partition by b.cls order by md5('13:' || b.id), b.id) as rn from base b)
+select r.id, case when r.rn <= t.take then 'train' else 'test' end as split from r join t on t.cls = r.cls
+"""
+DEALT = """
+base as materialized (select {id} as id, ({cls})::varchar as cls from {source}),
+o as (select cls, coalesce(sum(count(*)) over (order by cls rows between unbounded preceding and 1 preceding), 0) as off from base group by cls),
+r as (select id, cls, row_number() over (partition by cls order by md5('13:' || id), id) as rn from base)
+select r.id, ((o.off + r.rn - 1) % 5)::int as fold from r join o on o.cls = r.cls
+"""
+
+
+@query("with " + STRATA.format(id="event_id", cls="event_type", source="events"))
+def split_stratified(spark, sf_dir):
+    return _assigned(P.Stratified(label_col="event_type").run(_read(spark, sf_dir, "events"), EVENTS), F.col("event_id").alias("id"), "split")
+
+
+@query("with " + DEALT.format(id="o_orderkey", cls="o_orderpriority", source="orders"))
+def stratified_kfold(spark, sf_dir):
+    return _assigned(P.StratifiedKFold(label_col="o_orderpriority").run(_read(spark, sf_dir, "orders"), ORDERS), F.col("o_orderkey").alias("id"), "fold")
+
+
+EDGES = "ed as (select list_transform([0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9], lambda q: quantile_cont({v}, q::double)) as e from {source})"
+#: Edges differ by rounding between engines; values are compared in hundredths, edges in thousandths of these.
+BINNED = "(select len(list_filter(list_distinct((select list(q order by q) from (select unnest([{qs}]) q))), lambda b: round(b, 6) < {v})) )"
+
+
+def _deciles(table: str, value: str) -> str:
+    cols = ", ".join(f"quantile_cont({value}, {i / 10}::double) as q{i}" for i in range(1, 10))
+    return f"ed as materialized (select {cols} from {table})"
+
+
+def _bin(value: str) -> str:
+    return " + ".join(f"({value} > q{i})::int" for i in range(1, 10))
+
+
+@query(f"with {_deciles('orders', 'o_totalprice')}, " + STRATA.format(id="o_orderkey", cls=_bin("o_totalprice"), source="orders, ed"))
+def split_stratified_numeric(spark, sf_dir):
+    return _assigned(P.StratifiedNumeric(label_col="o_totalprice").run(_read(spark, sf_dir, "orders"), ORDERS), F.col("o_orderkey").alias("id"), "split")
+
+
+@query(f"with {_deciles('orders', 'o_totalprice')}, " + DEALT.format(id="o_orderkey", cls=_bin("o_totalprice"), source="orders, ed"))
+def stratified_numeric_kfold(spark, sf_dir):
+    return _assigned(P.StratifiedNumericKFold(label_col="o_totalprice").run(_read(spark, sf_dir, "orders"), ORDERS), F.col("o_orderkey").alias("id"), "fold")
+
+
+@query("select unnest(range(0, 11))::int as k, round(unnest([min(o_totalprice), " + ", ".join(f"quantile_cont(o_totalprice, {i / 10}::double)" for i in range(1, 10)) + ", max(o_totalprice)]), 6) as edge from orders")
+def numeric_bins(spark, sf_dir):
+    edges = P.bin_edges(_read(spark, sf_dir, "orders"), F.col("o_totalprice"), 10, "quantile")
+    return spark.createDataFrame(list(enumerate(edges)), "k int, edge double").withColumn("edge", F.round("edge", 6))
+
+
+GROUPS = """
+g as (select distinct {g}::varchar as g from {table}),
+r as (select g, row_number() over (order by md5('13:' || g), g) as rn, count(*) over () as n from g),
+c as (select *, ceil(n * 0.2::double) as nt, ceil((n - ceil(n * 0.2::double)) * (0.1::double / (1 - 0.2::double))) as nv from r),
+s as (select g, case when rn <= n - nt - nv then 'train' when rn <= n - nt then 'val' else 'test' end as split from c)
+"""
+
+
+@query("with " + GROUPS.format(g="user_id", table="events") + "select e.event_id as id, s.split from events e join s on s.g = e.user_id::varchar")
+def split_group(spark, sf_dir):
+    return _assigned(P.Group(group_col="user_id", val_size=0.1).run(_read(spark, sf_dir, "events"), EVENTS), F.col("event_id").alias("id"), "split")
+
+
+@query("select 0::bigint as train_test, 0::bigint as train_val, 0::bigint as val_test")
+def leak_check_group(spark, sf_dir):
+    return P.leaks(P.Group(group_col="user_id", val_size=0.1).run(_read(spark, sf_dir, "events"), EVENTS).assigned, "user_id")
+
+
+@query("""
+with recursive g as materialized (select user_id::varchar as g, count(*) as n, row_number() over (order by count(*) desc, user_id::varchar) as rn from events group by user_id),
+s as (
+  select 0::bigint as rn, [0, 0, 0, 0, 0]::bigint[] as loads, -1 as fold
+  union all
+  select s.rn + 1, list_transform(loads, lambda x, i: x + case when i = list_position(loads, list_min(loads)) then g.n else 0 end), list_position(loads, list_min(loads)) - 1
+  from s join g on g.rn = s.rn + 1)
+select e.event_id as id, s.fold::int as fold from events e join g on g.g = e.user_id::varchar join s on s.rn = g.rn""")
+def group_kfold(spark, sf_dir):
+    return _assigned(P.GroupKFold(group_col="user_id").run(_read(spark, sf_dir, "events"), EVENTS), F.col("event_id").alias("id"), "fold")
+
+
+@query("with " + GROUPS.format(g="source", table="documents") + "select d.doc_id as id, s.split from documents d join s on s.g = d.source")
+def split_cluster(spark, sf_dir):
+    got = P.ClusterAware(cluster_col="source", val_size=0.1).run(_read(spark, sf_dir, "documents"), DOCS)
+    return _assigned(got, F.col("doc_id").alias("id"), "split")
+
+
+@query("with f as (select doc_id, min(doc_id) over (partition by text)::varchar as r from documents), " + GROUPS.format(g="r", table="f") + "select f.doc_id as id, s.split from f join s on s.g = f.r")
+def split_homology_precomputed(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("representative"))
+    clusters = docs.join(first, "text").select("representative", F.col("doc_id").alias("member"))
+    got = P.HomologyAware(mode="precomputed", clusters=clusters, val_size=0.1).run(docs, DOCS)
+    return _assigned(got, F.col("doc_id").alias("id"), "split")
+
+
+@query()
+def split_homology_native(spark, sf_dir):
+    got = P.HomologyAware(min_seq_id=0.6, coverage=0.6).run(_read(spark, sf_dir, "part"), PARTS)
+    return _assigned(got, F.col("p_partkey").alias("id"), "split")
+
+
+@query("""
+with r as (select event_id as id, row_number() over (order by ts, event_id) as rn, count(*) over () as n from events),
+c as (select *, round_even(n * 0.2::double, 0) as nt, round_even(n * 0.1::double, 0) as nv from r)
+select id, case when rn <= n - nt - nv then 'train' when rn <= n - nt then 'val' else 'test' end as split from c""")
+def split_time(spark, sf_dir):
+    return _assigned(P.Time(time_col="ts", val_size=0.1).run(_read(spark, sf_dir, "events"), EVENTS), F.col("event_id").alias("id"), "split")
+
+
+@query("""
+with r as (select o_orderdate as t, row_number() over (order by o_orderdate desc, o_orderkey) as rn, count(*) over () as n from orders)
+select case when rn <= n - round_even(n * 0.2::double, 0) then 'train' else 'test' end as split, count(*) as n,
+       min(t)::date::varchar as first, max(t)::date::varchar as last from r group by 1""")
+def time_ranges(spark, sf_dir):
+    got = P.Time(time_col="o_orderdate", ascending=False).run(_read(spark, sf_dir, "orders"), ORDERS)
+    out = P.Time.ranges(got, "o_orderdate")
+    return out.select("split", "n", F.col("first").cast("date").cast("string").alias("first"), F.col("last").cast("date").cast("string").alias("last"))
+
+
+CENTRE = """
+v as materialized (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as materialized (select id, list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) as e from v),
+x as (select unnest(e) as x, unnest(range(len(e))) as k from u),
+m as materialized (select list(a order by k) as c from (select k, avg(x) as a from x group by k)),
+d as materialized (select id, round(1 - list_inner_product(e, c) / greatest(sqrt(list_inner_product(c, c)), 1e-12), 9) as d from u, m),
+r as (select *, row_number() over (order by d desc, id) as rn, count(*) over () as n from d)
+"""
+
+
+def _distance(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    how = dict(embeddings=e.select("vec_id", "embedding"), embedding_id="vec_id")
+    return e.select("vec_id", "label"), how
+
+
+@query(f"with {CENTRE} select id, case when rn <= round_even(n * 0.2::double, 0) then 'test' when rn <= round_even(n * 0.2::double, 0) + round_even(n * 0.1::double, 0) then 'val' else 'train' end as split from r")
+def split_distance_aware(spark, sf_dir):
+    df, how = _distance(spark, sf_dir)
+    return _assigned(P.DistanceAware(val_size=0.1, val_method="farthest_next", **how).run(df, VECS), F.col("vec_id").alias("id"), "split")
+
+
+@query(f"with {CENTRE} select case when rn <= round_even(n * 0.2::double, 0) then 'test' else 'train' end as split, count(*) as n, min(d) as min, max(d) as max, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as std from r group by 1")
+def distance_stats(spark, sf_dir):
+    df, how = _distance(spark, sf_dir)
+    return P.DistanceAware.distance_stats(P.DistanceAware(**how).run(df, VECS))
+
+
+@query(f"with {CENTRE} select id, (ntile(5) over (order by d desc, md5('13:' || id), id) - 1)::int as fold from r")
+def distance_aware_kfold(spark, sf_dir):
+    df, how = _distance(spark, sf_dir)
+    return _assigned(P.DistanceAwareKFold(**how).run(df, VECS), F.col("vec_id").alias("id"), "fold")
+
+
+@query("select split, event_type as label, count(*) as n from (with " + STRATA.format(id="event_id", cls="event_type", source="events") + ") s join events e on e.event_id = s.id group by all")
+def split_stats_labels(spark, sf_dir):
+    got = P.Stratified(label_col="event_type").run(_read(spark, sf_dir, "events"), EVENTS)
+    return got.assigned.groupBy("split", F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
