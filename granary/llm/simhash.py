@@ -225,14 +225,175 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---- wide radius: a shingle similarity instead of a Hamming distance of three -----------------------------------------
+#
+# At a Jaccard similarity of 0.8 two fingerprints differ in about 15 % of their bits, too many for keys that miss none.
+# So fingerprints get WIDE_BITS bits over distinct shingles, and WIDE_BITS // KEY_BITS disjoint slices are keys: at 0.8 a
+# pair shares one or more with probability 0.95, at 0.85 with 0.99. Pairs that share a key are held to the pigeonring
+# budgets and the Hamming check on CHECK_BITS bits. Copies link to each other through many keys and through each other.
+
+WIDE_BITS, KEY_BITS, CHECK_BITS = 1024, 18, 256
+#: Of CHECK_BITS, at a similarity of 0.8: 256 * acos(2 * 0.8 / 1.8) / pi is 38.6, and 46 leaves room for chance.
+WIDE_DISTANCE = 46
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """The WIDE_BITS-bit SimHash of a text's distinct shingles; blank text: zeros."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return bytes(WIDE_BITS // 8)
+    shingles = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*[w[k:] for k in range(words)])))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    seeds = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(WIDE_BITS, dtype=np.int64)
+    for at in range(0, len(h), 2048):
+        z = h[at : at + 2048, None] + seeds[None, :]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        votes += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > len(h), bitorder="little").tobytes()
+
+
+def _ring_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of check words (n x 4) keep, from some start on the ring of eight segments, every chain's budget."""
+    seg = np.bitwise_count((a ^ b).view(np.uint32)).astype(np.int16)
+    ring = np.concatenate([np.zeros((len(seg), 1), np.int16), np.cumsum(np.concatenate([seg, seg], axis=1), axis=1, dtype=np.int16)], axis=1)
+    out, live = np.zeros(len(seg), dtype=bool), np.arange(len(seg))
+    viable = np.ones((len(seg), SEGMENTS), dtype=bool)
+    for l in range(1, SEGMENTS + 1):
+        viable &= ring[:, l : l + SEGMENTS] - ring[:, :SEGMENTS] <= l * WIDE_DISTANCE / SEGMENTS
+        left = viable.any(axis=1)
+        if not left.all():
+            live, ring, viable = live[left], ring[left], viable[left]
+    out[live] = True
+    return out
+
+
+def _wide_keys(batches):
+    """(sig, node) to (key, node, w0..w3): a row for each slice."""
+    import pyarrow as pa
+
+    tables = WIDE_BITS // KEY_BITS
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            m = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            bits = np.unpackbits(m, axis=1, bitorder="little")[:, : tables * KEY_BITS].reshape(part.num_rows, tables, KEY_BITS)
+            keys = bits.astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << KEY_BITS)[None, :]
+            words = np.ascontiguousarray(m[:, : CHECK_BITS // 8]).view(np.int64)
+            nodes = part.column("node").to_numpy(zero_copy_only=False)
+            cols = [keys.ravel(), np.repeat(nodes, tables), *[np.repeat(words[:, k], tables) for k in range(4)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "node", "w0", "w1", "w2", "w3"])
+
+
+def _wide_search(batches):
+    """Rows sorted by key to links (a, b). A long run is read in blocks of RUN; a block also meets one row of each cluster
+    that the run's blocks before it have formed, the RUN latest of them."""
+    import pyarrow as pa
+
+    def emit(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def span(node, w):
+        """Links of a run that join what is near, and the first row of each cluster."""
+        left, found, first = np.arange(len(node)), [], []
+        while len(left):
+            first.append(left[0])
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = _ring_near(np.broadcast_to(w[x], (len(left), 4)), w[left])
+                found += [(node[x], node[y]) for y in left[near]]
+                queue += left[near].tolist()
+                left = left[~near]
+        return found, np.array(first, dtype=np.int64)
+
+    held = roots = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            new = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "node", "w0", "w1", "w2", "w3")]
+            new = [new[0], new[1], np.stack(new[2:], axis=1)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if held is None or not len(held[0]):
+            continue
+        key, node, w = held
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        if batch is not None:  # the last run may go on: it waits, but for blocks that are full
+            cut = begin[-1] + (len(key) - begin[-1]) // RUN * RUN
+            held = [x[cut:] for x in held]
+        else:
+            cut, held = len(key), None
+        key, node, w = key[:cut], node[:cut], np.ascontiguousarray(w[:cut])
+        if not len(key):
+            continue
+        begin = begin[begin < cut]
+        size = np.diff(np.concatenate([begin, [cut]]))
+        each = np.repeat(size, size)
+        small = np.flatnonzero((each > 1) & (each <= SMALL))
+        k, n, v = key[small], node[small], w[small]
+        for gap in range(1, SMALL):
+            same = np.flatnonzero(k[gap:] == k[:-gap]) if len(k) > gap else []
+            if not len(same):
+                break
+            ok = same[_ring_near(v[same], v[same + gap])]
+            if len(ok):
+                yield emit(list(zip(n[ok], n[ok + gap])))
+        for at, many in zip(begin, size):
+            same = roots is not None and roots[0] == key[at]
+            if many <= SMALL and not same:
+                continue
+            for a in range(at, at + many, RUN):
+                b = min(a + RUN, at + many)
+                run_n, run_w = node[a:b], w[a:b]
+                if roots is not None and roots[0] == key[at]:
+                    run_n, run_w = np.concatenate([roots[1], run_n]), np.concatenate([roots[2], run_w])
+                found, first = span(run_n, np.ascontiguousarray(run_w))
+                if found:
+                    yield emit(found)
+                roots = (key[at], run_n[first][-RUN:], run_w[first][-RUN:])
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def similar(df: DataFrame, row_col: str, text_col: str = "text", words: int = 5) -> DataFrame:
+    """(node, root): components of the rows of df (by a unique integer column) whose shingle similarity is about 0.8 or more.
+    Rows that resemble no other are absent."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sigs = [wide_fingerprint(t, words) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sigs, pa.binary())], ["row", "sig"])
+
+    light = df.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    prints = materialize(light.mapInArrow(run, "row long, sig binary"), "wide-fingerprints")
+    classes = materialize(prints.groupBy("sig").agg(F.min("row").alias("node"), F.count("*").alias("n")), "wide-classes")
+    keyed = classes.select("sig", "node").mapInArrow(_wide_keys, "key long, node long, w0 long, w1 long, w2 long, w3 long")
+    links = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_wide_search, "a long, b long").distinct()
+    near = components(links)
+    # copies of one fingerprint share its class's component
+    named = classes.join(near, "node", "left").select("sig", "n", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "node").alias("root"))
+    return prints.join(named.where("n > 1 or linked").select("sig", "root"), "sig").select(F.col("row").alias("node"), "root")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """df with one row of each component, that of the smallest id; columns unchanged."""
+    """df with one row of each group of similar texts, that of the smallest id; columns unchanged."""
     rows_, row = with_row(df, "simhash-rows")
-    found = near_duplicates(rows_, row, text_col, words)
-    first = rows_.select(F.col(row), F.col(id_col).alias("id")).join(found.select(F.col("doc_id").alias(row), "component_id"), row)
-    best = first.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", F.col(row).alias("r"))).alias("b"))
-    keep = best.select(F.col("b.r").alias(row))
-    return rows_.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    near = similar(rows_, row, text_col, words)
+    ids = rows_.select(F.col(row).alias("node"), F.col(id_col).alias("id"))
+    grouped = materialize(near.join(ids, "node"), "simhash-groups")
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "node")).alias("b")).select(F.col("b.node").alias("node"))
+    gone = grouped.select("node").join(best, "node", "left_anti").select(F.col("node").alias(row))
+    return rows_.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
