@@ -46,7 +46,7 @@ def read_embeddings(spark: SparkSession, matrix: str, ids: str, id_col: str | No
         raise ValueError(f"{len(names)} ids for {len(m)} rows")
     kind, parts = ("long" if names.dtype.kind == "i" else "string"), []
     for at in range(0, len(m), 50_000):
-        rows = pd.DataFrame({"id": names[at : at + 50_000], "embedding": list(np.asarray(m[at : at + 50_000], dtype=dtype))})
+        rows = pd.DataFrame({"id": names[at : at + 50_000], "embedding": np.asarray(m[at : at + 50_000], dtype=dtype).tolist()})
         parts.append(spark.createDataFrame(rows, f"id {kind}, embedding array<{'float' if dtype == 'float32' else 'double'}>"))
     out = parts[0]
     for p in parts[1:]:
