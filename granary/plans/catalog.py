@@ -262,11 +262,6 @@ def stratified_kfold(spark, sf_dir):
     return _assigned(P.StratifiedKFold(label_col="o_orderpriority").run(_read(spark, sf_dir, "orders"), ORDERS), F.col("o_orderkey").alias("id"), "fold")
 
 
-EDGES = "ed as (select list_transform([0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9], lambda q: quantile_cont({v}, q::double)) as e from {source})"
-#: Edges differ by rounding between engines; values are compared in hundredths, edges in thousandths of these.
-BINNED = "(select len(list_filter(list_distinct((select list(q order by q) from (select unnest([{qs}]) q))), lambda b: round(b, 6) < {v})) )"
-
-
 def _deciles(table: str, value: str) -> str:
     cols = ", ".join(f"quantile_cont({value}, {i / 10}::double) as q{i}" for i in range(1, 10))
     return f"ed as materialized (select {cols} from {table})"
