@@ -127,7 +127,8 @@ def _search(batches):
 
     def further(key, start, mask, fp):
         """The rows of a long run under four more keys each."""
-        free = [p for p in range(64) if not int(mask) >> p & 1]
+        mask = int(mask) & (1 << 64) - 1
+        free = [p for p in range(64) if not mask >> p & 1]
         for j, part in enumerate(np.array_split(np.array(free), 4)):
             bits = sum(1 << int(p) for p in part)
             with np.errstate(over="ignore"):
@@ -135,7 +136,7 @@ def _search(batches):
                 z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 z ^= z >> np.uint64(31)
-            new = int(mask) | bits
+            new = mask | bits
             new = new - (1 << 64) if new >> 63 else new
             yield out(1, z.view(np.int64), np.full(len(fp), start), np.full(len(fp), new), fp, fp)
 
