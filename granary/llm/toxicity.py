@@ -29,7 +29,7 @@ from .tokens import rows
 
 DIM, PREFIX = 1 << 18, 4
 POSITIVES, UNLABELLED, MEMBERS = 4000, 12000, 3
-MEMO = 1 << 18
+MEMO = 1 << 16
 CHANCE = 3.0  # standard deviations
 EDGES = ".,;:!?|%&*#$()[]{}<>\"'-_/\\"
 
@@ -90,11 +90,20 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int, e
             w = w - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     full = np.zeros(DIM + 1)
     full[:DIM][used] = w[:-1]
-    scores = np.array([v * w[i].sum() for i, v in unl])
-    full[-1] = -np.quantile(scores, 1 - prior) if len(scores) else 0.0
+    full[-1] = -_cut(np.array([v * w[i].sum() for i, v in unl]), prior)
     return full
 
 
+def _cut(scores: np.ndarray, prior: float) -> float:
+    """The score that about the prior's share reaches. Equal scores fall on one side: on the lower, if they are too many."""
+    up, k = np.sort(scores)[::-1], int(round(prior * len(scores)))
+    if k and np.count_nonzero(up >= up[k - 1]) <= 1.5 * k + 1:
+        lower = up[up < up[k - 1]]
+        return float(up[k - 1] + lower[0]) / 2 if len(lower) else float(up[k - 1])
+    above = up[up > up[max(k - 1, 0)]]
+    return float(above[-1] + up[max(k - 1, 0)]) / 2 if len(above) else float(up[0]) + 0.5
+
+
 def learn(df: DataFrame, toxic: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 1) -> np.ndarray:
     """The averaged classifiers of df's rows, of which toxic labels some."""
     known = toxic.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))

@@ -333,6 +333,12 @@ def test_toxicity(spark, hard):
     assert 0 < toxicity.score(df, nothing).first().score < 0.5
 
 
+def test_equal_scores_stay_below_the_cut():
+    assert toxicity._cut(np.zeros(50), 0.1) > 0
+    assert 1 < toxicity._cut(np.array([5.0] * 3 + [1.0] * 40), 0.1) < 5
+    assert 3 < toxicity._cut(np.arange(10.0), 0.6) < 4
+
+
 def test_language_model(hard):
     model = lm_scoring.train(hard)
     got = lm_scoring.score(hard, model).collect()
