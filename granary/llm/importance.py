@@ -25,7 +25,7 @@ from .common import materialize, table
 from .tokens import rows
 
 BUCKETS, SMOOTH, TEMPER, KEEP = 1 << 16, 1.0, 16, 0.85
-MEMO = 1 << 18
+MEMO, MARKED = 1 << 17, 1 << 20
 
 
 class Bags:
@@ -82,7 +82,9 @@ def resample(df: DataFrame, good: DataFrame, keep: float = KEEP, id_col: str = "
     """doc_id, log_weight, gumbel_key, selected for each row of df; good: ids of target rows. keep: the share drawn."""
     marks = good.select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    flagged = ids.join(marks, "id", "left").withColumn("flag", F.coalesce("good", F.lit(False)))
+    # a broadcast spares a shuffle of all texts while the marked ids are few; they are counted, and beyond that both sides move
+    few = marks.count() <= MARKED
+    flagged = ids.join(F.broadcast(marks) if few else marks, "id", "left").withColumn("flag", F.coalesce("good", F.lit(False)))
     ratio = log_ratio(*bucket_counts(flagged, "text", "flag"))
     sent = df.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))  # BUCKETS numbers
 

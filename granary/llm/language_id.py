@@ -4,11 +4,11 @@ A profile is a language's PROFILE most frequent n-grams of one to three letters,
 own most frequent n-grams are compared to each profile by the out-of-place distance: the sum of rank differences,
 PROFILE for an n-gram that the profile lacks. The nearest profile names the language.
 
-Profiles come from labelled rows, at most SAMPLE for each language, taken by hash; they are a fixed number of n-grams
+Profiles come from labelled rows, about SAMPLE for each language (all, if fewer), taken by hash; they are a fixed number of n-grams
 for each language. Whole texts are counted: n-grams of each distinct word once, weighted by the word's occurrences.
 
 Edge cases. Null text and text without a letter: und, score 0. Letters are lower-cased; all else separates words. Equal
-counts rank by n-gram, equal distances by language name. Without labelled rows all is und. Repeated rows get a row each.
+counts rank by n-gram, equal distances by language name. Without labelled rows all is und; over LANGUAGES labels are an error. Repeated rows get a row each.
 An empty table gives an empty result.
 """
 
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fold, materialize, table
+from .common import fold, table
 from .tokens import rows
 
 PROFILE, ORDERS, SAMPLE = 300, (1, 2, 3), 2000
-MEMO = 1 << 16
+MEMO, LANGUAGES = 1 << 16, 10_000
 UNKNOWN = "und"
 
 
@@ -110,14 +110,14 @@ class Grams:
 def profiles(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, dict[str, int]]:
     """For each language its n-grams' ranks, from df's labelled rows."""
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(3), F.col(id_col)).alias("at"), F.col(text_col).alias("text")
+        F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit(3), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("at"), F.col(text_col).alias("text")
     )
-    # the hash below which a language's SAMPLE smallest lie: a histogram of hashes, then rows below that
-    part = F.shiftrightunsigned("at", 52)
-    sizes = known.groupBy("lang", part.alias("part")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("lang").orderBy("part"))
-    taken = sizes.withColumn("before", upto - F.col("n")).where(F.col("before") < SAMPLE).select("lang", "part")
-    picked = known.withColumn("part", part).join(F.broadcast(taken), ["lang", "part"])
+    # a hash threshold for each language: all its rows, or a share that comes to SAMPLE on average
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = sizes.select("lang", F.when(F.col("n") > SAMPLE, SAMPLE / F.col("n")).otherwise(1.0).alias("share"))
+    if share.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    picked = known.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("at", 11) < F.col("share") * float(1 << 53))
 
     def run(batches):
         import pyarrow as pa
