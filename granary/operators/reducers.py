@@ -268,6 +268,10 @@ class EmbeddingCosine(Reducer):
     threshold: float = 0.95
     embedding_id: str = "id"
     embedding_col: str = "embedding"
+    # accepted for compatibility: the plan, not a parameter, decides how work is spread
+    use_faiss: bool = False
+    n_jobs: int = 1
+    dtype: str = "float64"
     name, prefix, cluster_column = "embedding_cosine", "embcos", "embedding_cosine_cluster_id"
 
     def validate(self) -> None:
@@ -316,6 +320,9 @@ class DescriptorEuclidean(Reducer):
     descriptor_cols: list[str] | None = None
     standardize: bool = True
     metric: str = "euclidean"
+    # accepted for compatibility: the plan, not a parameter, decides how work is spread
+    n_jobs: int = 1
+    dtype: str = "float64"
     name, prefix, cluster_column = "descriptor_euclidean", "deuc", "descriptor_euclidean_cluster_id"
 
     def validate(self) -> None:
@@ -379,6 +386,11 @@ class Homology(_Tokens):
     centres: int = 20
     representative_col: str = "representative"
     member_col: str = "member"
+    # accepted for compatibility: the plan, not a parameter, decides how work is spread
+    cluster_mode: int = 0
+    threads: int = 4
+    tmp_root: str | None = None
+    keep_tmp: bool = False
     name, prefix, cluster_column = "mmseqs2", "mmseqs2", "mmseqs2_cluster_id"
 
     def validate(self) -> None:

@@ -528,6 +528,11 @@ class HomologyAware(Splitter):
     min_seq_id: float = 0.9
     coverage: float = 0.8
     cov_mode: int = 0
+    # accepted for compatibility: the plan, not a parameter, decides how work is spread
+    mmseqs_bin: str | None = None
+    threads: int = 8
+    work_dir: str | None = None
+    keep_work: bool = False
     name = "homology_aware"
 
     def assign(self, df, cols):
@@ -624,9 +629,13 @@ class DistanceAwareKFold(_Distance):
     descriptor_prefix: str = "desc_"
     descriptor_cols: list[str] | None = None
     standardize: bool = True
+    standardize_descriptors: bool | None = None  # another name of standardize
+    drop_internal_index: bool = True
     name = "distance_aware_kfold"
 
     def assign(self, df, cols):
+        if self.standardize_descriptors is not None:
+            self.standardize = self.standardize_descriptors
         base = self.distances(df, cols)
         featured = base.agg(F.count("__d")).first()[0]
         if featured < self.n_splits:
