@@ -3,55 +3,32 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh, materialize, shared_dir
+
+__all__ = ["ASCII_SPACE", "components", "fold", "fresh", "materialize", "prepare", "shared_dir", "table", "with_row"]
+
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if the driver was started elsewhere."""
+    """Let Python workers import this package even if the driver was started elsewhere; hand them smaller batches."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [_ROOT, *paths] if p)
+    if int(spark.conf.get(_BATCH)) == 10_000:  # the default: texts are long, and a batch is held whole
+        spark.conf.set(_BATCH, "2000")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts lineage, fixes non-deterministic columns (row ids) and survives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def with_row(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df, written once, with a column that is unique for each row; and that column's name."""
     row = fresh(df, "row_id")

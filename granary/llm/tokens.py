@@ -9,6 +9,7 @@ A tokenizer of any other make encodes whole texts.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -62,7 +63,7 @@ def _make(spec: dict) -> str:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes. limit: pieces that each table keeps."""
 
-    def __init__(self, path: str, limit: int = 1 << 17):
+    def __init__(self, path: str, limit: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,8 +115,20 @@ def encoder(path: str) -> Encoder:
 
 
 def rows(batches: Iterable, *columns: str) -> Iterator[tuple]:
-    """Rows of Arrow batches, a few at a time, so that a batch of long texts isn't held twice."""
+    """Rows of Arrow batches, a few at a time, so that a batch of long texts isn't held twice. Ends with tidy()."""
     for batch in batches:
         cols = [batch.column(c) for c in columns]
         for at in range(0, batch.num_rows, ROWS):
             yield from zip(*[c.slice(at, ROWS).to_pylist() for c in cols], strict=True)
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back: Python workers live on after a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
