@@ -93,10 +93,13 @@ def exact_dedup(
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that are copies of another, its columns unchanged."""
+    """df without the rows that are copies of another, its columns unchanged.
+
+    The rows that go grow with df, so they are merged at every size, never broadcast.
+    """
     rows, row = with_row(df, "dedup-rows")
     gone = exact_dedup(rows, id_col, text_col, row_col=row).where("not kept").select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
