@@ -5,7 +5,7 @@ own most frequent n-grams are compared to each profile by the out-of-place dista
 PROFILE for an n-gram that the profile lacks. The nearest profile names the language.
 
 Profiles come from labelled rows, about SAMPLE for each language (all, if fewer), taken by hash; they are a fixed number of n-grams
-for each language. Whole texts are counted: n-grams of each distinct word once, weighted by the word's occurrences.
+for each language. Whole texts are counted.
 
 Edge cases. Null text and text without a letter: und, score 0. Letters are lower-cased; all else separates words. Equal
 counts rank by n-gram, equal distances by language name. Without labelled rows all is und; over LANGUAGES labels are an error. Repeated rows get a row each.
@@ -25,7 +25,7 @@ from .common import fold, table
 from .tokens import rows
 
 PROFILE, ORDERS, SAMPLE = 300, (1, 2, 3), 2000
-MEMO, LANGUAGES = 1 << 16, 10_000
+LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -59,52 +59,43 @@ class Letters:
 
 
 class Grams:
-    """n-gram ids of words, with a bounded table of words; ids grow in order of appearance."""
-
-    def __init__(self, limit: int = MEMO):
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.words: dict[str, np.ndarray] = {}
-        self.limit, self.cut = limit, Letters()
-
-    def _word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            out = []
-            for g in ngrams(word):
-                k = self.ids.get(g)
-                if k is None:
-                    k = self.ids[g] = len(self.names)
-                    self.names.append(g)
-                out.append(k)
-            got = np.array(out, dtype=np.int32)
-            if len(self.words) < self.limit:
-                self.words[word] = got
-        return got
+    """Counts of a text's n-grams from its code points: letters get dense numbers, up to three of which make a code."""
+
+    def __init__(self):
+        self.cut, self.number = Letters(), np.full(0x110000, -1, dtype=np.int32)
+        self.letters: list[str] = []
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of a text's n-grams."""
-        if len(self.ids) > 1 << 18:  # many scripts: start afresh, the tables stay bounded
-            self.__init__(self.limit)
+        """Codes and counts of the n-grams of the text's words, each padded by a blank on either side."""
         words = self.cut(text)
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        total = np.zeros(0, np.int64)
-        for at in range(0, len(words), 1 << 14):
-            part = np.bincount(np.concatenate([self._word(w) for w in words[at : at + (1 << 14)]]))
-            if len(part) < len(total):
-                part, total = total, part
-            part[: len(total)] += total
-            total = part
-        found = np.flatnonzero(total)
-        return found, total[found]
+        # neighbouring words share a blank: no n-gram but a trigram around a blank crosses from one to the next
+        points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32)
+        d = self.number[points]
+        if (d < 0).any():
+            for c in np.unique(points[d < 0]).tolist():
+                self.letters.append(chr(c))
+                self.number[c] = len(self.letters)
+            d = self.number[points]
+        d, inner = d.astype(np.int64), points != 32
+        two = d[:-1] << 21 | d[1:]
+        three = (two[:-1] << 21 | d[2:])[inner[1:-1]]
+        return np.unique(np.concatenate([d[inner], two, three]), return_counts=True)
+
+    def name(self, code: int) -> str:
+        out = ""
+        while code:
+            out = self.letters[(code & 0x1FFFFF) - 1] + out
+            code >>= 21
+        return out
 
     def top(self, text: str | None, most: int = PROFILE) -> list[str]:
-        ids, n = self.counts(text)
-        if len(ids) > most:
+        codes, n = self.counts(text)
+        if len(codes) > most:
             least = -np.partition(-n, most - 1)[most - 1]
-            ids, n = ids[n >= least], n[n >= least]
-        return ranked({self.names[i]: c for i, c in zip(ids.tolist(), n.tolist())}, most)
+            codes, n = codes[n >= least], n[n >= least]
+        return ranked({self.name(i): c for i, c in zip(codes.tolist(), n.tolist())}, most)
 
 
 def profiles(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, dict[str, int]]:
@@ -128,7 +119,7 @@ def profiles(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text
             ids, n = grams.counts(text)
             mine = total.setdefault(lang, Counter())
             for i, c in zip(ids.tolist(), n.tolist()):
-                mine[grams.names[i]] += c
+                mine[grams.name(i)] += c
         for lang, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["lang", "gram", "n"])
 
