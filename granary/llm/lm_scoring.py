@@ -5,10 +5,12 @@ leave goes to the shorter context, down to add-0.1 unigrams that leave room for
 a kept n-gram is an arc with its log-probability, and a state's failure arc carries its backoff weight to the next
 shorter context. One left-to-right traversal of a text carries the state and adds up arcs and failure weights.
 
-Word counts are of the whole corpus and stay distributed. Tasks receive what has a fixed size: the VOCABULARY most
-frequent words, and the arcs, the ARCS most frequent bigrams and as many trigrams among the CONTEXT most frequent words.
-Arcs concern those words only, so any other word leaves by failure arcs to the unigram state; its count, whatever it is,
-comes from a join with the full table. Frequent words never enter that join, so it has no hot key from the vocabulary.
+All counts cover the whole corpus and stay distributed. Words, bigrams and trigrams are keyed by 64-bit hashes, and every
+n-gram over any words that occurs LEAST times or more is kept, whatever the corpus holds. What a token adds depends on
+its last three words alone, so it is a sum over the kept n-grams that end there: each has one weight (its arc, less what
+the failure arcs and the shorter arc that it replaces would have added). A score is thus the sum of the weights of a text's
+n-grams. Tasks receive the weights of the most frequent n-grams, CACHE of each length, to spare shuffles; all others come
+from a join with the full table, which no frequent n-gram enters. Results do not depend on CACHE.
 
 Edge cases. Null, empty or blank text is the end token alone. A word that training lacks counts as the unknown word.
 Null ids count as empty text in the fold. Repeated rows are scored one by one. An empty training set leaves every word
@@ -17,7 +19,6 @@ unknown. An empty table gives an empty result. Other input columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import fold, materialize, table
 from .tokens import rows
 
-VOCABULARY, CONTEXT, ARCS, DISCOUNT, ADD = 1 << 17, 1 << 13, 1 << 17, 0.75, 0.1
+LEAST, CACHE, DISCOUNT, ADD = 2, 1 << 17, 0.75, 0.1
+CONTEXT = 1 << 31  # of the automaton's arc codes: more than any word's number
 END = b"\n"  # no word holds white space
 FLUSH = 400_000
 
@@ -66,43 +68,96 @@ def most_frequent(counted: DataFrame, n_col: str, most: int, least: int = 1) ->
     return floor if floor is not None else 1 << 62
 
 
-def ngram_counts(df: DataFrame, ids: dict[bytes, int], pairs: np.ndarray | None) -> DataFrame:
-    """(code, n): of bigrams a * CONTEXT + b; or, given the kept bigrams, of trigrams (index of ab) * CONTEXT + c."""
+def _hash_long(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of a long, under a seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (np.asarray(seed, dtype=np.uint64) + (p5 + np.uint64(8))) ^ (turn(value * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
 
-    def codes(text):
-        seq = np.array([ids[END], *[ids.get(w, -1) for w in tokens(text)]], dtype=np.int64)
-        two = np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * CONTEXT + seq[1:], -1)
-        if pairs is None:
-            return two[two >= 0]
-        at = np.minimum(np.searchsorted(pairs, two), max(0, len(pairs) - 1))
-        kept = pairs[at] == two if len(pairs) else np.zeros(len(two), dtype=bool)
-        both = kept[:-1] & kept[1:]
-        return at[:-1][both] * CONTEXT + seq[2:][both]
 
-    def run(batches):
-        import pyarrow as pa
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What xxhash64(a, b) gives in Spark."""
+    return _hash_long(b, _hash_long(a, 42))
 
-        held, size = [], 0
 
-        def emit():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+class Hashes:
+    """Hashes of words, with a bounded table of those met before."""
 
-        for (text,) in rows(batches, "text"):
-            held.append(codes(text))
-            size += len(held[-1])
-            if size > 8 * FLUSH:
-                yield emit()
-                held, size = [], 0
-        if held:
-            yield emit()
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of texts one after another, each between two ends; and each text's length, ends included."""
+        import xxhash
+
+        known, digest, out, sizes = self.known, xxhash.xxh64_intdigest, [], []
+        if len(known) > FLUSH:
+            known.clear()
+        for text in texts:
+            seq = [END, *tokens(text)]
+            sizes.append(len(seq))
+            for w in seq:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = digest(w, 42)
+                out.append(h)
+        return np.array(out, dtype=np.uint64), np.array(sizes, dtype=np.int64)
 
-    each = df.mapInArrow(run, "code long, n long")
-    return materialize(each.groupBy("code").agg(F.sum("n").alias("n")), "lm-ngrams")
+
+def _ngrams(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bigrams' hashes, where they start), (trigrams' hashes, where they start): none spans two texts."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    two = _joined(h[:-1], h[1:])
+    at2 = np.flatnonzero(text[1:] == text[:-1])
+    at3 = np.flatnonzero(text[2:] == text[:-2])
+    return two[at2], at2, _joined(two[at3], two[at3 + 1]), at3
+
+
+def _chunks(texts, most: int):
+    """Lists of items (text first) of about `most` characters."""
+    held, size = [], 0
+    for item in texts:
+        held.append(item)
+        size += len(item[0] or "") + 8
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def ngram_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kept bigrams (v, w, n) of word hashes and kept trigrams (uv, vw, n) of bigram hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes = Hashes()
+        for part in _chunks(rows(batches, "text"), 12_000_000):
+            h, sizes = hashes(t for (t,) in part)
+            two, at2, three, at3 = _ngrams(h, sizes)
+            whole = np.zeros(max(0, len(h) - 1), np.uint64)
+            whole[at2] = two
+            for order, key, first, second in ((2, two, h[at2], h[at2 + 1]), (3, three, whole[at3], whole[at3 + 1])):
+                _, at, n = np.unique(key, return_index=True, return_counts=True)
+                for k in range(0, len(at), 1 << 16):
+                    i = at[k : k + (1 << 16)]
+                    cols = [pa.array(np.full(len(i), order, np.int32)), *(pa.array(x[i].view(np.int64)) for x in (first, second)), pa.array(n[k : k + (1 << 16)].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["o", "a", "b", "n"])
+
+    each = df.mapInArrow(run, "o int, a long, b long, n long")
+    kept = materialize(each.groupBy("o", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "lm-ngrams")
+    two, three = kept.where("o = 2"), kept.where("o = 3")
+    return two.select(F.col("a").alias("v"), F.col("b").alias("w"), "n"), three.select(F.col("a").alias("uv"), F.col("b").alias("vw"), "n")
 
 
 class Automaton:
-    """States, arcs and failure arcs from counts. words: the vocabulary, most frequent first; c: its counts."""
+    """States, arcs and failure arcs in memory, from counts: for a model that fits, and to hold score() against.
+    words: the vocabulary; c: its counts."""
 
     def __init__(self, words, c, total, types, pairs, pair_n, triples, triple_n):
         self.ids = {w: k for k, w in enumerate(words)}
@@ -111,7 +166,7 @@ class Automaton:
         self.uni = np.log10(p1).tolist()
         a, b = pairs // CONTEXT, pairs % CONTEXT
         p2 = (pair_n - DISCOUNT) / np.asarray(c, dtype=np.float64)[a] if len(pairs) else np.zeros(0)
-        n = max(CONTEXT, 1)
+        n = len(words)
         left2 = 1 - np.bincount(a, p2, minlength=n)
         bow2 = np.log10(np.maximum(left2, 1e-12) / np.maximum(1 - np.bincount(a, p1[b] if len(pairs) else None, minlength=n), 1e-12))
         has2 = np.bincount(a, minlength=n) > 0
@@ -123,7 +178,7 @@ class Automaton:
         has3 = np.bincount(ab, minlength=m) > 0
         left3 = 1 - np.bincount(ab, p3, minlength=m)
         bow3 = np.log10(np.maximum(left3, 1e-12) / np.maximum(1 - np.bincount(ab, p2[bz] if len(triples) else None, minlength=m), 1e-12))
-        # states: 0 the root, 1 + w a word, 1 + CONTEXT + i the bigram i; a context without arcs is its shorter one
+        # states: 0 the root, 1 + w a word, 1 + n + i the bigram i; a context without arcs is its shorter one
         word_state = np.where(has2, 1 + np.arange(n), 0)
         pair_state = np.where(has3, 1 + n + np.arange(m), word_state[b] if m else np.zeros(0, np.int64))
         self.first = word_state.tolist()
@@ -132,7 +187,7 @@ class Automaton:
         self.exit = {s: w + (self.fail[t][1] if t else 0.0) for s, (t, w) in self.fail.items()} | {0: 0.0}
         self.arcs = dict(zip(((1 + a) * CONTEXT + b).tolist(), zip(pair_state.tolist(), np.log10(p2).tolist())))
         self.arcs |= dict(zip(((1 + n + ab) * CONTEXT + z).tolist(), zip(pair_state[bz].tolist() if len(triples) else [], np.log10(p3).tolist())))
-        self.start = self.first[self.ids[END]] if END in self.ids and self.ids[END] < CONTEXT else 0
+        self.start = self.first[self.ids[END]] if END in self.ids else 0
 
     def walk(self, text: str | None) -> tuple[int, int, float, float, dict[bytes, int]]:
         """(tokens, those in the vocabulary, their base score, score) and the words outside it, whose unigram is due."""
@@ -149,10 +204,6 @@ class Automaton:
             p = uni[w]
             base += p
             known += 1
-            if w >= CONTEXT:
-                score += out[state] + p
-                state = 0
-                continue
             while state:
                 arc = arcs.get(state * CONTEXT + w)
                 if arc:
@@ -167,82 +218,100 @@ class Automaton:
         return len(words), known, base, score, rare
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
 class Model:
-    """What tasks need to build the automaton, of fixed size; and the table of all words' counts."""
+    """Tables of all words' counts, of kept n-grams and of their weights: (h, base, e)."""
 
-    def __init__(self, counts: DataFrame, total: int, types: int, parts: tuple):
-        self.counts, self.total, self.types, self.parts, self.key = counts, total, types, parts, uuid.uuid4().hex
+    def __init__(self, counts: DataFrame, total: int, types: int, pairs: DataFrame, triples: DataFrame, weights: DataFrame, cache: tuple):
+        self.counts, self.total, self.types, self.pairs, self.triples = counts, total, types, pairs, triples
+        self.weights, self.cache = weights, cache
 
     def automaton(self) -> Automaton:
-        return Automaton(*self.parts)
+        """The whole model in this process."""
+        import xxhash
+
+        top = sorted(((bytes(r.word), r.c) for r in self.counts.collect()), key=lambda x: (-x[1], x[0]))
+        words = [w for w, _ in top]
+        by = {xxhash.xxh64_intdigest(w, 42): k for k, w in enumerate(words)}
+        signed = lambda h: h & (1 << 64) - 1
+        two = sorted((by[signed(r.v)] * CONTEXT + by[signed(r.w)], r.n, r.h) for r in self.pairs.select("v", "w", "n", "h").collect())
+        at = {h: k for k, (_, _, h) in enumerate(two)}
+        three = sorted((at[r.uv] * CONTEXT + two[at[r.vw]][0] % CONTEXT, r.n) for r in self.triples.select("uv", "vw", "n").collect())
+        columns = lambda got: [np.array([g[k] for g in got], dtype=np.int64) for k in (0, 1)]
+        return Automaton(words, [n for _, n in top], self.total, self.types, *columns(two), *columns(three))
+
+
+def _backoff(used: Column, shorter: Column) -> Column:
+    return F.log10(F.greatest(1 - used, F.lit(1e-12)) / F.greatest(1 - shorter, F.lit(1e-12)))
 
 
 def train(df: DataFrame, text_col: str = "text") -> Model:
     counts = word_counts(df, text_col)
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor = most_frequent(counts, "c", VOCABULARY - 1)
-    frequent = counts.where((F.col("c") >= floor) | (F.col("word") == F.lit(END)))  # VOCABULARY rows at most
-    top = sorted(((bytes(r.word), r.c) for r in frequent.collect()), key=lambda x: (-x[1], x[0]))
-    end = next((k for k, (w, _) in enumerate(top) if w == END), None)
-    if end is not None and end >= CONTEXT:
-        top.insert(0, top.pop(end))  # the end is a context however rare it is
-    words, c = [w for w, _ in top], [n for _, n in top]
-    pairs = pair_n = triples = triple_n = np.zeros(0, np.int64)
-    if end is not None:
-        ids = {w: k for k, w in enumerate(words[:CONTEXT])}
-        light = df.select(F.col(text_col).alias("text"))
-        for order in (2, 3):
-            counted = ngram_counts(light, ids, pairs if order == 3 else None)
-            kept = counted.where(F.col("n") >= most_frequent(counted, "n", ARCS, least=2)).orderBy("code").toPandas()  # ARCS rows at most
-            code, n = kept["code"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
-            if order == 2:
-                pairs, pair_n = code, n
-            else:
-                triples, triple_n = code, n
-    return Model(counts, total, types, (words, c, total, types, pairs, pair_n, triples, triple_n))
+    words = counts.select(F.xxhash64("word").alias("h"), "c", ((F.col("c") + ADD) / F.lit(float(total + ADD * (types + 1)))).alias("p1"))
+    two, three = ngram_counts(df.select(F.col(text_col).alias("text")))
+    two = two.join(words.select(F.col("h").alias("v"), F.col("c").alias("cv")), "v").join(words.select(F.col("h").alias("w"), "p1"), "w")
+    pairs = materialize(two.select("v", "w", "n", F.xxhash64("v", "w").alias("h"), ((F.col("n") - DISCOUNT) / F.col("cv")).alias("p2"), "p1"), "lm-pairs")
+    after = materialize(pairs.groupBy("v").agg(_backoff(F.sum("p2"), F.sum("p1")).alias("b2")), "lm-word-states")
+    three = three.join(pairs.select(F.col("h").alias("uv"), F.col("n").alias("c2")), "uv").join(pairs.select(F.col("h").alias("vw"), "p2"), "vw")
+    triples = materialize(three.select("uv", "vw", "n", F.xxhash64("uv", "vw").alias("h"), ((F.col("n") - DISCOUNT) / F.col("c2")).alias("p3"), "p2"), "lm-triples")
+    after2 = materialize(triples.groupBy("uv").agg(_backoff(F.sum("p3"), F.sum("p2")).alias("b3")), "lm-pair-states")
+    zero = F.lit(0.0)
+    one = words.join(after.withColumnRenamed("v", "h"), "h", "left").select("h", F.col("c").alias("n"), F.log10("p1").alias("base"), (F.log10("p1") + F.coalesce("b2", zero)).alias("e"), F.lit(1).alias("o"))
+    two = pairs.join(after, "v").join(after2.withColumnRenamed("uv", "h"), "h", "left")
+    two = two.select("h", "n", zero.alias("base"), (F.log10("p2") - F.col("b2") - F.log10("p1") + F.coalesce("b3", zero)).alias("e"), F.lit(2).alias("o"))
+    three = triples.join(after2, "uv").select("h", "n", zero.alias("base"), (F.log10("p3") - F.col("b3") - F.log10("p2")).alias("e"), F.lit(3).alias("o"))
+    weights = materialize(one.unionByName(two).unionByName(three), "lm-weights")
+    cache = []
+    for order in (1, 2, 3):
+        own = weights.where(F.col("o") == order)
+        got = own.where(F.col("n") >= most_frequent(own, "n", CACHE)).select("h", "base", "e").toPandas()  # CACHE rows at most
+        h, at = np.unique(got["h"].to_numpy(np.int64).view(np.uint64), return_index=True)
+        cache.append((h, got["base"].to_numpy(np.float64)[at], got["e"].to_numpy(np.float64)[at]))
+    return Model(counts, total, types, pairs, triples, weights.select("h", "base", "e", "o"), tuple(cache))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of df."""
-    sent, key = df.sparkSession.sparkContext.broadcast(model.parts), model.key
+    sent = df.sparkSession.sparkContext.broadcast(model.cache)
 
     def run(batches):
         import pyarrow as pa
 
-        from granary.llm import lm_scoring as here
-
-        if key not in here._BUILT:
-            here._BUILT.clear()
-            here._BUILT[key] = Automaton(*sent.value)
-        walk = here._BUILT[key].walk
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-        names = ["doc_id", "n_tokens", "known", "base", "score", "rare", "times"]
-        got = []
-        for doc_id, text in rows(batches, "doc_id", "text"):
-            n, known, base, total, rare = walk(text)
-            got.append((doc_id, n, known, base, total, list(rare), list(rare.values())))
-            if len(got) == 512:
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names)
-                got = []
-        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(types)], names)
-
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
+        cache, hashes = sent.value, Hashes()
+        names = ["doc_id", "n_tokens", "known", "base", "score", *(f"rest{o}" for o in (1, 2, 3))]
+        for part in _chunks(((t, i) for i, t in rows(batches, "doc_id", "text")), 1_000_000):
+            h, sizes = hashes(t for t, _ in part)
+            text, ends = np.repeat(np.arange(len(part)), sizes), np.cumsum(sizes)
+            two, at2, three, at3 = _ngrams(h, sizes)
+            one = np.ones(len(h), dtype=bool)
+            one[ends - sizes] = False  # the end before a text is no token of it
+            sums, rest, known = np.zeros((2, len(part))), [], None
+            for (keys, base, e), key, of in zip(cache, (h[one], two, three), (text[one], text[at2], text[at3])):
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                met = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                for k, weight in enumerate((base, e)):
+                    sums[k] += np.bincount(of[met], weight[at[met]], minlength=len(part))
+                known = np.bincount(of[met], minlength=len(part)) if known is None else known
+                left = np.concatenate([[0], np.cumsum(np.bincount(of[~met], minlength=len(part)))])
+                rest.append(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(key[~met].view(np.int64))))
+            cols = [pa.array([i for _, i in part], pa.int64()), pa.array(sizes - 1), pa.array(known.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
+            yield pa.RecordBatch.from_arrays([*cols, *rest], names)
+
+    schema = "doc_id long, n_tokens long, known long, base double, score double, rest1 array<long>, rest2 array<long>, rest3 array<long>"
     light = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     walked = materialize(light.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-walked")
-    due = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    floor = min((n for w, n in zip(*model.parts[:2]) if w != END), default=1 << 62)
-    seldom = model.counts.where((F.col("c") <= floor) & (F.col("word") != F.lit(END)))
-    c = F.coalesce("c", F.lit(0))
-    met = due.join(seldom, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((c + ADD) / F.lit(float(model.total + ADD * (model.types + 1))))).alias("more"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
+    due = [walked.select("row", F.lit(o).alias("o"), F.explode(f"rest{o}").alias("h")) for o in (1, 2, 3)]
+    due = due[0].unionByName(due[1]).unionByName(due[2])
+    unseen, word = F.lit(float(np.log10(ADD / (model.total + ADD * (model.types + 1))))), F.col("o") == 1
+    met = due.join(model.weights, ["o", "h"], "left").groupBy("row").agg(
+        F.sum(F.when(word, F.coalesce("base", unseen))).alias("more_base"),
+        F.sum(F.coalesce("e", F.when(word, unseen).otherwise(0.0))).alias("more"),
+        F.count_if(word & F.col("e").isNotNull()).alias("more_known"),
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return walked.drop("rare", "times").join(met, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
+    zero = F.lit(0.0)
+    return walked.drop("rest1", "rest2", "rest3").join(met, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more", zero)).alias("score"),
     )
 
 

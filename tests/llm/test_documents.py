@@ -372,6 +372,24 @@ def test_automaton_is_a_distribution(hard, monkeypatch):
         assert math.isclose(sum(p(s, w) for w in counts) + p(s, b"never seen"), 1, rel_tol=1e-9)
 
 
+def test_language_model_keeps_ngrams_of_rare_words(spark, monkeypatch):
+    """Ngrams of words beyond the 8,192 most frequent count too; scores are the whole automaton's, whatever is cached."""
+    words = [f"w{k}" for k in range(9000)]
+    texts = [" ".join(words)] * 2 + [" ".join(words[:8500])] * 2 + ["w8998 w8999", "w8999 w8998", "w8997 w8998 w8999 never w8998", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    model = lm_scoring.train(docs.where("doc_id < 4"))
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
+    assert got[4] > got[5] + 2
+    au = model.automaton()
+    for i, t in enumerate(texts):
+        _, _, _, want, rare = au.walk(t)
+        assert math.isclose(got[i], want + sum(rare.values()) * math.log10(0.1 / au.floor), rel_tol=1e-9)
+    monkeypatch.setattr(lm_scoring, "CACHE", 3)
+    small = lm_scoring.train(docs.where("doc_id < 4"))
+    again = {r.doc_id: r.score for r in lm_scoring.score(docs, small).collect()}
+    assert all(math.isclose(got[i], again[i], rel_tol=1e-9) for i in got)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
