@@ -21,9 +21,6 @@ from ..roles import Columns
 from ..storage import materialize
 from .reducers import Homology, check_ids, descriptor_columns
 
-#: Groups that one task packs into folds exactly; smaller groups beyond these are dealt out in order of size.
-PACKED_GROUPS = 200_000
-
 
 @dataclass
 class SplitResult:
@@ -412,24 +409,42 @@ class Group(Splitter):
         return SplitResult(out, self.name, self.params(), groups=(group,))
 
 
+def deal_sizes(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[list[int]]]]:
+    """How groups go one by one into the lightest of k folds, the lowest on ties. sizes: (n, how many groups have it), largest
+    first. For each size (n, starts, orders): from the rank starts[i] on, ranks from 0 over all groups, folds recur as in
+    orders[i]."""
+    loads, rank, out = [0] * k, 0, []
+    for n, left in sizes:
+        starts, orders = [], []
+        while left:
+            folds = sorted(range(k), key=lambda f: (loads[f], f))
+            turn = [f for f in folds if (loads[f], f) < (loads[folds[0]] + n, folds[0])]
+            rounds = left // len(turn) + 1
+            if len(turn) < k:  # until the next fold's turn comes before that of the last of these
+                last, other = turn[-1], folds[len(turn)]
+                ahead = loads[other] - loads[last]
+                rounds = -(-ahead // n) + (ahead % n == 0 and last < other)
+            took = min(left, rounds * len(turn))
+            starts.append(rank)
+            orders.append(turn)
+            for i, f in enumerate(turn):
+                loads[f] += n * (took // len(turn) + (i < took % len(turn)))
+            rank, left = rank + took, left - took
+        out.append((n, starts, orders))
+    return out
+
+
 def pack_groups(sizes: DataFrame, k: int) -> DataFrame:
-    """(g, fold): the largest group first into the lightest fold, the lowest on ties. sizes: (g, n)."""
-
-    def run(pdf):
-        import heapq
-
-        loads = [(0, f) for f in range(k)]
-        folds = []
-        for n in pdf.sort_values(["n", "g"], ascending=[False, True])["n"]:
-            load, f = heapq.heappop(loads)
-            folds.append(f)
-            heapq.heappush(loads, (load + int(n), f))
-        return pdf.sort_values(["n", "g"], ascending=[False, True])[["g"]].assign(fold=folds).astype({"fold": "int32"})
-
-    ranked = O.order_rank(sizes, F.desc("n"), F.col("g"), name="__r")
-    large = ranked.where(F.col("__r") <= PACKED_GROUPS).withColumn("all", F.lit(True)).groupBy("all").applyInPandas(lambda pdf: run(pdf), "g string, fold int")
-    small = ranked.where(F.col("__r") > PACKED_GROUPS).select("g", F.pmod("__r", F.lit(k)).cast("int").alias("fold"))
-    return large.unionByName(small)
+    """(g, fold): the largest group first into the lightest fold, the lowest on ties. sizes: (g, n).
+
+    Groups of one size take folds in a recurring order, so the driver needs the sizes that occur only: they are fewer than
+    the square root of twice the rows."""
+    held = sizes.groupBy("n").count().orderBy(F.desc("n")).collect()
+    dealt = sizes.sparkSession.createDataFrame(deal_sizes([(r["n"], r["count"]) for r in held], k), "n long, starts array<long>, orders array<array<int>>")
+    ranked = O.order_rank(sizes, F.desc("n"), F.col("g"), name="__r").join(F.broadcast(dealt), "n").withColumn("__r", F.col("__r") - 1)
+    at = F.size(F.filter("starts", lambda x: x <= F.col("__r"))) - 1
+    order = F.col("orders")[at]
+    return ranked.select("g", order[F.pmod(F.col("__r") - F.col("starts")[at], F.size(order)).cast("int")].alias("fold"))
 
 
 @dataclass

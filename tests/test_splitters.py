@@ -1,5 +1,7 @@
 """Sizes, disjointness, stratification and determinism of all splits."""
 
+import random
+
 import pytest
 
 from granary.functions import ordering
@@ -108,3 +110,32 @@ def test_missing_clusters(spark, peptides):
     assert got.assigned.where("cluster_id like 'singleton:%'").count() == 57
     with pytest.raises(ValueError):
         runner.split(bare, "cluster_aware", clusters=clusters, assign_singletons_for_missing=False)
+
+
+def test_groups_are_packed_at_every_size(spark):
+    """One group outweighs the rest; 200,000 and more others never join its fold before the loads are even."""
+    sizes = spark.range(200_100).selectExpr("cast(id as string) as g", "case when id = 7 then 120000 when id < 300 then 1 + id % 40 else 1 end as n")
+    got = {r.g: r.fold for r in P.pack_groups(sizes, 3).collect()}
+    loads, want = [0, 0, 0], {}
+    for n, g in sorted(((r.n, r.g) for r in sizes.collect()), key=lambda x: (-x[0], x[1])):
+        want[g] = min(range(3), key=lambda f: (loads[f], f))
+        loads[want[g]] += n
+    assert got == want
+
+
+def test_deal_sizes():
+    rng = random.Random(3)
+    for _ in range(300):
+        k, top = rng.randint(1, 6), rng.choice([3, 10, 60])
+        sizes = [(n, rng.choice([1, 1, 2, 7, 50])) for n in sorted(rng.sample(range(1, top + 1), rng.randint(1, 3)), reverse=True)]
+        loads, want, rank, got = [0] * k, [], 0, []
+        for n, m in sizes:
+            for _ in range(m):
+                want.append(min(range(k), key=lambda f: (loads[f], f)))
+                loads[want[-1]] += n
+        for (_, starts, orders), (_, m) in zip(P.deal_sizes(sizes, k), sizes):
+            for r in range(rank, rank + m):
+                i = sum(s <= r for s in starts) - 1
+                got.append(orders[i][(r - starts[i]) % len(orders[i])])
+            rank += m
+        assert got == want
