@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, materialize, table, with_row
 from .tokens import rows
@@ -291,12 +292,21 @@ def _wide_keys(batches):
 
 
 def _wide_search(batches):
-    """Rows sorted by key to links (a, b). A long run is read in blocks of RUN; a block also meets one row of each cluster
-    that the run's blocks before it have formed, the RUN latest of them."""
+    """Rows sorted by key to links (kind 0: node, other) and the rows of runs of more than RUN (kind 1), for _wide_meet.
+    A long run is read in blocks of RUN; a block also meets one row of each cluster that the run's blocks before it have
+    formed, the RUN latest of them. That only joins most of what is near, so that little is left to _wide_meet."""
     import pyarrow as pa
 
+    names = ["kind", "key", "node", "other", "w0", "w1", "w2", "w3"]
+
     def emit(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        z = np.zeros(len(pairs), np.int64)
+        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (z, z, a, b, z, z, z, z)], names)
+
+    def long_run(key, node, w):
+        cols = [np.ones(len(node), np.int64), np.full(len(node), key), node, node, *(w[:, k] for k in range(4))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     def span(node, w):
         """Links of a run that join what is near, and the first row of each cluster."""
@@ -321,7 +331,7 @@ def _wide_search(batches):
         if held is None or not len(held[0]):
             continue
         key, node, w = held
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        begin, last = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), key[-1]
         if batch is not None:  # the last run may go on: it waits, but for blocks that are full
             cut = begin[-1] + (len(key) - begin[-1]) // RUN * RUN
             held = [x[cut:] for x in held]
@@ -346,8 +356,11 @@ def _wide_search(batches):
             same = roots is not None and roots[0] == key[at]
             if many <= SMALL and not same:
                 continue
+            goes_on = batch is not None and at == begin[-1] and key[at] == last  # or may do so
             for a in range(at, at + many, RUN):
                 b = min(a + RUN, at + many)
+                if same or many > RUN or goes_on:
+                    yield long_run(key[at], node[a:b], w[a:b])
                 run_n, run_w = node[a:b], w[a:b]
                 if roots is not None and roots[0] == key[at]:
                     run_n, run_w = np.concatenate([roots[1], run_n]), np.concatenate([roots[2], run_w])
@@ -357,6 +370,63 @@ def _wide_search(batches):
                 roots = (key[at], run_n[first][-RUN:], run_w[first][-RUN:])
 
 
+def _wide_meet(batches):
+    """Rows of two blocks of a long run (or of one), sorted by (key, i, j), to links (a, b) that join what is near and has not
+    the same root yet. Every row of block i meets every row of block j that it is not joined with."""
+    import pyarrow as pa
+
+    def meet(i, j, block, node, root, w):
+        root, found = root.copy(), []
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for x in first:
+            apart = second[root[second] != root[x]]
+            if not len(apart):
+                continue
+            near = apart[_ring_near(np.broadcast_to(w[x], (len(apart), 4)), np.ascontiguousarray(w[apart]))]
+            for y in near:
+                if root[y] != root[x]:
+                    found.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            new = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "i", "j", "block", "node", "root", "w0", "w1", "w2", "w3")]
+            new = [*new[:6], np.stack(new[6:], axis=1)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if held is None or not len(held[0]):
+            continue
+        key, i, j = held[:3]
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        ends = [*begin[1:], *([] if batch is not None else [len(key)])]  # the last pair of blocks may go on
+        for a, b in zip(begin, ends):
+            yield meet(i[a], j[a], *(x[a:b] for x in held[3:]))
+        held = [x[ends[-1] :] for x in held] if ends else held
+
+
+def wide_near(keyed: DataFrame) -> DataFrame:
+    """(node, root): components of what is near under one key or more. keyed: key, node, w0..w3."""
+    words = [f"w{k}" for k in range(4)]
+    schema = "kind long, key long, node long, other long, w0 long, w1 long, w2 long, w3 long"
+    got = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_wide_search, schema), "wide-links")
+    links, long = got.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), got.where("kind = 1")
+    near = components(links)
+    if long.isEmpty():
+        return near
+    # long runs: blocks in order of roots, so that blocks of one root need not meet; all other pairs of blocks do
+    rooted = long.select("key", "node", *words).join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("root", "node")) - 1
+    blocks = materialize(rooted.withColumn("block", F.floor(nth / RUN)), "wide-blocks")
+    spans = materialize(blocks.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "wide-spans")
+    other = spans.select("key", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    pairs = spans.withColumnRenamed("block", "i").join(other, "key").where("i <= j and least(low, low_j) < greatest(high, high_j)")
+    sides = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = blocks.join(sides, ["key", "block"]).select("key", "i", "j", "block", "node", "root", *words)
+    more = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "node").mapInArrow(_wide_meet, "a long, b long")
+    return components(links.unionByName(materialize(more, "wide-met")))
+
+
 def _with_end(batches):
     yield from batches
     yield None
@@ -379,8 +449,7 @@ def similar(df: DataFrame, row_col: str, text_col: str = "text", words: int = 5)
     prints = materialize(light.mapInArrow(run, "row long, sig binary"), "wide-fingerprints")
     classes = materialize(prints.groupBy("sig").agg(F.min("row").alias("node"), F.count("*").alias("n")), "wide-classes")
     keyed = classes.select("sig", "node").mapInArrow(_wide_keys, "key long, node long, w0 long, w1 long, w2 long, w3 long")
-    links = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_wide_search, "a long, b long").distinct()
-    near = components(links)
+    near = wide_near(keyed)
     # copies of one fingerprint share its class's component
     named = classes.join(near, "node", "left").select("sig", "n", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "node").alias("root"))
     return prints.join(named.where("n > 1 or linked").select("sig", "root"), "sig").select(F.col("row").alias("node"), "root")

@@ -372,6 +372,19 @@ def test_automaton_is_a_distribution(hard, monkeypatch):
         assert math.isclose(sum(p(s, w) for w in counts) + p(s, b"never seen"), 1, rel_tol=1e-9)
 
 
+def test_long_runs_of_wide_keys(spark):
+    """Rows of one key link however many unlike rows lie between, and whichever member of a cluster they are near."""
+    rng = np.random.default_rng(5)
+    w = rng.integers(-(1 << 62), 1 << 62, (2 * simhash.RUN + 600, 4), dtype=np.int64)
+    flip = lambda row, at: row ^ np.array([(1 << 10) - 1 << at] * 4, dtype=np.int64)
+    w[1] = flip(w[0], 0)  # 40 of 256 bits
+    w[-1] = flip(w[1], 20)  # near row 1, not near row 0, the head of their cluster
+    w[-2] = flip(w[2], 0)
+    rows = [(7, k, *map(int, x)) for k, x in enumerate(w)]
+    keyed = spark.createDataFrame(rows, "key long, node long, w0 long, w1 long, w2 long, w3 long")
+    assert {(r.node, r.root) for r in simhash.wide_near(keyed).collect()} == {(0, 0), (1, 0), (len(w) - 1, 0), (2, 2), (len(w) - 2, 2)}
+
+
 def test_language_model_keeps_ngrams_of_rare_words(spark, monkeypatch):
     """Ngrams of words beyond the 8,192 most frequent count too; scores are the whole automaton's, whatever is cached."""
     words = [f"w{k}" for k in range(9000)]
