@@ -15,17 +15,21 @@ __all__ = ["ASCII_SPACE", "components", "fold", "fresh", "materialize", "prepare
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if the driver was started elsewhere; hand them smaller batches."""
+    """Let Python workers import this package even if the driver was started elsewhere; hand them smaller batches; delete
+    shuffle files when the query that wrote them ends, as what outlives a query is written to the shared folder."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [_ROOT, *paths] if p)
     if int(spark.conf.get(_BATCH)) == 10_000:  # the default: texts are long, and a batch is held whole
         spark.conf.set(_BATCH, "2000")
+    if spark.conf.get(_CLEANUP, None) != "true":
+        spark.conf.set(_CLEANUP, "true")
     return spark
 
 

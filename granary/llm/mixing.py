@@ -1,15 +1,20 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame operations only).
 
-Every source is a flow whose rate is its target share. Documents of a source queue in a seeded shuffle order, up to
-three passes long; a copy's virtual finish time is its source's words up to and with it, divided by the target. The
-queue is range-sorted by finish time over all sources. Targets add up to the budget, so at virtual time 1 the budget
-is spent: copies that finish by then are served whole, the copies then in service are cut, the rest get nothing.
+Every source is a flow whose rate is its target share. Documents of a source queue in a seeded shuffle order, up to three
+passes long, as packets of at most a QUANTA-th of the source's target (most documents are one packet). A packet's virtual
+finish time is its source's words up to and with it, divided by the target. All packets of all sources are range-sorted by
+finish time; their running word count, from the sums of the ranges before and the rows before within a range, is cut at
+the total budget: packets before the cut are served, the one that it meets in part, the rest not at all. At the cut no
+source is more than a packet away from its target.
 
 A source may hold any part of the rows: running sums are taken inside (source, 4096 shuffle buckets) and the buckets'
-totals, a small table, are summed on their own, so no task ever needs a whole source.
+totals, a small table, are summed on their own, so no task ever needs a whole source. The shuffle order is that of a
+digest of id and text, so that rows of one id, or of none, spread too.
 
-Edge cases. Null or empty text: size 0, taken 0. A null source is one source, the last. Null ids share one place in
-the shuffle. Repeated rows queue one by one. A source without words has target 0. An empty table gives an empty result.
+Edge cases. Null or empty text: size 0, taken 0; such rows never queue. A null source is one source, the last. Rows
+repeated in id and text are neighbours in the shuffle and queue one by one. A source without words has target 0. An empty
+table gives an empty result. mix() keeps df's columns, whatever their names; there rows repeated in id and text move
+together.
 """
 
 from __future__ import annotations
@@ -18,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh, materialize, table, with_row
+from .common import fresh, materialize, table
 
-PASSES = 3
+PASSES, QUANTA, WEIGHTS, SEED = 3, 256, (1, 2, 3), 7
 
 
 def words(text: Column) -> Column:
@@ -28,7 +33,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def place(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A document's place in the shuffle."""
+    known = lambda c: F.coalesce(c, F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), known(doc_id.cast("string")), F.lit(":"), known(text)).cast("binary"))
+
+
+def flow(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """For each source (key, source_size, target): shares of all words by weight, capped at three times the source.
 
     Weights go around by the sources' code point order, null last. The caps are settled in closed form: by rising
@@ -47,56 +63,85 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return s.select("key", "source_size", F.least("cap", F.col("weight") * F.col("free_level")).alias("target"))
 
 
+class Queue:
+    """A mix: documents (row, doc_id, key, bucket, at, size, source_size, target, start) and packets (those columns of
+    documents that name one, and copy, words, finish, served)."""
+
+    def __init__(self, documents: DataFrame, packets: DataFrame):
+        self.documents, self.packets = documents, packets
+
+
 def fair_queue(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
-    weights: tuple[int, ...] = (1, 2, 3), seed: int = 7,
-) -> DataFrame:
-    """The queue in order of virtual finish: row, doc_id, copy, size, source_size, target, finish, served (words)."""
+    weights: tuple[int, ...] = WEIGHTS, seed: int = SEED,
+) -> Queue:
+    """The queue of df, served up to the budget."""
+    ident, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
     light = df.select(
-        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        words(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("at"),
+        (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("row"),
+        ident.alias("doc_id"), source.cast("string").alias("source"), words(text).alias("size"), place(ident, text, seed).alias("at"),
     )
-    light = light.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("bucket", F.substring("at", 1, 3))
-    light = materialize(light, "mix-sizes")
-    totals = light.groupBy("key", "source", "bucket").agg(F.sum("size").alias("size"))
-    totals = materialize(totals, "mix-totals")
+    light = materialize(light.withColumn("key", flow(F.col("source"))).withColumn("bucket", F.substring("at", 1, 3)), "mix-sizes")
+    totals = materialize(light.groupBy("key", "source", "bucket").agg(F.sum("size").alias("size")), "mix-totals")
     earlier = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("key", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    placed = offsets.join(targets(totals, weights), "key")
     within = W.partitionBy("key", "bucket").orderBy("at", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
-    queued = light.withColumn("upto", F.sum("size").over(within)).join(placed, ["key", "bucket"])
-    queued = queued.withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(PASSES)])))
-    end = F.col("copy") * F.col("source_size") + F.col("offset") + F.col("upto")
-    budget = F.floor(F.col("target") + 1e-6)
-    served = F.greatest(F.lit(0), F.least(F.col("size"), budget - (end - F.col("size")))).cast("long")
-    finish = F.when(F.col("target") > 0, end / F.col("target"))
-    queue = queued.select("row", "doc_id", "copy", "size", "source_size", "target", finish.alias("finish"), served.alias("served"))
-    return queue.repartitionByRange("finish", "row", "copy").sortWithinPartitions("finish", "row", "copy")
-
-
-def mix(df: DataFrame, **how) -> DataFrame:
-    """df's rows as often as the mix takes them: whole copies, and a copy that the budget cuts if half of it or more is taken."""
-    rows, row = with_row(df, "mix-rows")
-    queue = fair_queue(rows, row_col=row, **how)
-    taken = queue.where("served > 0 and 2 * served >= size").groupBy("row").agg(F.count("*").cast("int").alias("times"))
-    times = fresh(df, "times")
-    again = rows.join(taken.select(F.col("row").alias(row), F.col("times").alias(times)), row)
-    nth = fresh(df, "nth")
-    return again.withColumn(nth, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in df.columns])
+    documents = light.withColumn("upto", F.sum("size").over(within)).join(offsets.join(targets(totals, weights), "key"), ["key", "bucket"])
+    documents = documents.withColumn("start", F.col("offset") + F.col("upto") - F.col("size")).drop("offset", "upto", "source", "bucket")
+    documents = materialize(documents, "mix-documents")
+
+    quantum = F.greatest(F.lit(1), F.floor(F.col("target") / QUANTA)).cast("long")
+    queued = documents.where("size > 0").withColumn("quantum", quantum).withColumn("copy", F.explode(F.array(*map(F.lit, range(PASSES)))))
+    queued = queued.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / F.col("quantum")) - 1)))
+    own = F.least(F.col("quantum"), F.col("size") - F.col("packet") * F.col("quantum"))
+    end = F.col("copy") * F.col("source_size") + F.col("start") + F.col("packet") * F.col("quantum") + own
+    order = ["finish", "doc_id", "copy", "packet", "row"]
+    queued = queued.select("row", "doc_id", "key", "size", "source_size", "target", "copy", "packet", own.alias("words"), (end / F.col("target")).alias("finish"))
+    ranged = materialize(queued.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-queue")
+    ahead = F.coalesce(F.sum("held").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.sum("words").alias("held")).select("part", ahead.alias("ahead"))  # a row for each range
+    running = F.sum("words").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    budget = F.lit(light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    queue = ranged.withColumn("running", running).join(F.broadcast(parts), "part")
+    served = F.greatest(F.lit(0), F.least(F.col("words"), budget - (F.col("ahead") + F.col("running") - F.col("words")))).cast("long")
+    return Queue(documents, queue.select("row", "doc_id", "key", "size", "source_size", "target", "copy", "packet", "words", "finish", served.alias("served")))
+
+
+def taken(queue: Queue) -> DataFrame:
+    """row, doc_id, size, source_size, target, taken (words that the mix takes) for each document."""
+    names = ["row", "doc_id", "size", "source_size", "target"]
+    got = queue.packets.groupBy(*names).agg(F.sum("served").alias("taken"))
+    none = queue.documents.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
+    return got.unionByName(none)
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """df's rows as often as the mix takes them: whole copies, and the copy at a source's cut if half of it or more is taken.
+
+    What is served of a source is the front of its queue. So a source's last served copy tells of all its rows how often
+    they are taken, and rows stay where they are: only that copy's place, one for each source, is sent to them.
+    """
+    queue = fair_queue(df, id_col, text_col, source_col, weights=weights, seed=seed)
+    copies = queue.packets.groupBy("key", "row", "copy", "size").agg(F.sum("served").alias("served")).where("served > 0")
+    last = copies.join(queue.documents.select("row", "at", F.col("doc_id").alias("id"), "start", "source_size"), "row")
+    key, at, ident, size, copy, half, times = (fresh(df, n) for n in ("key", "at", "id", "size", "copy", "half", "times"))
+    cut = F.max_by(F.struct("copy", "at", "id", "size", (2 * F.col("served") >= F.col("size")).cast("int").alias("half")), F.col("copy") * F.col("source_size") + F.col("start")).alias("cut")
+    cuts = last.groupBy("key").agg(cut).select(*(F.col(f"cut.{a}").alias(b) for a, b in (("copy", copy), ("at", at), ("id", ident), ("size", size), ("half", half))), F.col("key").alias(key))
+    cuts = materialize(cuts, "mix-cuts")
+    text, own_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    here, there = F.struct(place(own_id, text, seed), own_id, words(text)), F.struct(at, ident, size)
+    nth = F.when(here < there, F.col(copy) + 1).when(here == there, F.col(copy) + F.col(half)).otherwise(F.col(copy))
+    again = df.withColumn(key, flow(F.col(f"`{source_col}`"))).join(cuts, key).where(words(text) > 0).withColumn(times, nth)
+    return again.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = fair_queue(table(spark, sf_dir, "documents"))
-    out = queue.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return taken(fair_queue(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
 with recursive docs as (
-  select doc_id, source, md5('7:' || doc_id::varchar) as at,
+  select doc_id, source, md5('7:' || doc_id::varchar || ':' || coalesce(text, '')) as at,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
   from documents),
 src as (
@@ -116,11 +161,18 @@ tgt as (
          least(cap, weight * (select min_by(level, ratio) from lev where ratio >= level)) as target
   from lev),
 q as (
-  select d.doc_id, d.size, t.source_size, t.target,
-         sum(d.size) over (partition by d.source order by d.at, d.doc_id rows between unbounded preceding and current row) as upto
-  from docs d join tgt t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (select sum(greatest(0, least(size, floor(target + 1e-6) - (c * source_size + upto - size))))
-        from range(3) r(c))::bigint as taken
-from q
+  select d.doc_id, d.size, t.source_size, t.target, greatest(1, floor(t.target / 256))::bigint as quantum,
+         sum(d.size) over (partition by d.source order by d.at, d.doc_id rows between unbounded preceding and current row) - d.size as start
+  from docs d join tgt t on d.source is not distinct from t.source),
+packets as (
+  select *, least(quantum, size - packet * quantum) as words,
+         (copy * source_size + start + packet * quantum + least(quantum, size - packet * quantum)) / target as finish
+  from (select q.*, c.copy, unnest(range(ceil(size / quantum)::bigint)) as packet from q, range(3) c(copy) where size > 0)),
+served as (
+  select doc_id, greatest(0, least(words, (select sum(size) from docs)
+         - (sum(words) over (order by finish, doc_id, copy, packet rows between unbounded preceding and current row) - words))) as served
+  from packets)
+select q.doc_id, q.size, q.source_size, q.target, coalesce(sum(served.served), 0)::bigint as taken
+from q left join served on q.doc_id = served.doc_id
+group by q.doc_id, q.size, q.source_size, q.target
 """

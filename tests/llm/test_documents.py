@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from granary.llm import exact_dedup, importance, language_id, lm_scoring, mixing, packing, simhash, token_files, toxicity
 from granary.llm.tokens import Encoder, default_path
@@ -61,19 +62,48 @@ def test_directory_doubles(spark):
     assert depth >= 5 and sum(2.0**-d for _, d, _ in buckets) == 1
     h = [r.h & (1 << 64) - 1 for r in heads.collect()]
     assert all(sum(x >> (64 - d) == p for x in h) <= 100 for _, d, p in buckets)
+    depth, buckets, held = exact_dedup._directory(heads, 100, 3, F.lit(1))
+    assert depth == 3 and sum(held) == 2000
     small = exact_dedup.exact_dedup(spark.range(500).selectExpr("id as doc_id", "cast(id % 300 as string) as text"), capacity=20)
     assert small.where("kept").count() == 300
 
 
+@pytest.mark.parametrize("capacity", [1, 200, 5000, None])
+def test_owners_chain_hot_texts(spark, capacity):
+    """A text of a third of all rows, pairs, and unique ones: whatever the capacity, with overflow chains or without."""
+    rows = [(f"d{k:04d}" if k % 50 else None, " hot  text" if k % 3 == 0 else f"pair {k // 6}" if k % 3 == 1 else f"own {k}", k) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, h long")
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[bare(t)].append((-len(t), i is None, i))
+    got = exact_dedup.exact_dedup(df, capacity=capacity).collect()
+    assert len(got) == 600 and all((r.group_size, r.keep_id) == (len(v), min(v, key=lambda x: (x[0], x[1], x[2] or ""))[2]) for r in got for v in [next(g for k, g in groups.items() if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)])
+    kept = exact_dedup.keep_first(df, capacity=capacity).collect()
+    assert Counter(bare(r.text) for r in kept) == Counter(groups.keys())
+    assert {(bare(r.text), r.doc_id) for r in kept} == {(bare(t), next(x.keep_id for x in got if x.text_sha256 == hashlib.sha256(bare(t).encode()).hexdigest())) for t in {r[1] for r in rows}}
+
+
+def test_owners_take_ranges(spark):
+    """Every row of a bucket is in its owner's partition, owners hold rising ranges of hashes, and the directory decides which."""
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    index = exact_dedup.Index(df, "text", 2000)
+    rows, owner = index.deal(df.select(F.xxhash64(exact_dedup.without_space(F.col("text"))).alias("h")), "h")
+    got = rows.select(F.spark_partition_id().alias("p"), F.col(owner).alias("o"), F.shiftrightunsigned("h", 48).alias("at")).collect()
+    assert index.depth >= 5 and all(r.p == r.o for r in got) and len({r.o for r in got}) == index.owners
+    spans = sorted((min(r["at"] for r in got if r.o == o), max(r["at"] for r in got if r.o == o)) for o in range(index.owners))
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def size_of(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def test_mixing(hard):
-    got = mixing.fair_queue(hard).groupBy("row", "doc_id", "size", "source_size", "target").sum("served").collect()
-    total = Counter()
-    for r in hard.collect():
-        total[r.source] += size_of(r.text)
+def brute_mix(rows, seed=7):
+    """(doc_id, text, source) to targets by source and words taken by (doc_id, text): the whole queue in one list."""
+    total, flows = Counter(), defaultdict(list)
+    for i, t, s in rows:
+        total[s] += size_of(t)
+        flows[s].append((hashlib.md5(f"{seed}:{'' if i is None else i}:{t or ''}".encode()).hexdigest(), i is not None, i, size_of(t), t))
     names = sorted(total, key=lambda s: (s is None, s or ""))
     weight, budget = {s: k % 3 + 1 for k, s in enumerate(names)}, sum(total.values())
     capped, target = set(), {}
@@ -85,24 +115,67 @@ def test_mixing(hard):
         if not over:
             break
         capped |= over
-    assert sorted(round(r.target, 6) for r in got) == sorted(round(target[r.source], 6) for r in hard.collect())
-    taken = defaultdict(int)
-    for r in got:
-        assert 0 <= r["sum(served)"] <= 3 * r["size"]
-        taken[round(r.target, 6)] += r["sum(served)"]
+    queue, taken = [], Counter()
     for s in names:
-        assert abs(taken[round(target[s], 6)] - target[s]) <= 1
-    again = mixing.fair_queue(hard.repartition(5)).groupBy("doc_id", "size", "target").sum("served").collect()
-    assert sorted(map(str, ((r.doc_id, r["size"], r["sum(served)"]) for r in again))) == sorted(map(str, [(k[0], k[1], v) for k, v in sums(got).items()]))
+        at, quantum = 0, max(1, int(target[s] // 256))
+        for copy in range(3):
+            for _, known, i, size, t in sorted(flows[s], key=lambda x: x[:2] + ((x[2],) if x[1] else ()) + (x[3],)):
+                for k, j in enumerate(range(0, size, quantum)):
+                    words = min(quantum, size - j)
+                    at += words
+                    queue.append((at / target[s], known, i, copy, k, words, (i, t)))
+    for *_, words, doc in sorted(queue, key=lambda x: x[:2] + ((x[2],) if x[1] else ()) + x[3:5]):
+        taken[doc] += max(0, min(words, budget))
+        budget -= words
+    return target, taken
+
+
+def test_mixing(spark, hard):
+    docs = [(r.doc_id, r.text, r.source) for r in hard.collect()]
+    target, want = brute_mix(docs)
+    got = mixing.taken(mixing.fair_queue(hard)).join(hard.select("doc_id", "text", "source").distinct(), "doc_id", "left").collect()
+    assert sorted(round(r.target, 6) for r in got if r.doc_id is not None) == sorted(round(target[s], 6) for i, _, s in docs if i is not None)
+    by_doc, by_target = Counter(), Counter()
+    for r in mixing.taken(mixing.fair_queue(hard)).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        by_doc[r.doc_id] += r.taken
+        by_target[round(r.target, 6)] += r.taken
+    brute = Counter()
+    for (i, _), n in want.items():
+        brute[i] += n
+    assert +by_doc == +brute
+    for s, t in target.items():
+        assert abs(by_target[round(t, 6)] - t) <= max(1, t / 256) + 1
+    again = mixing.taken(mixing.fair_queue(hard.repartition(5))).groupBy("doc_id", "size", "target").sum("taken").collect()
+    first = mixing.taken(mixing.fair_queue(hard)).groupBy("doc_id", "size", "target").sum("taken").collect()
+    assert sorted(map(str, again)) == sorted(map(str, first))
+
+
+def test_mix_order_decides(spark):
+    """Which documents of a source are taken is decided by the queue's order, not by size or id."""
+    rng = random.Random(12)
+    docs = [(k, prose(rng, rng.randint(1, 300)), "abc"[k % 7 % 3]) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    _, want = brute_mix(docs)
+    got = {r.doc_id: r.taken for r in mixing.taken(mixing.fair_queue(df)).collect()}
+    assert got == {i: want[i, t] for i, t, _ in docs}
+    _, other = brute_mix(docs, seed=8)
+    assert got != {i: other[i, t] for i, t, _ in docs}
+
+
+def test_mix(spark, hard):
+    """Rows are taken as often as the queue serves them, a cut copy by its half; columns stay, a hot source is no exception."""
+    docs = [(r.doc_id, r.text, r.source) for r in hard.collect()]
+    _, want = brute_mix(docs)
     mixed = mixing.mix(hard)
-    assert mixed.columns == hard.columns and mixed.count() > 0
-
-
-def sums(got):
-    out = defaultdict(int)
-    for r in got:
-        out[r.doc_id, r["size"], r.target] += r["sum(served)"]
-    return out
+    assert mixed.columns == hard.columns
+    got, repeated = Counter((r.doc_id, r.text) for r in mixed.collect()), Counter((i, t) for i, t, _ in docs)
+    for (i, t), n in repeated.items():
+        size = size_of(t)
+        if n == 1:
+            assert got[i, t] == (int(want[i, t] / size + 0.5) if size else 0)
+        else:
+            assert got[i, t] % n == 0
 
 
 def test_packing(hard):
