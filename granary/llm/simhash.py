@@ -19,6 +19,8 @@ are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,13 +232,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # ---- wide radius: a shingle similarity instead of a Hamming distance of three -----------------------------------------
 #
 # At a Jaccard similarity of 0.8 two fingerprints differ in about 15 % of their bits, too many for keys that miss none.
-# So fingerprints get WIDE_BITS bits over distinct shingles, and WIDE_BITS // KEY_BITS disjoint slices are keys: at 0.8 a
-# pair shares one or more with probability 0.95, at 0.85 with 0.99. Pairs that share a key are held to the pigeonring
-# budgets and the Hamming check on CHECK_BITS bits. Copies link to each other through many keys and through each other.
+# So fingerprints get WIDE_BITS bits over distinct shingles, and slices of them are keys. A slice has as many bits as the
+# number of rows asks for (so that few unlike rows share one), and there are as many slices as leave a pair at SIMILARITY
+# without a shared one with probability MISS: sixty at 10^5 rows, growing as the rows' power 0.24. Pairs that share a key
+# are held to the pigeonring budgets and the Hamming check on CHECK_BITS bits. What is left meets the full Hamming check:
+# SURE or fewer differing bits link, more than LOOSE don't, and pairs between have their shingles compared. Copies link to
+# each other through many keys and through each other.
+
+SIMILARITY, MISS = 0.8, 0.03
+WIDE_BITS, LEAST_BITS, CHECK_BITS = 2048, 18, 256
+#: The part of its bits in which a pair at SIMILARITY differs, and Hamming distances some standard deviations from it.
+APART = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+WIDE_DISTANCE, LOOSE, SURE = (round(n * APART + z * math.sqrt(n * APART * (1 - APART))) for n, z in ((CHECK_BITS, 3), (WIDE_BITS, 3.5), (WIDE_BITS, -4)))
+
 
-WIDE_BITS, KEY_BITS, CHECK_BITS = 1024, 18, 256
-#: Of CHECK_BITS, at a similarity of 0.8: 256 * acos(2 * 0.8 / 1.8) / pi is 38.6, and 46 leaves room for chance.
-WIDE_DISTANCE = 46
+def slices(rows: int) -> np.ndarray:
+    """Bit positions of each key (keys x bits) for so many rows: every WIDE_BITS // bits of them are disjoint."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, rows))))
+    keys = math.ceil(math.log(MISS) / math.log1p(-((1 - APART) ** bits)))
+    rng, each = np.random.default_rng(11), WIDE_BITS // bits
+    turns = [rng.permutation(WIDE_BITS)[: each * bits].reshape(each, bits) for _ in range(-(-keys // each))]
+    return np.concatenate(turns)[:keys]
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
@@ -274,21 +290,26 @@ def _ring_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _wide_keys(batches):
-    """(sig, node) to (key, node, w0..w3): a row for each slice."""
-    import pyarrow as pa
+def _wide_keys(at: np.ndarray):
+    """(sig, node) to (key, node, w0..w3): a row for each slice of at."""
+    tables, bits = at.shape
 
-    tables = WIDE_BITS // KEY_BITS
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            m = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            bits = np.unpackbits(m, axis=1, bitorder="little")[:, : tables * KEY_BITS].reshape(part.num_rows, tables, KEY_BITS)
-            keys = bits.astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << KEY_BITS)[None, :]
-            words = np.ascontiguousarray(m[:, : CHECK_BITS // 8]).view(np.int64)
-            nodes = part.column("node").to_numpy(zero_copy_only=False)
-            cols = [keys.ravel(), np.repeat(nodes, tables), *[np.repeat(words[:, k], tables) for k in range(4)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "node", "w0", "w1", "w2", "w3"])
+    def run(batches):
+        import pyarrow as pa
+
+        power, names = 1 << np.arange(bits, dtype=np.int64), ["key", "node", "w0", "w1", "w2", "w3"]
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                m = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                keys = np.unpackbits(m, axis=1, bitorder="little")[:, at.ravel()].reshape(-1, tables, bits) @ power
+                keys += (np.arange(tables, dtype=np.int64) << bits)[None, :]
+                words = np.ascontiguousarray(m[:, : CHECK_BITS // 8]).view(np.int64)
+                nodes = part.column("node").to_numpy(zero_copy_only=False)
+                cols = [keys.ravel(), np.repeat(nodes, tables), *[np.repeat(words[:, k], tables) for k in range(4)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    return run
 
 
 def _wide_search(batches):
@@ -407,13 +428,18 @@ def _wide_meet(batches):
 
 def wide_near(keyed: DataFrame) -> DataFrame:
     """(node, root): components of what is near under one key or more. keyed: key, node, w0..w3."""
+    return components(wide_links(keyed))
+
+
+def wide_links(keyed: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is near under one key or more, step by step, and never all pairs of a key."""
     words = [f"w{k}" for k in range(4)]
     schema = "kind long, key long, node long, other long, w0 long, w1 long, w2 long, w3 long"
     got = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_wide_search, schema), "wide-links")
     links, long = got.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), got.where("kind = 1")
-    near = components(links)
     if long.isEmpty():
-        return near
+        return links
+    near = components(links)
     # long runs: blocks in order of roots, so that blocks of one root need not meet; all other pairs of blocks do
     rooted = long.select("key", "node", *words).join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("root", "node")) - 1
@@ -424,7 +450,7 @@ def wide_near(keyed: DataFrame) -> DataFrame:
     sides = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     met = blocks.join(sides, ["key", "block"]).select("key", "i", "j", "block", "node", "root", *words)
     more = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "node").mapInArrow(_wide_meet, "a long, b long")
-    return components(links.unionByName(materialize(more, "wide-met")))
+    return links.unionByName(materialize(more, "wide-met")).distinct()
 
 
 def _with_end(batches):
@@ -432,9 +458,62 @@ def _with_end(batches):
     yield None
 
 
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    found = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*[w[k:] for k in range(words)])))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+
+
+def _distances(batches):
+    """(a, b, sig_a, sig_b) to (a, b, d): the full Hamming check, without pairs beyond LOOSE."""
+    import pyarrow as pa
+
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64) for c in ("sig_a", "sig_b"))
+        d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        near = pa.array(d <= LOOSE)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near), pa.array(d).filter(near)], ["a", "b", "d"])
+
+
+def _alike(batches):
+    """(a, b, set_a, set_b) to the pairs (a, b) whose shingles are alike by SIMILARITY or more."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sets = [[np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("set_a", "set_b")]
+        same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)], dtype=np.float64)
+        both = np.array([len(x) + len(y) for x, y in zip(*sets)], dtype=np.float64) - same
+        ok = pa.array(same >= SIMILARITY * both - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+
+def _confirmed(links: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The links (a, b) that the full Hamming check or the shingles themselves confirm. texts: row, text. Joins are merges at
+    every size, so that plans don't turn with the input."""
+    sides = lambda pairs, of, c: pairs.join(of.select(F.col("node").alias("a"), F.col(c).alias(f"{c}_a")).hint("merge"), "a").join(of.select(F.col("node").alias("b"), F.col(c).alias(f"{c}_b")).hint("merge"), "b")
+    far = materialize(sides(links, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_distances, "a long, b long, d long"), "wide-distances")
+    sure, unsure = far.where(F.col("d") <= SURE).select("a", "b"), far.where(F.col("d") > SURE).select("a", "b")
+    nodes = unsure.select(F.col("a").alias("row")).unionByName(unsure.select(F.col("b").alias("row"))).distinct()
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([_shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["node", "set"])
+
+    held = materialize(texts.join(nodes.hint("merge"), "row", "left_semi").mapInArrow(sets, "node long, set binary"), "wide-shingles")
+    alike = sides(unsure, held, "set").select("a", "b", "set_a", "set_b").mapInArrow(_alike, "a long, b long")
+    return sure.unionByName(materialize(alike, "wide-alike"))
+
+
 def similar(df: DataFrame, row_col: str, text_col: str = "text", words: int = 5) -> DataFrame:
-    """(node, root): components of the rows of df (by a unique integer column) whose shingle similarity is about 0.8 or more.
-    Rows that resemble no other are absent."""
+    """(node, root): components of the rows of df (by a unique integer column) whose shingles are alike by SIMILARITY or more.
+    Rows that resemble no other are absent. Texts that are blank are alike; a text of fewer words is one shingle."""
 
     def run(batches):
         import pyarrow as pa
@@ -445,25 +524,29 @@ def similar(df: DataFrame, row_col: str, text_col: str = "text", words: int = 5)
                 sigs = [wide_fingerprint(t, words) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sigs, pa.binary())], ["row", "sig"])
 
-    light = df.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    light = df.select(F.col(f"`{row_col}`").cast("long").alias("row"), F.col(f"`{text_col}`").alias("text"))
     prints = materialize(light.mapInArrow(run, "row long, sig binary"), "wide-fingerprints")
     classes = materialize(prints.groupBy("sig").agg(F.min("row").alias("node"), F.count("*").alias("n")), "wide-classes")
-    keyed = classes.select("sig", "node").mapInArrow(_wide_keys, "key long, node long, w0 long, w1 long, w2 long, w3 long")
-    near = wide_near(keyed)
+    keyed = classes.select("sig", "node").mapInArrow(_wide_keys(slices(classes.count())), "key long, node long, w0 long, w1 long, w2 long, w3 long")
+    near = components(_confirmed(wide_links(keyed), classes, light, words))
     # copies of one fingerprint share its class's component
     named = classes.join(near, "node", "left").select("sig", "n", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "node").alias("root"))
     return prints.join(named.where("n > 1 or linked").select("sig", "root"), "sig").select(F.col("row").alias("node"), "root")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """df with one row of each group of similar texts, that of the smallest id; columns unchanged."""
+    """df with one row of each group of similar texts, that of the smallest id; columns unchanged.
+
+    Edge cases. Null, empty and blank texts are one group. Null ids come last; of rows of one id any one stays. Repeated rows
+    are one group. An empty table gives an empty result. Ids may have any sortable type, other columns any name.
+    """
     rows_, row = with_row(df, "simhash-rows")
     near = similar(rows_, row, text_col, words)
-    ids = rows_.select(F.col(row).alias("node"), F.col(id_col).alias("id"))
+    ids = rows_.select(F.col(row).alias("node"), F.col(f"`{id_col}`").alias("id"))
     grouped = materialize(near.join(ids, "node"), "simhash-groups")
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "node")).alias("b")).select(F.col("b.node").alias("node"))
     gone = grouped.select("node").join(best, "node", "left_anti").select(F.col("node").alias(row))
-    return rows_.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows_.join(gone.hint("merge"), row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
