@@ -1,37 +1,44 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a trigram model with absolute discounting: kept n-grams have discounted relative frequencies, and what they
-leave goes to the shorter context, down to add-0.1 unigrams that leave room for one unknown word. Contexts are states;
-a kept n-gram is an arc with its log-probability, and a state's failure arc carries its backoff weight to the next
-shorter context. One left-to-right traversal of a text carries the state and adds up arcs and failure weights.
-
-All counts cover the whole corpus and stay distributed. Words, bigrams and trigrams are keyed by 64-bit hashes, and every
-n-gram over any words that occurs LEAST times or more is kept, whatever the corpus holds. What a token adds depends on
-its last three words alone, so it is a sum over the kept n-grams that end there: each has one weight (its arc, less what
-the failure arcs and the shorter arc that it replaces would have added). A score is thus the sum of the weights of a text's
-n-grams. Tasks receive the weights of the most frequent n-grams, CACHE of each length, to spare shuffles; all others come
-from a join with the full table, which no frequent n-gram enters. Results do not depend on CACHE.
+The model is a trigram model. Unigrams are add-0.1 estimates that leave room for one unknown word; a bigram's probability is
+(c(v w) + MU2 p(w)) / (c(v) + MU2), a trigram's (c(u v w) + MU3 p(w | v)) / (c(u v) + MU3), with counts over all training
+texts (Dirichlet smoothing, MacKay & Peto 1995). The last two words are the state. Each n-gram that training holds is an
+arc with its log-probability; without one, the failure arc leads to the shorter state and adds that state's weight,
+log10(MU / (c + MU)). One left-to-right traversal of a text carries the state and adds up what it passes. No n-gram is
+left out, whatever its count, and what a state needs is its own count alone.
+
+All counts cover the whole corpus and stay distributed:
+
+1. Documents are dealt by a digest to chunks of about CHUNK characters. A chunk lists its distinct n-grams once, as sorted
+   hashes with their training counts, and sends each owner of a range of hashes its part, packed (differences of sorted
+   hashes, as compressed byte planes, take about half the bytes of the hashes).
+2. An owner adds up what chunks send for its range, and answers each chunk with the totals of the n-grams that it asked for.
+3. A chunk is read again with its answers and its texts are walked.
+
+A frequent n-gram thus sends one entry a chunk, and no task holds more than a chunk or a range. Words are told apart by
+64-bit hashes, bigrams and trigrams by as many bits as leave one in 2**22 a namesake at the corpus's size.
 
 Edge cases. Null, empty or blank text is the end token alone. A word that training lacks counts as the unknown word.
 Null ids count as empty text in the fold. Repeated rows are scored one by one. An empty training set leaves every word
-unknown. An empty table gives an empty result. Other input columns are not read.
+unknown. An empty table gives an empty result. Other input columns are not read. Ids may have any type.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, table
-from .tokens import rows
+from .tokens import tidy
 
-LEAST, CACHE, DISCOUNT, ADD = 2, 1 << 17, 0.75, 0.1
-CONTEXT = 1 << 31  # of the automaton's arc codes: more than any word's number
+ADD, MU2, MU3 = 0.1, 1000.0, 50.0
+CHUNK, RANGE = 10_000_000, 5_000_000
 END = b"\n"  # no word holds white space
-FLUSH = 400_000
+SPARE_BITS, KNOWN = 22, 400_000
+ORDERS = (1, 2, 3)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -39,49 +46,12 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c) of all rows of df."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        counts: Counter = Counter()
-        emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        for (text,) in rows(batches, "text"):
-            counts.update(tokens(text))
-            if len(counts) > FLUSH:
-                yield emit()
-                counts.clear()
-        yield emit()
-
-    each = df.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
-    return materialize(each.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-
-
-def most_frequent(counted: DataFrame, n_col: str, most: int, least: int = 1) -> int:
-    """The smallest count from which at most `most` rows are left: rows of one count stay or go together."""
-    left, floor = most, None
-    for r in counted.groupBy(n_col).count().orderBy(F.desc(n_col)).toLocalIterator():
-        if r["count"] > left or r[n_col] < least:
-            break
-        left, floor = left - r["count"], r[n_col]
-    return floor if floor is not None else 1 << 62
-
-
-def _hash_long(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
-    """Spark's xxhash64 of a long, under a seed."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = (np.asarray(seed, dtype=np.uint64) + (p5 + np.uint64(8))) ^ (turn(value * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What xxhash64(a, b) gives in Spark."""
-    return _hash_long(b, _hash_long(a, 42))
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    z = a * np.uint64(0x9E3779B97F4A7C15) + b
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 class Hashes:
@@ -94,230 +64,239 @@ class Hashes:
         """Word hashes of texts one after another, each between two ends; and each text's length, ends included."""
         import xxhash
 
-        known, digest, out, sizes = self.known, xxhash.xxh64_intdigest, [], []
-        if len(known) > FLUSH:
-            known.clear()
+        digest, parts, sizes = xxhash.xxh64_intdigest, [], []
         for text in texts:
             seq = [END, *tokens(text)]
+            known = self.known
+            if len(known) > KNOWN:
+                known.clear()
+            for w in set(seq).difference(known):
+                known[w] = digest(w, 42)
+            parts.append(np.fromiter(map(known.__getitem__, seq), np.uint64, len(seq)))
             sizes.append(len(seq))
-            for w in seq:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = digest(w, 42)
-                out.append(h)
-        return np.array(out, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(sizes, dtype=np.int64)
 
 
-def _ngrams(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bigrams' hashes, where they start), (trigrams' hashes, where they start): none spans two texts."""
+def _grams(h: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the keys of n-grams that end at a token, and the tokens' positions: none spans two texts. The end before
+    a text is no token, but a word's first context."""
     text = np.repeat(np.arange(len(sizes)), sizes)
-    two = _joined(h[:-1], h[1:])
-    at2 = np.flatnonzero(text[1:] == text[:-1])
-    at3 = np.flatnonzero(text[2:] == text[:-2])
-    return two[at2], at2, _joined(two[at3], two[at3 + 1]), at3
+    two = _mixed(h[:-1], h[1:])
+    at1 = np.flatnonzero(np.concatenate([[False], text[1:] == text[:-1]])) if len(h) else np.zeros(0, np.int64)
+    at3 = 2 + np.flatnonzero(text[2:] == text[:-2])
+    three, drop = _mixed(two[at3 - 2], h[at3]), np.uint64(64 - bits)
+    return [h[at1], two[at1 - 1] >> drop, three >> drop], [at1, at1, at3]
+
+
+def _bytes_of(counts: np.ndarray) -> bytes:
+    """Counts of 255 and more follow the others."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _counts_of(raw: np.ndarray, n: int) -> np.ndarray:
+    counts = raw[:n].astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:].tobytes(), "<i8")
+    return counts
 
 
-def _chunks(texts, most: int):
-    """Lists of items (text first) of about `most` characters."""
-    held, size = [], 0
-    for item in texts:
-        held.append(item)
-        size += len(item[0] or "") + 8
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _pack(n: int, raw: bytes) -> bytes:
+    import pyarrow as pa
 
+    return n.to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def ngram_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kept bigrams (v, w, n) of word hashes and kept trigrams (uv, vw, n) of bigram hashes."""
+
+def _unpack(blob: bytes) -> tuple[int, np.ndarray]:
+    import pyarrow as pa
+
+    n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    return n, np.frombuffer(pa.decompress(blob[16:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+
+
+def pack_entries(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts: differences of keys by byte planes, compressed."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return _pack(len(keys), planes.tobytes() + _bytes_of(counts))
+
+
+def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, raw = _unpack(blob)
+    keys = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(keys, dtype=np.uint64), _counts_of(raw[8 * n :], n)
+
+
+class Plan:
+    """How a corpus is cut: chunks of documents, ranges of hashes (a power of two), bits of n-gram keys.
+
+    Chunks and ranges have a fixed size until a chunk's part for a range would get as small as its overhead; from there on
+    both grow as the root of the corpus, to some 200 MB at 100 TB.
+    """
+
+    def __init__(self, df: DataFrame, text_col: str, chunk: int = CHUNK, span: int = RANGE):
+        size = df.agg(F.coalesce(F.sum(F.char_length(F.col(f"`{text_col}`"))), F.lit(0)).cast("long")).first()[0]
+        least, few = math.isqrt(200 * size), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.chunks = max(1, -(-size // max(chunk, least)), min(few, size // 500_000))
+        self.range_bits = math.ceil(math.log2(max(1, -(-size // max(span, least)))))
+        self.bits = min(64, math.ceil(math.log2(max(2, size))) + SPARE_BITS)
+
+    def owner(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """The range of each key; sorted keys have rising ranges."""
+        if not self.range_bits:
+            return np.zeros(len(keys), np.int64)
+        return (keys >> np.uint64((64 if order == 1 else self.bits) - self.range_bits)).astype(np.int64)
+
+
+def _dealt(df: DataFrame, plan: Plan, id_col: str, text_col: str, train: Column) -> DataFrame:
+    """(chunk, doc, train, text): a chunk is a partition."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    chunk = F.pmod(F.xxhash64(ident.cast("string"), text), F.lit(plan.chunks)).cast("int")
+    return df.select(chunk.alias("chunk"), ident.alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+
+
+def _asks(plan: Plan):
+    """The texts of a chunk to (owner, chunk, gram, data): its distinct n-grams with their training counts, by owner."""
 
     def run(batches):
         import pyarrow as pa
 
-        hashes = Hashes()
-        for part in _chunks(rows(batches, "text"), 12_000_000):
-            h, sizes = hashes(t for (t,) in part)
-            two, at2, three, at3 = _ngrams(h, sizes)
-            whole = np.zeros(max(0, len(h) - 1), np.uint64)
-            whole[at2] = two
-            for order, key, first, second in ((2, two, h[at2], h[at2 + 1]), (3, three, whole[at3], whole[at3 + 1])):
-                _, at, n = np.unique(key, return_index=True, return_counts=True)
-                for k in range(0, len(at), 1 << 16):
-                    i = at[k : k + (1 << 16)]
-                    cols = [pa.array(np.full(len(i), order, np.int32)), *(pa.array(x[i].view(np.int64)) for x in (first, second)), pa.array(n[k : k + (1 << 16)].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, ["o", "a", "b", "n"])
-
-    each = df.mapInArrow(run, "o int, a long, b long, n long")
-    kept = materialize(each.groupBy("o", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "lm-ngrams")
-    two, three = kept.where("o = 2"), kept.where("o = 3")
-    return two.select(F.col("a").alias("v"), F.col("b").alias("w"), "n"), three.select(F.col("a").alias("uv"), F.col("b").alias("vw"), "n")
-
-
-class Automaton:
-    """States, arcs and failure arcs in memory, from counts: for a model that fits, and to hold score() against.
-    words: the vocabulary; c: its counts."""
-
-    def __init__(self, words, c, total, types, pairs, pair_n, triples, triple_n):
-        self.ids = {w: k for k, w in enumerate(words)}
-        self.floor = total + ADD * (types + 1)
-        p1 = (np.asarray(c, dtype=np.float64) + ADD) / self.floor
-        self.uni = np.log10(p1).tolist()
-        a, b = pairs // CONTEXT, pairs % CONTEXT
-        p2 = (pair_n - DISCOUNT) / np.asarray(c, dtype=np.float64)[a] if len(pairs) else np.zeros(0)
-        n = len(words)
-        left2 = 1 - np.bincount(a, p2, minlength=n)
-        bow2 = np.log10(np.maximum(left2, 1e-12) / np.maximum(1 - np.bincount(a, p1[b] if len(pairs) else None, minlength=n), 1e-12))
-        has2 = np.bincount(a, minlength=n) > 0
-        # trigram contexts are states after the words'
-        ab, z = triples // CONTEXT, triples % CONTEXT
-        p3 = (triple_n - DISCOUNT) / pair_n[ab] if len(triples) else np.zeros(0)
-        bz = np.searchsorted(pairs, b[ab] * CONTEXT + z) if len(triples) else np.zeros(0, np.int64)
-        m = len(pairs)
-        has3 = np.bincount(ab, minlength=m) > 0
-        left3 = 1 - np.bincount(ab, p3, minlength=m)
-        bow3 = np.log10(np.maximum(left3, 1e-12) / np.maximum(1 - np.bincount(ab, p2[bz] if len(triples) else None, minlength=m), 1e-12))
-        # states: 0 the root, 1 + w a word, 1 + n + i the bigram i; a context without arcs is its shorter one
-        word_state = np.where(has2, 1 + np.arange(n), 0)
-        pair_state = np.where(has3, 1 + n + np.arange(m), word_state[b] if m else np.zeros(0, np.int64))
-        self.first = word_state.tolist()
-        self.fail = {1 + k: (0, bow2[k]) for k in np.flatnonzero(has2).tolist()}
-        self.fail |= {1 + n + k: (int(word_state[b[k]]), bow3[k]) for k in np.flatnonzero(has3).tolist()}
-        self.exit = {s: w + (self.fail[t][1] if t else 0.0) for s, (t, w) in self.fail.items()} | {0: 0.0}
-        self.arcs = dict(zip(((1 + a) * CONTEXT + b).tolist(), zip(pair_state.tolist(), np.log10(p2).tolist())))
-        self.arcs |= dict(zip(((1 + n + ab) * CONTEXT + z).tolist(), zip(pair_state[bz].tolist() if len(triples) else [], np.log10(p3).tolist())))
-        self.start = self.first[self.ids[END]] if END in self.ids else 0
-
-    def walk(self, text: str | None) -> tuple[int, int, float, float, dict[bytes, int]]:
-        """(tokens, those in the vocabulary, their base score, score) and the words outside it, whose unigram is due."""
-        arcs, fail, out, uni, first, ids = self.arcs, self.fail, self.exit, self.uni, self.first, self.ids
-        state, score, base, known, rare = self.start, 0.0, 0.0, 0, {}
-        words = tokens(text)
-        for word in words:
-            w = ids.get(word)
-            if w is None:
-                rare[word] = rare.get(word, 0) + 1
-                score += out[state]
-                state = 0
-                continue
-            p = uni[w]
-            base += p
-            known += 1
-            while state:
-                arc = arcs.get(state * CONTEXT + w)
-                if arc:
-                    state, p = arc
-                    score += p
-                    break
-                state, p_back = fail[state]
-                score += p_back
-            else:
-                score += p
-                state = first[w]
-        return len(words), known, base, score, rare
-
-
-class Model:
-    """Tables of all words' counts, of kept n-grams and of their weights: (h, base, e)."""
-
-    def __init__(self, counts: DataFrame, total: int, types: int, pairs: DataFrame, triples: DataFrame, weights: DataFrame, cache: tuple):
-        self.counts, self.total, self.types, self.pairs, self.triples = counts, total, types, pairs, triples
-        self.weights, self.cache = weights, cache
-
-    def automaton(self) -> Automaton:
-        """The whole model in this process."""
-        import xxhash
-
-        top = sorted(((bytes(r.word), r.c) for r in self.counts.collect()), key=lambda x: (-x[1], x[0]))
-        words = [w for w, _ in top]
-        by = {xxhash.xxh64_intdigest(w, 42): k for k, w in enumerate(words)}
-        signed = lambda h: h & (1 << 64) - 1
-        two = sorted((by[signed(r.v)] * CONTEXT + by[signed(r.w)], r.n, r.h) for r in self.pairs.select("v", "w", "n", "h").collect())
-        at = {h: k for k, (_, _, h) in enumerate(two)}
-        three = sorted((at[r.uv] * CONTEXT + two[at[r.vw]][0] % CONTEXT, r.n) for r in self.triples.select("uv", "vw", "n").collect())
-        columns = lambda got: [np.array([g[k] for g in got], dtype=np.int64) for k in (0, 1)]
-        return Automaton(words, [n for _, n in top], self.total, self.types, *columns(two), *columns(three))
-
-
-def _backoff(used: Column, shorter: Column) -> Column:
-    return F.log10(F.greatest(1 - used, F.lit(1e-12)) / F.greatest(1 - shorter, F.lit(1e-12)))
-
-
-def train(df: DataFrame, text_col: str = "text") -> Model:
-    counts = word_counts(df, text_col)
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = counts.select(F.xxhash64("word").alias("h"), "c", ((F.col("c") + ADD) / F.lit(float(total + ADD * (types + 1)))).alias("p1"))
-    two, three = ngram_counts(df.select(F.col(text_col).alias("text")))
-    two = two.join(words.select(F.col("h").alias("v"), F.col("c").alias("cv")), "v").join(words.select(F.col("h").alias("w"), "p1"), "w")
-    pairs = materialize(two.select("v", "w", "n", F.xxhash64("v", "w").alias("h"), ((F.col("n") - DISCOUNT) / F.col("cv")).alias("p2"), "p1"), "lm-pairs")
-    after = materialize(pairs.groupBy("v").agg(_backoff(F.sum("p2"), F.sum("p1")).alias("b2")), "lm-word-states")
-    three = three.join(pairs.select(F.col("h").alias("uv"), F.col("n").alias("c2")), "uv").join(pairs.select(F.col("h").alias("vw"), "p2"), "vw")
-    triples = materialize(three.select("uv", "vw", "n", F.xxhash64("uv", "vw").alias("h"), ((F.col("n") - DISCOUNT) / F.col("c2")).alias("p3"), "p2"), "lm-triples")
-    after2 = materialize(triples.groupBy("uv").agg(_backoff(F.sum("p3"), F.sum("p2")).alias("b3")), "lm-pair-states")
-    zero = F.lit(0.0)
-    one = words.join(after.withColumnRenamed("v", "h"), "h", "left").select("h", F.col("c").alias("n"), F.log10("p1").alias("base"), (F.log10("p1") + F.coalesce("b2", zero)).alias("e"), F.lit(1).alias("o"))
-    two = pairs.join(after, "v").join(after2.withColumnRenamed("uv", "h"), "h", "left")
-    two = two.select("h", "n", zero.alias("base"), (F.log10("p2") - F.col("b2") - F.log10("p1") + F.coalesce("b3", zero)).alias("e"), F.lit(2).alias("o"))
-    three = triples.join(after2, "uv").select("h", "n", zero.alias("base"), (F.log10("p3") - F.col("b3") - F.log10("p2")).alias("e"), F.lit(3).alias("o"))
-    weights = materialize(one.unionByName(two).unionByName(three), "lm-weights")
-    cache = []
-    for order in (1, 2, 3):
-        own = weights.where(F.col("o") == order)
-        got = own.where(F.col("n") >= most_frequent(own, "n", CACHE)).select("h", "base", "e").toPandas()  # CACHE rows at most
-        h, at = np.unique(got["h"].to_numpy(np.int64).view(np.uint64), return_index=True)
-        cache.append((h, got["base"].to_numpy(np.float64)[at], got["e"].to_numpy(np.float64)[at]))
-    return Model(counts, total, types, pairs, triples, weights.select("h", "base", "e", "o"), tuple(cache))
-
-
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for each row of df."""
-    sent = df.sparkSession.sparkContext.broadcast(model.cache)
+        chunk, texts, trains = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                chunk = part.column("chunk")[0].as_py()
+                texts += part.column("text").to_pylist()
+                trains += part.column("train").to_pylist()
+        if not texts:
+            return
+        h, sizes = Hashes()(texts)
+        del texts
+        known = np.repeat(np.array(trains, dtype=np.float64), sizes)
+        for order, key, at in zip(ORDERS, *_grams(h, sizes, plan.bits)):
+            keys, where = np.unique(key, return_inverse=True)
+            counts = np.bincount(where, known[at], minlength=len(keys)).astype(np.int64)
+            owner = plan.owner(keys, order)
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            data = [pack_entries(keys[a:b], counts[a:b]) for a, b in zip(begin, [*begin[1:], len(keys)])]
+            n = len(begin)
+            cols = [pa.array(owner[begin], pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([order] * n, pa.int32()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["owner", "chunk", "gram", "data"])
+        tidy()
+
+    return run
+
+
+def _answers(batches):
+    """What chunks ask an owner to (chunk, gram, owner, data, total, types): all chunks' counts together, to each as it asked."""
+    import pyarrow as pa
+
+    asked: dict[int, list] = {o: [] for o in ORDERS}
+    owner = 0
+    for batch in batches:
+        for o, chunk, order, data in zip(*[batch.column(c).to_pylist() for c in ("owner", "chunk", "gram", "data")]):
+            owner = o
+            asked[order].append((chunk, data))
+    names = ["chunk", "gram", "owner", "data", "total", "types"]
+    for order, got in asked.items():
+        if not got:
+            continue
+        parts = [unpack_entries(data) for _, data in got]
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = np.bincount(where, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        data = [_pack(int(b - a), _bytes_of(sums[where[a:b]])) for a, b in zip([0, *ends[:-1]], ends)]
+        n, first = len(got), order == 1
+        total, types = [0] * n, [0] * n
+        if first:
+            total[0], types[0] = int(sums.sum()), int((sums > 0).sum())
+        cols = [pa.array([c for c, _ in got], pa.int32()), pa.array([order] * n, pa.int32()), pa.array([owner] * n, pa.int32()), pa.array(data, pa.binary()), pa.array(total, pa.int64()), pa.array(types, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names)
+    tidy()
+
+
+def _passed(c: np.ndarray, context: np.ndarray, mu: float, p: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What tokens add from states of that count: an arc's log-probability, or a failure arc's weight and what the shorter
+    state adds (low). And their probabilities. p: the shorter state's."""
+    q = (c + mu * p) / (context + mu)
+    return np.where(c > 0, np.log10(q), np.log10(mu / (context + mu)) + low), q
+
+
+def _walks(plan: Plan, total: int, types: int, ids, mu: tuple[float, float]):
+    """The texts and answers of a chunk to (doc, train, n_tokens, n_known, base_score, score)."""
 
     def run(batches):
         import pyarrow as pa
 
-        cache, hashes = sent.value, Hashes()
-        names = ["doc_id", "n_tokens", "known", "base", "score", *(f"rest{o}" for o in (1, 2, 3))]
-        for part in _chunks(((t, i) for i, t in rows(batches, "doc_id", "text")), 1_000_000):
-            h, sizes = hashes(t for t, _ in part)
-            text, ends = np.repeat(np.arange(len(part)), sizes), np.cumsum(sizes)
-            two, at2, three, at3 = _ngrams(h, sizes)
-            one = np.ones(len(h), dtype=bool)
-            one[ends - sizes] = False  # the end before a text is no token of it
-            sums, rest, known = np.zeros((2, len(part))), [], None
-            for (keys, base, e), key, of in zip(cache, (h[one], two, three), (text[one], text[at2], text[at3])):
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                met = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-                for k, weight in enumerate((base, e)):
-                    sums[k] += np.bincount(of[met], weight[at[met]], minlength=len(part))
-                known = np.bincount(of[met], minlength=len(part)) if known is None else known
-                left = np.concatenate([[0], np.cumsum(np.bincount(of[~met], minlength=len(part)))])
-                rest.append(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(key[~met].view(np.int64))))
-            cols = [pa.array([i for _, i in part], pa.int64()), pa.array(sizes - 1), pa.array(known.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-            yield pa.RecordBatch.from_arrays([*cols, *rest], names)
-
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rest1 array<long>, rest2 array<long>, rest3 array<long>"
-    light = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    walked = materialize(light.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-walked")
-    due = [walked.select("row", F.lit(o).alias("o"), F.explode(f"rest{o}").alias("h")) for o in (1, 2, 3)]
-    due = due[0].unionByName(due[1]).unionByName(due[2])
-    unseen, word = F.lit(float(np.log10(ADD / (model.total + ADD * (model.types + 1))))), F.col("o") == 1
-    met = due.join(model.weights, ["o", "h"], "left").groupBy("row").agg(
-        F.sum(F.when(word, F.coalesce("base", unseen))).alias("more_base"),
-        F.sum(F.coalesce("e", F.when(word, unseen).otherwise(0.0))).alias("more"),
-        F.count_if(word & F.col("e").isNotNull()).alias("more_known"),
-    )
-    zero = F.lit(0.0)
-    return walked.drop("rest1", "rest2", "rest3").join(met, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more", zero)).alias("score"),
+        docs, trains, texts, answers = [], [], [], {o: [] for o in ORDERS}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for gram, owner, data, doc, train, text in zip(*[part.column(c).to_pylist() for c in ("gram", "owner", "data", "doc", "train", "text")]):
+                    if gram:
+                        answers[gram].append((owner, data))
+                    else:
+                        docs.append(doc)
+                        trains.append(train)
+                        texts.append(text)
+        if not docs:
+            return
+        h, sizes = Hashes()(texts)
+        del texts
+        counts = []
+        for order, key in zip(ORDERS, _grams(h, sizes, plan.bits)[0]):
+            keys, where = np.unique(key, return_inverse=True)
+            got = [_counts_of(raw, n) for _, data in sorted(answers.pop(order)) for n, raw in [_unpack(data)]]
+            got = np.concatenate([np.zeros(0, np.int64), *got])
+            if len(got) != len(keys):
+                raise RuntimeError("a chunk of texts has changed between two reads")
+            counts.append(got[where].astype(np.float64))
+        at1, _, at3 = _grams(h, sizes, plan.bits)[1]
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        c1, c2, c3 = counts
+        # of each position: its word's count, and that of the two words that end there
+        word, pair, p2, low2 = (np.zeros(len(h)) for _ in range(4))
+        ends = np.cumsum(sizes) - 1
+        word[at1], pair[at1] = c1, c2
+        word[ends - sizes + 1] = word[ends]  # an end is the context of a text's first word
+        p1 = (c1 + ADD) / (total + ADD * (types + 1))
+        low1 = np.log10(p1)
+        low2[at1], p2[at1] = _passed(c2, word[at1 - 1], mu[0], p1, low1)
+        score = low2.copy()
+        score[at3], _ = _passed(c3, pair[at3 - 1], mu[1], p2[at3], low2[at3])
+        sums = lambda of, weight: np.bincount(of, weight, minlength=len(docs))
+        cols = [pa.array(docs, ids), pa.array(trains, pa.bool_()), pa.array(sizes - 1), pa.array(sums(text[at1], c1 > 0).astype(np.int64))]
+        cols += [pa.array(sums(text[at1], low1)), pa.array(sums(text, score))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+        tidy()
+
+    return run
+
+
+def score(
+    df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = (MU2, MU3),
+    chunk: int = CHUNK, span: int = RANGE,
+) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for each row of df.
+
+    train: which rows the model learns from. mu: weights of the shorter states, in tokens. chunk, span: characters of a chunk of texts and of a range's share, which bound
+    what a task holds; results do not depend on them.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    plan, kind = Plan(df, text_col, chunk, span), df.select(F.col(f"`{id_col}`")).schema[0].dataType
+    docs = _dealt(df, plan, id_col, text_col, train)
+    asks = docs.repartitionById(plan.chunks, "chunk").mapInArrow(_asks(plan), "owner int, chunk int, gram int, data binary")
+    answers = asks.repartitionById(1 << plan.range_bits, "owner").mapInArrow(_answers, "chunk int, gram int, owner int, data binary, total long, types long")
+    answers = materialize(answers, "lm-answers")
+    zero = F.lit(0).cast("long")
+    total, types = answers.agg(F.coalesce(F.sum("total"), zero), F.coalesce(F.sum("types"), zero)).first()
+    none = lambda kind: F.lit(None).cast(kind)
+    both = docs.select("chunk", F.lit(0).alias("gram"), F.lit(0).alias("owner"), none("binary").alias("data"), "doc", "train", "text").unionByName(
+        answers.select("chunk", "gram", "owner", "data", none(kind).alias("doc"), F.lit(False).alias("train"), none("string").alias("text"))
     )
+    schema = f"doc_id {kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double"
+    out = both.repartitionById(plan.chunks, "chunk").mapInArrow(_walks(plan, total, types, to_arrow_type(kind), mu), schema)
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held_out: Column = fold("doc_id", 10) == 0
-    model = train(docs.where(~held_out))
-    out = score(docs, model)
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -412,37 +412,78 @@ def test_equal_scores_stay_below_the_cut():
     assert 3 < toxicity._cut(np.arange(10.0), 0.6) < 4
 
 
-def test_language_model(hard):
-    model = lm_scoring.train(hard)
-    got = lm_scoring.score(hard, model).collect()
-    split = lambda t: [*(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), b"\n"]
-    c = Counter(w for _, t in rows_of(hard) for w in split(t))
-    n, v = sum(c.values()), len(c)
-    want = Counter((i, len(split(t)), sum(c[w] > 0 for w in split(t)), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in split(t)), 4)) for i, t in rows_of(hard))
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-
-
-def test_automaton_is_a_distribution(hard, monkeypatch):
-    model = lm_scoring.train(hard)
-    au, floor = model.automaton(), model.total + 0.1 * (model.types + 1)
-    counts = {bytes(r.word): r.c for r in model.counts.collect()}
-
-    def p(state, w):
-        k, s = au.ids.get(w), 0.0
-        if k is None or k >= lm_scoring.CONTEXT:
-            return 10 ** (au.exit[state] + math.log10((counts.get(w, 0) + 0.1) / floor))
+def split(text):
+    return [*(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))), b"\n"]
+
+
+class Automaton:
+    """The model as states (the last words), arcs and failure arcs, walked word by word."""
+
+    def __init__(self, texts):
+        self.n = [Counter(), Counter(), Counter()]
+        for t in texts:
+            seq = [b"\n", *split(t)]
+            self.n[0].update(seq[1:])
+            self.n[1].update(zip(seq, seq[1:]))
+            self.n[2].update(zip(seq, seq[1:], seq[2:]))
+        self.total, self.types = sum(self.n[0].values()), len(self.n[0])
+        self.uni = lambda w: (self.n[0][w] + 0.1) / (self.total + 0.1 * (self.types + 1))
+        self.fail, self.arcs = {}, {}
+        for (v, w), c in self.n[1].items():
+            self.fail[v,] = math.log10(lm_scoring.MU2 / (self.n[0][v] + lm_scoring.MU2))
+            self.arcs[(v,), w] = math.log10((c + lm_scoring.MU2 * self.uni(w)) / (self.n[0][v] + lm_scoring.MU2))
+        for (u, v, w), c in self.n[2].items():
+            self.fail[u, v] = math.log10(lm_scoring.MU3 / (self.n[1][u, v] + lm_scoring.MU3))
+            self.arcs[(u, v), w] = math.log10((c + lm_scoring.MU3 * 10 ** self.arcs[(v,), w]) / (self.n[1][u, v] + lm_scoring.MU3))
+
+    def step(self, state, w):
+        weight = 0.0
         while state:
-            if arc := au.arcs.get(state * lm_scoring.CONTEXT + k):
-                return 10 ** (s + arc[1])
-            state, back = au.fail[state]
-            s += back
-        return 10 ** (s + au.uni[k])
-
-    states = [0, au.start, *list(au.fail)[:5], *list(au.fail)[-5:]]
+            if (state, w) in self.arcs:
+                return weight + self.arcs[state, w]
+            weight, state = weight + self.fail.get(state, 0.0), state[1:]
+        return weight + math.log10(self.uni(w))
+
+    def walk(self, text):
+        seq, state, score = split(text), (b"\n",), 0.0
+        for w in seq:
+            score, state = score + self.step(state, w), (*state, w)[-2:]
+        return len(seq), sum(self.n[0][w] > 0 for w in seq), sum(math.log10(self.uni(w)) for w in seq), score
+
+
+@pytest.mark.parametrize("chunk, span", [(lm_scoring.CHUNK, lm_scoring.RANGE), (1000, 300)])
+def test_language_model(hard, chunk, span):
+    """Each score is that of a walk through the explicit automaton, however the corpus is cut."""
+    au = Automaton(t for i, t in rows_of(hard) if i is None or i % 4)
+    got = lm_scoring.score(hard, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True)), chunk=chunk, span=span).collect()
+    near = lambda i, n, known, base, score: (i, n, known, float(f"{base:.9g}"), float(f"{score:.9g}"))
+    assert Counter(near(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == Counter(near(i, *au.walk(t)) for i, t in rows_of(hard))
+    assert {r.train_tokens for r in got} == {au.total} and sum(r.train for r in got) == sum(i is None or i % 4 > 0 for i, _ in rows_of(hard))
+
+
+def test_automaton_is_a_distribution(hard):
+    au = Automaton(t for _, t in rows_of(hard))
+    states = [(b"\n",), (b"\n", b"the"), (b"never", b"seen"), *list(au.fail)[:20], *list(au.fail)[-20:]]
     assert len(au.fail) > 20
     for s in states:
-        assert math.isclose(sum(p(s, w) for w in counts) + p(s, b"never seen"), 1, rel_tol=1e-9)
+        if s[-1] != b"\n" or len(s) == 1:
+            assert math.isclose(sum(10 ** au.step(s, w) for w in au.n[0]) + 10 ** au.step(s, b"never seen"), 1, rel_tol=1e-9)
+
+
+def test_language_model_without_training(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, F.lit(False)).collect()}
+    assert got["a"].n_tokens == 3 and got["a"].n_known == got["b"].n_known == got["a"].train_tokens == 0
+    assert got["a"].score == got["a"].base_score == 0.0  # of no known words the unknown one has all the probability
+
+
+def test_packed_entries():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        counts = rng.integers(0, 600, len(keys))
+        back = lm_scoring.unpack_entries(lm_scoring.pack_entries(keys, counts))
+        assert (back[0] == keys).all() and (back[1] == counts).all()
 
 
 def test_long_runs_of_wide_keys(spark):
@@ -458,33 +499,15 @@ def test_long_runs_of_wide_keys(spark):
     assert {(r.node, r.root) for r in simhash.wide_near(keyed).collect()} == {(0, 0), (1, 0), (len(w) - 1, 0), (2, 2), (len(w) - 2, 2)}
 
 
-def test_language_model_keeps_ngrams_of_rare_words(spark, monkeypatch):
-    """Ngrams of words beyond the 8,192 most frequent count too; scores are the whole automaton's, whatever is cached."""
-    words = [f"w{k}" for k in range(9000)]
-    texts = [" ".join(words)] * 2 + [" ".join(words[:8500])] * 2 + ["w8998 w8999", "w8999 w8998", "w8997 w8998 w8999 never w8998", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    model = lm_scoring.train(docs.where("doc_id < 4"))
-    got = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
-    assert got[4] > got[5] + 2
-    au = model.automaton()
-    for i, t in enumerate(texts):
-        _, _, _, want, rare = au.walk(t)
-        assert math.isclose(got[i], want + sum(rare.values()) * math.log10(0.1 / au.floor), rel_tol=1e-9)
-    monkeypatch.setattr(lm_scoring, "CACHE", 3)
-    small = lm_scoring.train(docs.where("doc_id < 4"))
-    again = {r.doc_id: r.score for r in lm_scoring.score(docs, small).collect()}
-    assert all(math.isclose(got[i], again[i], rel_tol=1e-9) for i in got)
-
-
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert exact_dedup.exact_dedup(none).count() == exact_dedup.keep_first(none).count() == 0
-    assert mixing.fair_queue(none).count() == mixing.mix(none).count() == 0
+    assert mixing.taken(mixing.fair_queue(none)).count() == mixing.mix(none).count() == 0
     assert packing.pack(none).count() == 0
     assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
     assert token_files.read_shards(token_files.write_shards(none)).count() == 0
     assert language_id.identify(none, language_id.profiles(none)).count() == 0
     assert importance.resample(none, labels).count() == 0
     assert toxicity.score(none, toxicity.learn(none, labels)).count() == 0
-    assert lm_scoring.score(none, lm_scoring.train(none)).count() == 0
+    assert lm_scoring.score(none, F.lit(True)).count() == 0
