@@ -4,13 +4,14 @@ Texts are bags of hashed word unigrams and bigrams. Two bag-of-buckets models, o
 document the log ratio of its probabilities under them; a document's key is that log weight plus Gumbel noise from its
 id's hash, and the top k keys are a sample without replacement in proportion to the weights.
 
-Target text is what labels call good; raw text is everything. Both models count all rows. Log weights are means for each
-feature times a length of at most TEMPER features, so that a long document's weight isn't decided by its length; whole
-texts are counted.
+Target text is what labels call good; raw text is everything. Both models count all rows. log_ratio is the documents' log
+ratio as the models give it. Of a text of hundreds of features it outweighs any Gumbel noise, so that the draw would be a
+cut by length. log_weight, which the draw uses, is therefore its mean for a feature times a length of at most TEMPER
+features (None: log_ratio itself); whole texts are counted.
 
 Edge cases. Null, empty or blank text has log weight 0 and competes by noise alone. Null ids hash as empty text; equal
 keys go by id, so repeated rows are drawn together as far as k allows. Without target rows all log weights are 0. An
-empty table gives an empty result.
+empty table gives an empty result. Ids may have any sortable type.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import materialize, table
 from .tokens import rows
 
 BUCKETS, SMOOTH, TEMPER, KEEP = 1 << 16, 1.0, 16, 0.85
-MEMO, MARKED = 1 << 17, 1 << 20
+MEMO = 1 << 17
 
 
 class Bags:
@@ -78,30 +79,39 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return p(target) - p(raw)
 
 
-def resample(df: DataFrame, good: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, selected for each row of df; good: ids of target rows. keep: the share drawn."""
-    marks = good.select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a broadcast spares a shuffle of all texts while the marked ids are few; they are counted, and beyond that both sides move
-    few = marks.count() <= MARKED
-    flagged = ids.join(F.broadcast(marks) if few else marks, "id", "left").withColumn("flag", F.coalesce("good", F.lit(False)))
+def resample(
+    df: DataFrame, good: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, temper: int | None = TEMPER
+) -> DataFrame:
+    """doc_id, log_ratio, log_weight, gumbel_key, selected for each row of df; good: ids of target rows. keep: the share drawn."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    marks = good.select(F.col(f"`{id_col}`").alias("id")).distinct().withColumn("good", F.lit(True))
+    ids = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # marked ids grow with the corpus: a merge at every size, never a broadcast
+    flagged = ids.join(marks.hint("merge"), "id", "left").withColumn("flag", F.coalesce("good", F.lit(False)))
     ratio = log_ratio(*bucket_counts(flagged, "text", "flag"))
     sent = df.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))  # BUCKETS numbers
+    kind = ids.schema[0].dataType
+    arrow_kind = to_arrow_type(kind)
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         bags, table_ = Bags(), sent.value
         for batch in batches:
-            out = []
+            found, out = [], []
             for doc_id, text in rows([batch], "id", "text"):
                 f = bags(text)
-                w = float(table_[f].sum(dtype=np.float64)) * min(1.0, TEMPER / max(1, len(f)))
-                u = (zlib.crc32(f"{seed}:{'' if doc_id is None else doc_id}".encode()) + 0.5) / 2**32
-                out.append((doc_id, w, w - float(np.log(-np.log(u)))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[k] for o in out], pa.float64()) for k in (1, 2)]], ["doc_id", "log_weight", "gumbel_key"])
-
-    keyed = materialize(ids.mapInArrow(run, "doc_id long, log_weight double, gumbel_key double"), "gumbel-keys")
+                whole = float(table_[f].sum(dtype=np.float64))
+                w = whole * (min(1.0, temper / max(1, len(f))) if temper else 1.0)
+                u = (xxhash.xxh64_intdigest("" if doc_id is None else str(doc_id), seed) + 0.5) / 2**64
+                found.append(doc_id)
+                out.append((whole, w, w - float(np.log(-np.log(min(u, 1 - 1e-16))))))
+            cols = [pa.array(found, arrow_kind), *[pa.array([o[k] for o in out], pa.float64()) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "log_ratio", "log_weight", "gumbel_key"])
+
+    keyed = materialize(ids.mapInArrow(run, f"doc_id {kind.simpleString()}, log_ratio double, log_weight double, gumbel_key double"), "gumbel-keys")
     n = keyed.count()
     return top_share(keyed, -(-int(n * keep * 1000) // 1000) if n else 0)
 
@@ -116,7 +126,7 @@ def top_share(keyed: DataFrame, k: int) -> DataFrame:
         before.append((r.part, at))
         at += r["count"]
     offsets = F.broadcast(keyed.sparkSession.createDataFrame(before, "part int, before long"))
-    return parts.join(offsets, "part").select("doc_id", "log_weight", "gumbel_key", (F.col("before") + F.col("nth") < k).alias("selected"))
+    return parts.join(offsets, "part").select("doc_id", "log_ratio", "log_weight", "gumbel_key", (F.col("before") + F.col("nth") < k).alias("selected"))
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

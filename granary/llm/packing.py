@@ -2,12 +2,14 @@
 
 Each partition encodes its documents and packs the pieces best-fit, longest first, with no shuffle. Bins that are
 nearly full are emitted. The others climb a tree: a node takes the underfull bins of a few neighbours as items, packs
-them best-fit again, emits what is nearly full and passes the rest on. A node passes on at most NODE_BINS bins, the
-emptiest, and emits the others as they are, so a node's memory is bounded and no piece is ever dropped.
+them best-fit again, emits what is nearly full and passes the rest on. A node with more than NODE_BINS underfull bins is
+several tasks, among which they are dealt by a hash; the root goes on in rounds, dealt anew each time, until one task
+holds all that is left or a round merges none. So a node's memory is bounded and every underfull bin takes part.
 
 Only light rows (ids, lengths, checksums) move; token ids are produced where the text is read.
 
-Edge cases. Null or empty text is one piece that holds the end id alone. Null and repeated ids are packed row by row.
+Edge cases. Null or empty text is one piece that holds the end id alone. Null and repeated ids are packed row by row; ids
+may have any type.
 An empty table gives an empty result. Other input columns are not read.
 """
 
@@ -66,6 +68,11 @@ def _pieces(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def pack_local(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    light = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kind = to_arrow_type(light.schema[0].dataType)
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -85,7 +92,7 @@ def pack_local(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
         where, place, loads = best_fit(length, capacity)
         base = TaskContext.get().partitionId() << 32
         cols = [
-            pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+            pa.array(ids, kind), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
             pa.array(crc, pa.int64()), pa.array([base + k for k in where], pa.int64()), pa.array(place, pa.int64()),
             pa.array([loads[k] if not p else None for k, p in zip(where, place)], pa.int64()),
         ]
@@ -95,8 +102,7 @@ def pack_local(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
         out = pa.RecordBatch.from_arrays(cols, names)
         yield from (out.slice(at, 10_000) for at in range(0, out.num_rows, 10_000))
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, load long"
-    light = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {light.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, bin long, place long, load long"
     return light.mapInArrow(run, schema + ", ids binary" * with_ids)
 
 
@@ -113,15 +119,14 @@ def _merge(capacity: int, full: float):
         for b, k, p in zip(bins, where, place):
             if not p:
                 first[k] = b
-        left = sorted((k for k in range(len(loads)) if loads[k] < full), key=loads.__getitem__)[:NODE_BINS]
-        still = set(left)
-        return pd.DataFrame({"bin": bins, "root": [first[k] for k in where], "shift": place, "load": [loads[k] for k in where], "open": [k in still for k in where]})
+        return pd.DataFrame({"bin": bins, "root": [first[k] for k in where], "shift": place, "load": [loads[k] for k in where], "open": [loads[k] < full for k in where]})
 
     return run
 
 
 def pack(
-    df: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    df: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    node_bins: int = NODE_BINS,
 ) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and its ids as bytes)."""
     pieces = materialize(pack_local(df, path or default_path("byte_bpe_50k.json"), end_id, capacity, id_col, text_col, with_ids), "pieces")
@@ -131,15 +136,21 @@ def pack(
     node = F.shiftright("bin", 32)
     top = pieces.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0
     open_ = bins.where(F.col("load") < full)
-    width = 1
+    width, round_, before = 1, 0, None
     while True:
-        width *= FAN_IN
-        step = open_.groupBy(F.floor(node / width).alias("node")).applyInPandas(_merge(capacity, full), "bin long, root long, shift long, load long, open boolean")
+        width, round_ = width * FAN_IN, round_ + 1
+        at = F.floor(node / width)
+        sizes = open_.groupBy(at.alias("node")).agg(F.count("*").alias("n"))  # a row for each node
+        deal = sizes.select("node", F.ceil(F.col("n") / node_bins).alias("tasks"))
+        dealt = open_.withColumn("node", at).join(deal, "node").withColumn("task", F.pmod(F.xxhash64(F.lit(round_), "bin"), "tasks"))
+        step = dealt.groupBy("node", "task").applyInPandas(_merge(capacity, full), "bin long, root long, shift long, load long, open boolean")
         step = materialize(step, "merge")
         by = step.select(F.col("bin").alias("root"), F.col("root").alias("to"), F.col("shift").alias("by"))
         moved = moved.join(by, "root", "left").select("bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
-        if width > top:
+        took, left = step.agg(F.count("*"), F.count_if(F.expr("open and shift = 0"))).first()
+        if width > top and (took <= node_bins or before is not None and left >= before):
             break
+        before = left if width > top else None
         open_ = step.where("open and shift = 0").select(F.col("root").alias("bin"), "load")
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return pieces.join(moved, "bin").select(*keep, F.col("root").alias("sequence_id"), (F.col("place") + F.col("shift")).alias("offset"), *["ids"] * with_ids)

@@ -54,7 +54,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) for each row."""
+    """doc_id, fp (signed long) for each row. Ids keep their type."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    light = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kind = to_arrow_type(light.schema[0].dataType)
 
     def run(batches):
         import pyarrow as pa
@@ -64,11 +68,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids.append(doc_id)
             fps.append(fingerprint(text, words))
             if len(ids) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
                 ids, fps = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return light.mapInArrow(run, f"doc_id {light.schema[0].dataType.simpleString()}, fp long")
 
 
 def ring_keys(distinct: DataFrame) -> DataFrame:

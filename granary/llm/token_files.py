@@ -5,7 +5,8 @@ and an index. Documents lie in ascending key order over all shards (nulls first,
 holds a minimal perfect hash over the shard's distinct keys: cascaded bit arrays (Limasset et al., SEA 2017), in which
 a key owns the first bit that no other key of its level hits; the bit's rank is its slot. A slot stores a 32-bit
 fingerprint of the key, its first record and its number of records, so a lookup costs a few probes and a foreign key is
-refused but for one in four billion. Keys whose 64-bit hashes coincide end in a short explicit list.
+refused but for one in four billion. A shard holds about SHARD_CHARS characters of text at most; records of a key that
+is repeated so often may fill several shards, each of which indexes its own. Keys whose 64-bit hashes coincide end in a short explicit list.
 
 Files are named by attempt and only those that a successful task reports enter the manifest, so lost executors and
 speculative tasks leave no half-written shard behind.
@@ -28,7 +29,7 @@ from .common import materialize, shared_dir, table
 from .tokens import default_path, encoder, rows
 
 MAGIC = b"GRNTOK01"
-GAMMA, LEVELS = 1.6, 40
+GAMMA, LEVELS, SHARD_CHARS = 1.6, 40, 128 << 20
 
 
 def _mix(x: np.ndarray, level: int) -> np.ndarray:
@@ -188,8 +189,12 @@ def write_shards(
         row = (([TaskContext.get().partitionId()], pa.int32()), ([f"{folder}/{name}"], pa.string()), ([len(keys)], pa.int64()), ([sum(lengths)], pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(*x) for x in row], ["shard", "file", "n_docs", "n_tokens"])
 
-    light = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    light = light.repartitionByRange(*[shards] * bool(shards), "doc_id").sortWithinPartitions("doc_id")
+    light = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    size = light.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_CHARS))
+    # rows of one key, or of none, may be any part of the table: they are dealt over shards by a second, random key
+    light = light.withColumn("deal", F.xxhash64("text", F.monotonically_increasing_id()))
+    light = light.repartitionByRange(shards, "doc_id", "deal").sortWithinPartitions("doc_id").drop("deal")
     return materialize(light.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long"), "manifest")
 
 

@@ -13,7 +13,8 @@ classifier is an array of fixed size, which the scoring tasks receive.
 
 Edge cases. Null, empty or blank text has no features and gets the bias alone. Null labels mean unlabelled; null ids
 count as empty text in the fold. A document with several labels is toxic if one says so. Without any toxic row every
-score is the prior. Repeated rows are scored one by one. An empty table gives an empty result.
+score is the prior. Repeated rows are scored one by one; of rows with one id one text is learnt from. An empty table
+gives an empty result. Ids may have any sortable type.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def learn(df: DataFrame, toxic: DataFrame, id_col: str = "doc_id", text_col: str
     positive = ids.where("y = 1").orderBy("at", "id").limit(POSITIVES).select("id", F.lit(1).alias("s"))
     other = ids.orderBy("at", "id").limit(UNLABELLED).select("id", F.lit(0).alias("s"))
     chosen = materialize(positive.unionByName(other).distinct(), "toxic-sample")
-    picked = light.join(F.broadcast(chosen), "id")  # POSITIVES + UNLABELLED rows at most
+    # however often an id is repeated, one text of it is sampled: POSITIVES + UNLABELLED rows at most
+    picked = light.join(F.broadcast(chosen), "id").groupBy("id", "s").agg(F.min("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -157,7 +159,10 @@ def score(df: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """docs without the texts that score limit or more; columns unchanged."""
+    """docs without the texts that score limit or more; columns unchanged, whatever their names.
+
+    Null, empty and blank texts score as the bias alone does, below the limit; null ids and repeated rows are scored row by row.
+    """
     known = docs.where(fold("doc_id", 5) != 0)
     scored = score(docs, learn(known, labels))
     return scored.where(F.col(scored.columns[-1]) < limit).drop(scored.columns[-1])

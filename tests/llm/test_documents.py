@@ -199,6 +199,29 @@ def test_packing(hard):
     assert len(seqs) <= -(-sum(want) // 64) * 1.1 + 1
 
 
+def test_pieces_are_the_librarys(hard):
+    """Every piece's place and checksum, by the tokenizers library on whole texts."""
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(default_path("byte_bpe_50k.json")), Counter()
+    for i, t in rows_of(hard):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        head, at = len(ids) % 64 or 64, 0
+        for k, n in enumerate([head, *[64] * ((len(ids) - head) // 64)]):
+            want[i, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+            at += n
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack(hard, capacity=64).collect()) == want
+
+
+def test_every_underfull_bin_takes_part(spark):
+    """Nodes so small that bins are dealt out again and again pack about as tightly, and lose nothing."""
+    rng = random.Random(7)
+    df = spark.createDataFrame([(f"d{k}", " ".join("word" for _ in range(rng.choice([5, 9, 13, 21])))) for k in range(400)], "doc_id string, text string").repartition(16)
+    loads = lambda got: [sum(r.length for r in got if r.sequence_id == s) for s in {r.sequence_id for r in got}]
+    one, many = (loads(packing.pack(df, capacity=64, node_bins=n).collect()) for n in (packing.NODE_BINS, 7))
+    assert sum(one) == sum(many) and max(one + many) <= 64 and len(many) <= len(one) * 1.1 + 1
+
+
 def test_best_fit_is_tight():
     rng = random.Random(4)
     sizes = [rng.randint(1, 100) for _ in range(500)]
@@ -296,6 +319,26 @@ def test_pigeonring_loses_no_link(monkeypatch, run):
     assert len(near) > 50 and parts(found) == parts(near)
 
 
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.97)])
+def test_recall_of_planted_pairs(spark, similarity, least):
+    """Pairs planted just above a similarity are found; pairs just below 0.8 are not taken for it."""
+    rng, rows, pairs, n = random.Random(int(100 * similarity)), [], [], 400
+    for g in range(100):
+        text = [f"{rng.getrandbits(32):x}" for _ in range(n)]
+        shared = lambda cut: (n - 4 - cut) / (n - 4 + cut)
+        cut = max(c for c in range(n) if shared(c) >= similarity) if g < 70 else min(c for c in range(n) if shared(c) < 0.795)
+        other = [f"{rng.getrandbits(32):x}" for _ in range(cut)] + text[cut:]
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, other)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        pairs.append((2 * g, 2 * g + 1, alike))
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
+    near = {r.node: r.root for r in simhash.similar(spark.createDataFrame(rows, "row long, text string"), "row").collect()}
+    found = lambda a, b: near.get(a, -a - 1) == near.get(b, -b - 1)
+    above, below = [p for p in pairs if p[2] >= 0.8], [p for p in pairs if p[2] < 0.8]
+    assert sum(found(a, b) for a, b, _ in above) >= least * len(above) > 50 and len(below) >= 25
+    assert not any(found(a, b) for a, b, _ in below)
+
+
 def test_similar_texts(spark):
     """At a shingle similarity of 0.85 and more pairs are found, below 0.5 none."""
     rng = random.Random(8)
@@ -367,6 +410,11 @@ def test_language(spark, hard):
     assert all(pred[i] == ("x" if i % 2 else "y") for i in range(60))
 
 
+def plain_features(text):
+    h = [zlib.crc32(w.encode()) for w in (text or "").lower().split()]
+    return [x % importance.BUCKETS for x in h] + [((a * 0x9E3779B1 + b * 0x85EBCA77) % 2**64 >> 7) % importance.BUCKETS for a, b in zip(h, h[1:])]
+
+
 def test_importance(spark, hard):
     rng = random.Random(6)
     rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{rng.randrange(30)}" for _ in range(50))) for i in range(200)]
@@ -375,13 +423,25 @@ def test_importance(spark, hard):
     picked = [r for r in got if r.selected]
     assert len(picked) == 100 and sum(r.doc_id % 2 for r in picked) >= 95
     assert min(r.gumbel_key for r in picked) >= max(r.gumbel_key for r in got if not r.selected)
-    bags, raw, target = importance.Bags(), np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    raw, target = [0] * importance.BUCKETS, [0] * importance.BUCKETS
+    for i, t in rows:
+        for f in plain_features(t):
+            raw[f] += 1
+            target[f] += i % 2 and i < 100
+    model = lambda c: [math.log((x + 1) / (sum(c) + importance.BUCKETS)) for x in c]
+    p, q, keys = model(target), model(raw), {}
     for i, t in rows:
-        n = np.bincount(bags(t), minlength=importance.BUCKETS)
-        raw += n
-        target += n * (i % 2 and i < 100)
-    ratio, f = importance.log_ratio(raw, target), bags(rows[7][1])
-    assert math.isclose(next(r.log_weight for r in got if r.doc_id == 7), ratio[f].sum() * min(1, importance.TEMPER / len(f)), rel_tol=1e-3)
+        f = plain_features(t)
+        whole = sum(p[x] - q[x] for x in f)
+        r = next(r for r in got if r.doc_id == i)
+        assert math.isclose(r.log_ratio, whole, rel_tol=1e-3, abs_tol=1e-3) and math.isclose(r.log_weight, whole * min(1, importance.TEMPER / len(f)), rel_tol=1e-3, abs_tol=1e-3)
+        keys[i] = r.log_weight - math.log(-math.log((xxhash.xxh64_intdigest(str(i), 11) + 0.5) / 2**64))
+        assert math.isclose(r.gumbel_key, keys[i], rel_tol=1e-9)
+    assert {r.doc_id for r in picked} == set(sorted(keys, key=lambda i: (-keys[i], i))[:100])
+    plain = importance.resample(df, spark.range(1, 100, 2).withColumnRenamed("id", "doc_id"), keep=0.5, temper=None).collect()
+    assert all(r.log_weight == r.log_ratio for r in plain)
+    tied = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", "x"), (None, "x")], "doc_id string, text string")
+    assert sum(r.selected for r in importance.resample(tied, tied.select("doc_id").limit(0), keep=0.5).collect()) == 2
     assert importance.resample(hard, hard.select("doc_id").limit(5)).count() == hard.count()
 
 
@@ -406,6 +466,63 @@ def test_toxicity(spark, hard):
     assert 0 < toxicity.score(df, nothing).first().score < 0.5
 
 
+def plain_fit(pos, unl, prior, seed, epochs, parts, rate=0.1, decay=1e-5):
+    """The same risk and steps on dense rows, with each gradient by finite differences of the risk's two terms."""
+    rng = np.random.default_rng(seed)
+    dim = 1 + max(int(i) for x in (*pos, *unl) for i in x)
+    dense = lambda docs: np.array([[(j in set(x.tolist())) / math.sqrt(max(1, len(x))) for j in range(dim)] + [1.0] for x in docs])
+    pos, unl, w = dense(pos), dense(unl), np.zeros(dim + 1)
+    m1, m2, step = np.zeros_like(w), np.zeros_like(w), 0
+    loss = lambda z, y: np.log1p(np.exp(-z if y else z)).mean()
+    for _ in range(epochs):
+        for pi, ui in zip(np.array_split(rng.permutation(len(pos)), parts), np.array_split(rng.permutation(len(unl)), parts)):
+            plus = lambda v: prior * loss(pos[pi] @ v, 1)  # noqa: B023, E731
+            minus = lambda v: loss(unl[ui] @ v, 0) - prior * loss(pos[pi] @ v, 0)  # noqa: B023, E731
+            f = (lambda v: -minus(v)) if minus(w) < 0 else (lambda v: plus(v) + minus(v))  # noqa: B023
+            g = np.array([(f(w + e) - f(w - e)) / 2e-5 for e in 1e-5 * np.eye(dim + 1)]) + decay * np.append(w[:-1], 0)
+            step += 1
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+            w = w - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def test_risk_and_gradient(monkeypatch):
+    """The classifier's weights are those of plain steps along the risk, both where it is negative and where not."""
+    monkeypatch.setattr(toxicity, "CHANCE", -1.0)
+    rng = np.random.default_rng(2)
+    docs = lambda n, lean: [np.unique(rng.choice(8, 4, p=lean)).astype(np.int32) for _ in range(n)]
+    pos, unl = docs(40, [0.3, 0.3, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]), docs(160, [0.05] * 4 + [0.2] * 4)
+    for prior in (0.1, 0.5):
+        got, want = toxicity.fit(pos, unl, prior, 3, epochs=6, parts=2), plain_fit(pos, unl, prior, 3, 6, 2)
+        assert np.allclose(got[:8], want[:8], atol=2e-3)
+
+
+def test_toxic_score_is_a_plain_sum(spark):
+    rng = np.random.default_rng(5)
+    model = rng.normal(0, 1, toxicity.DIM + 1)
+    texts = [None, "", "One two, two!", prose(random.Random(2), 500)]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        words = {w.strip(toxicity.EDGES) for w in (texts[r.doc_id] or "").lower().split()}
+        ids = {zlib.crc32(w.encode()) % toxicity.DIM for w in words} | {zlib.crc32(b"^" + w[:4].encode()) % toxicity.DIM for w in words}
+        z = sum(model[i] for i in ids) / math.sqrt(max(1, len(ids))) + model[-1]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-4)
+
+
+def test_repeated_ids_send_one_text(spark):
+    """An id that a thousand rows share sends the driver one sample."""
+    rows = [(1, f"vile text {k}") for k in range(1000)] + [(k, f"plain text {k}") for k in range(2, 200)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    seen = []
+    keep = toxicity.fit
+    try:
+        toxicity.fit = lambda pos, unl, *a, **k: seen.append((len(pos), len(unl))) or keep(pos, unl, *a, **k)
+        toxicity.learn(df, labels)
+    finally:
+        toxicity.fit = keep
+    assert all(n == 1 for n, _ in seen) and max(m for _, m in seen) <= 199
+
+
 def test_equal_scores_stay_below_the_cut():
     assert toxicity._cut(np.zeros(50), 0.1) > 0
     assert 1 < toxicity._cut(np.array([5.0] * 3 + [1.0] * 40), 0.1) < 5

@@ -14,15 +14,15 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id long, v string, q i
 def brute(rows, k):
     ok = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for at, (q, a) in enumerate(ok):
         if q % 10 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:k]
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, (i, b) in enumerate(ok) if j != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("n,dim", [(0, 3), (5, 3), (400, 4), (700, 16)])
-def test_against_brute_force(spark, monkeypatch, n, dim):
+def test_against_brute_force(spark, n, dim):
     import numpy as np
 
     rng = random.Random(n)
@@ -30,9 +30,8 @@ def test_against_brute_force(spark, monkeypatch, n, dim):
     rows += [(1000, None, 1, 1, "x", 1), (1010, [1.0, None], 1, 1, "x", 1), (1020, [math.nan], 1, 1, "x", 1), (1030, [math.inf], 1, 1, "x", 1), (None, [1.0], 1, 1, "x", 1)]
     if n:
         rows += [(2000, rows[1][1], 1, 1, "x", 1), (2001, rows[1][1], 1, 1, "x", 1), (2010, [], 1, 1, "x", 1), (2011, [1.0], 1, 1, "x", 1)]
-    monkeypatch.setattr(topk_search, "SHARD", 100)
-    monkeypatch.setattr(topk_search, "BLOCK", 16)
-    got = topk_search.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0)
+        rows += [rows[0], (0, rows[2][1], 1, 1, "x", 1), (2000, rows[3][1], 1, 1, "x", 1)]  # repeated rows and ids
+    got = topk_search.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, shard=100, block=16, group=2)
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute(rows, 10)
 
 
@@ -57,3 +56,14 @@ def test_tree_prunes():
     s = tree.vectors @ q
     want = sorted(((int(s[i]), -int(tree.ids[i])) for i in range(len(m)) if tree.ids[i] != 5), reverse=True)[:10]
     assert sorted(best, reverse=True) == want and len(opened) < len(tree.kids) / 4
+
+
+def test_trees_are_built_once(spark):
+    """Each shard's tree is written once, however many blocks of queries meet it."""
+    from granary.storage import recorded
+
+    df = spark.range(900).selectExpr("id as vec_id", "array(cast(id % 17 as float), cast(id % 5 as float)) as embedding")
+    with recorded() as made:
+        topk_search.top_k(df, F.col("vec_id") % 3 == 0, shard=100, block=50, group=3).collect()
+    trees = next(p for p in made if "/trees-" in p)
+    assert spark.read.parquet(trees).count() == 9
