@@ -6,6 +6,7 @@ one kept row. Ties go to the smaller id. Null ids or sequences are refused; so a
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, fields
 from typing import Any, ClassVar
 
@@ -18,6 +19,8 @@ from ..roles import Columns
 from ..storage import materialize
 from .greedy import removed_rows
 
+#: Parameters that place work on one machine; they are accepted for compatibility and warned about.
+PLACEMENT = ("use_faiss", "n_jobs", "dtype", "cluster_mode", "threads", "tmp_root", "keep_tmp", "mmseqs_bin", "work_dir", "keep_work")
 MAPPING = "removed_id string, representative_id string, cluster_id string, score double"
 
 
@@ -69,6 +72,10 @@ class Reducer:
     def run(self, df: DataFrame, cols: Columns | None = None) -> ReductionResult:
         cols = cols or Columns()
         self.validate()
+        if idle := [f.name for f in fields(self) if f.name in PLACEMENT and getattr(self, f.name) != f.default]:
+            warnings.warn(f"{self.name}: {idle} have no effect, the plan decides how work is spread", stacklevel=2)
+        if clash := [c for c in df.columns if c.startswith("__")]:
+            raise ValueError(f"the dataset has columns {clash}, whose names are taken here")
         check_ids(df, cols.id)
         pairs = self.pairs(df, cols)  # removed, representative, score
         return self._result(df, cols, pairs)
@@ -121,8 +128,11 @@ class Exact(Reducer):
         if df.agg(F.count_if(F.col(f"`{cols.sequence}`").isNull())).first()[0]:
             raise ValueError(f"null sequences in {cols.sequence!r}")
         rows = df.select(F.col(f"`{cols.id}`").alias("removed"), F.col(f"`{cols.sequence}`").alias("sequence"))
+        # sequences are compared where they are grouped; their digests alone are joined back to the rows
+        digest = F.sha2(F.col("sequence").cast("string"), 256).alias("h")
         first = rows.groupBy("sequence").agg(F.min("removed").alias("representative"), F.count("*").alias("n")).where("n > 1")
-        return rows.join(first, "sequence").where("removed <> representative").select("removed", "representative", F.lit(1.0).alias("score"))
+        met = rows.select("removed", digest).join(first.select(digest, "representative"), "h")
+        return met.where("removed <> representative").select("removed", "representative", F.lit(1.0).alias("score"))
 
 
 @dataclass
@@ -176,7 +186,7 @@ class _Tokens(Reducer):
 class KmerJaccard(_Tokens):
     """k-mer sets that share a k-mer and have Jaccard >= threshold; the representative shares most k-mers.
 
-    Candidates are not capped: max_candidates is accepted for compatibility and must be None or positive.
+    Candidates are never capped: a max_candidates is refused, as it would make results depend on the order of work.
     """
 
     threshold: float = 0.7
@@ -187,7 +197,8 @@ class KmerJaccard(_Tokens):
     def validate(self) -> None:
         _between("threshold", self.threshold)
         _at_least("k", self.k, 1)
-        _at_least("max_candidates", self.max_candidates or 1, 1)
+        if self.max_candidates is not None:
+            raise ValueError("candidates are never capped here: leave max_candidates unset")
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         rows, first = self.classes(df, cols)
@@ -210,7 +221,8 @@ class IdentityGreedy(_Tokens):
         for n in ("threshold", "jaccard_prefilter", "length_tolerance"):
             _between(n, getattr(self, n))
         _at_least("k", self.k, 1)
-        _at_least("max_candidates", self.max_candidates or 1, 1)
+        if self.max_candidates is not None:
+            raise ValueError("candidates are never capped here: leave max_candidates unset")
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         rows, first = self.classes(df, cols)
@@ -373,9 +385,9 @@ class Homology(_Tokens):
     """Sequence clusters: given as (representative, member) rows, or found by k-mer centres and alignment.
 
     Without given clusters, each sequence's `centres` smallest k-mer hashes name groups, a group's longest sequence is
-    its centre (Linclust; Steinegger & Söding, 2018), and pairs with a centre are aligned. A pair links if identical
-    columns over the shorter length reach min_seq_id and the alignment covers enough: coverage of both (cov_mode 0), of
-    the member (1) or of the centre (2). Results need not equal the external tool's. Rows that no cluster names are kept.
+    its centre (Linclust; Steinegger & Söding, 2018), and pairs with a centre are aligned locally, with gaps. A pair links
+    if the share of identical columns reaches min_seq_id and the aligned columns cover enough: of both sequences (cov_mode
+    0), of the member (1) or of the centre (2). Results need not equal the external tool's. Rows that no cluster names are kept.
     """
 
     clusters: DataFrame | None = None
@@ -428,22 +440,37 @@ class Homology(_Tokens):
         return out.withColumn("score", F.lit(None).cast("double"))
 
 
-def _aligned(a: str, b: str, identity: float, coverage: float, mode: int, a_is_centre: bool) -> bool:
-    """Whether a global alignment without end costs meets identity and coverage; numpy rows, one for each letter of a."""
+#: Scores of a local alignment.
+MATCH, MISMATCH, GAP = 1, -1, -2
+
+
+def align(a: str, b: str) -> tuple[int, int]:
+    """(identical columns, all columns) of the best local alignment (Smith & Waterman, 1981) with linear gap costs.
+
+    A cell holds score and identical columns in one number, the score leading; a row is filled at once, its gaps along the
+    row by a running maximum. Mismatches cost 1 and gaps 2, so a gap counts as two columns.
+    """
     import numpy as np
 
-    n, m = len(a), len(b)
-    ratio = min(n, m) / max(n, m)
-    centre_longer = (n >= m) == a_is_centre
-    if (mode == 0 and ratio < coverage) or (mode == 2 and centre_longer and ratio < coverage):
-        return False
-    y = np.array([ord(ch) for ch in b])
-    # most identical columns: the longest common subsequence, its table kept as rows of running maxima
-    row = np.zeros(m + 1, dtype=np.int32)
+    one = 1 << 24
+    y, slope = np.array([ord(ch) for ch in b], dtype=np.int64), -GAP * one * np.arange(len(b) + 1, dtype=np.int64)
+    row, best = np.zeros(len(b) + 1, dtype=np.int64), 0
     for ch in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (y == ord(ch)))
-        np.maximum.accumulate(row, out=row)
-    return row[m] >= identity * min(n, m)
+        step = np.where(y == ord(ch), MATCH * one + 1, MISMATCH * one)
+        new = np.maximum(row + GAP * one, 0)
+        new[1:] = np.maximum(new[1:], row[:-1] + step)
+        row = np.maximum(np.maximum.accumulate(new + slope) - slope, 0)
+        best = max(best, int(row.max()))
+    score, same = (best + one // 2) // one, (best + one // 2) % one - one // 2
+    return same, 2 * same - score
+
+
+def _aligned(a: str, b: str, identity: float, coverage: float, mode: int, a_is_centre: bool) -> bool:
+    """Whether the alignment of two sequences meets identity and coverage."""
+    same, columns = align(a, b)
+    centre, member = (a, b) if a_is_centre else (b, a)
+    over = {0: (a, b), 1: (member,), 2: (centre,)}[mode]
+    return columns > 0 and same >= identity * columns and all(min(columns, len(x)) >= coverage * len(x) for x in over)
 
 
 STRATEGIES: dict[str, type[Reducer]] = {c.name: c for c in (Exact, KmerJaccard, MinhashJaccard, IdentityGreedy, EmbeddingCosine, DescriptorEuclidean, StructuralDistance, Homology)}

@@ -8,6 +8,7 @@ conventions: half-even rounding of n x test for random, time and distance splits
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from typing import Any, ClassVar
 
@@ -30,6 +31,8 @@ class SplitResult:
     labels: tuple[str, ...] = ()
     groups: tuple[str, ...] = ()
     extra: dict[str, Any] = field(default_factory=dict)
+    #: Further figures, each computed from the assigned rows when statistics are asked for.
+    more: tuple[Callable[[DataFrame], dict[str, Any]], ...] = ()
 
     def part(self, name: str) -> DataFrame:
         return self.assigned.where(F.col("split") == name).drop("split")
@@ -39,7 +42,7 @@ class SplitResult:
     val = property(lambda self: self.part("val"))
 
     def stats(self) -> dict[str, Any]:
-        """Counts of each part, of labels in parts, and of groups that two parts share."""
+        """Counts of each part, of labels and groups in parts, of groups that two parts share, and the strategy's own figures."""
         n = {r.split: r["count"] for r in self.assigned.groupBy("split").count().collect()}
         out: dict[str, Any] = {"n_total": sum(n.values())} | {f"n_{s}": n.get(s, 0) for s in ("train", "val", "test")} | self.extra
         for c in self.labels:
@@ -47,17 +50,26 @@ class SplitResult:
             for r in self.assigned.groupBy("split", F.col(f"`{c}`").cast("string").alias("v")).count().collect():
                 out[f"{c}_counts"].setdefault(r.split, {})[r.v] = r["count"]
         for c in self.groups:
-            row = leaks(self.assigned, c).first()
+            row = _group_counts(self.assigned, c).first()
             out |= {f"{c}_leak_{k}": row[k] for k in ("train_test", "train_val", "val_test")}
+            out |= {f"{c}_n_{k}": row[f"n_{k}"] for k in ("total", "train", "val", "test")}
+        for figures in self.more:
+            out |= figures(self.assigned)
         return out
 
 
 def leaks(assigned: DataFrame, group_col: str) -> DataFrame:
     """One row: how many groups each pair of parts shares."""
+    return _group_counts(assigned, group_col).select("train_test", "train_val", "val_test")
+
+
+def _group_counts(assigned: DataFrame, group_col: str) -> DataFrame:
+    """One row: how many groups each pair of parts shares, and how many there are in all and in each part."""
     has = lambda s: F.max(F.when(F.col("split") == s, 1).otherwise(0)).alias(s)
     g = assigned.groupBy(F.col(f"`{group_col}`").alias("g")).agg(has("train"), has("val"), has("test"))
     both = lambda a, b: F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0)).cast("long").alias(f"{a}_{b}")
-    return g.agg(both("train", "test"), both("train", "val"), both("val", "test"))
+    held = [F.coalesce(F.sum(s), F.lit(0)).cast("long").alias(f"n_{s}") for s in ("train", "val", "test")]
+    return g.agg(both("train", "test"), both("train", "val"), both("val", "test"), F.count("*").alias("n_total"), *held)
 
 
 @dataclass
@@ -71,6 +83,8 @@ class FoldResult:
     seed: int = 13
     labels: tuple[str, ...] = ()
     groups: tuple[str, ...] = ()
+    extra: dict[str, Any] = field(default_factory=dict)
+    more: tuple[Callable[[DataFrame], dict[str, Any]], ...] = ()
 
     def fold(self, i: int) -> SplitResult:
         """Fold i as test; of the others a seeded share is validation, ceil(val x their number)."""
@@ -84,7 +98,7 @@ class FoldResult:
         else:
             rest = rest.withColumn("split", F.lit("train"))
         out = rest.unionByName(self.assigned.where(is_test).withColumn("split", F.lit("test"))).drop("fold")
-        return SplitResult(out, self.strategy, self.params, self.labels, self.groups, {"fold_index": i})
+        return SplitResult(out, self.strategy, self.params, self.labels, self.groups, {"fold_index": i} | self.extra, self.more)
 
     def folds(self) -> list[SplitResult]:
         return [self.fold(i) for i in range(self.k)]
@@ -113,8 +127,8 @@ class Splitter:
         cols = cols or Columns()
         self.validate()
         check_ids(df, cols.id)
-        if clash := {"split", "fold"} & set(df.columns):
-            raise ValueError(f"the dataset has a column {sorted(clash)} already")
+        if clash := sorted(c for c in df.columns if c.lower() in ("split", "fold") or c.startswith("__")):
+            raise ValueError(f"the dataset has columns {clash}, whose names are taken here")
         return self.assign(df, cols)
 
     def assign(self, df: DataFrame, cols: Columns):
@@ -243,8 +257,9 @@ def deal(df: DataFrame, cls: Column, id_col: str, seed: int | None, k: int) -> D
     keyed = df.withColumn("__cls", cls.cast("string"))
     before = F.coalesce(F.sum("n").over(W.orderBy("__cls").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offset = keyed.groupBy("__cls").agg(F.count("*").alias("n")).select("__cls", before.alias("__o"))
-    if seed is None:
-        ranked = keyed.withColumn("__r", F.row_number().over(W.partitionBy("__cls").orderBy(id_col)))
+    if seed is None:  # all rows in one order, so that a class of any size is spread; deal positions count from the class's first
+        ranked = O.order_rank(keyed, F.col("__cls"), F.col(f"`{id_col}`"), name="__all").join(offset.withColumnRenamed("__o", "__b"), "__cls")
+        ranked = ranked.withColumn("__r", F.col("__all") - F.col("__b")).drop("__all", "__b")
     else:
         ranked = O.shuffle_rank(keyed, seed, id_col, ("__cls",), "__r")
     return ranked.join(offset, "__cls").withColumn("fold", ((F.col("__o") + F.col("__r") - 1) % k).cast("int")).drop("__cls", "__o", "__r")
@@ -297,6 +312,26 @@ def bin_of(value: Column, edges: list[float]) -> Column:
     return out.cast("int")
 
 
+def label_stats(df: DataFrame, value: Column) -> dict[str, float]:
+    """n, min, max, mean, sample deviation (0 of one row) and median of a numeric label."""
+    row = df.agg(F.count(value), F.min(value), F.max(value), F.avg(value), F.coalesce(F.stddev_samp(value), F.lit(0.0))).first()
+    return dict(zip(("n", "min", "max", "mean", "std"), row)) | {"median": quantiles(df.where(value.isNotNull()), value, [0.5])[0] if row[0] else None}
+
+
+def bin_counts(value: Column, edges: list[float]) -> Callable[[DataFrame], dict[str, Any]]:
+    """How many rows of each part fall into each bin, and the label's figures in all and in each part."""
+
+    def figures(assigned: DataFrame) -> dict[str, Any]:
+        out: dict[str, Any] = {"n_bins": len(edges) - 1, "bin_counts": {}, "label_stats": {"global": label_stats(assigned, value)}}
+        for r in assigned.groupBy("split", bin_of(value, edges).alias("bin")).count().collect():  # a row for each bin and part
+            out["bin_counts"].setdefault(r.split, {})[r.bin] = r["count"]
+        for part in out["bin_counts"]:
+            out["label_stats"][part] = label_stats(assigned.where(F.col("split") == part), value)
+        return out
+
+    return figures
+
+
 @dataclass
 class _Numeric(Splitter):
     def bins(self, df: DataFrame, value: Column, least: int) -> list[float]:
@@ -354,9 +389,8 @@ class StratifiedNumeric(_Numeric):
             rest = out.where("split = 'train'").drop("split")
             rest = stratify(rest, bin_of(value, self.bins(rest, value, self.min_bin_count)), cols.id, self.seed + 1, parts[0], ("train", "val"))
             out = rest.unionByName(out.where("split = 'test'"))
-        label = df.agg(F.count(value), F.min(value), F.max(value), F.avg(value), F.coalesce(F.stddev_samp(value), F.lit(0.0))).first()
-        extra = {"label_stats": dict(zip(("n", "min", "max", "mean", "std"), label))} | ({"bin_edges": edges} if self.report_bin_edges else {})
-        return SplitResult(out, self.name, self.params(), extra=extra)
+        extra = {"bin_edges": edges} if self.report_bin_edges else {}
+        return SplitResult(out, self.name, self.params(), extra=extra, more=(bin_counts(value, edges),))
 
 
 @dataclass
@@ -379,7 +413,8 @@ class StratifiedNumericKFold(_Numeric):
         df, value = self.prepare(df, cols)
         edges = self.bins(df, value, max(self.min_bin_count, self.n_splits))
         folds = deal(df, bin_of(value, edges), cols.id, self.seed if self.shuffle else None, self.n_splits)
-        return FoldResult(folds, self.name, self.params(), cols.id, self.n_splits, self.val_size, self.seed)
+        extra = {"bin_edges": edges} if self.report_bin_edges else {}
+        return FoldResult(folds, self.name, self.params(), cols.id, self.n_splits, self.val_size, self.seed, extra=extra, more=(bin_counts(value, edges),))
 
 
 def split_groups(df: DataFrame, group: Column, seed: int, test: float, val: float) -> DataFrame:
@@ -489,7 +524,13 @@ class Time(Splitter):
             raise ValueError(f"{missing} rows have no {col!r}")
         n_train, n_val, _ = counts(n, self.test_size, self.val_size)
         ranked = O.order_rank(df, F.col("__t").asc() if self.ascending else F.col("__t").desc(), F.col(f"`{cols.id}`"), name="__r")
-        return SplitResult(ranked.withColumn("split", by_rank(F.col("__r"), n_train, n_val)).drop("__t", "__r"), self.name, self.params())
+        out = ranked.withColumn("split", by_rank(F.col("__r"), n_train, n_val)).drop("__t", "__r")
+
+        def ranges(assigned: DataFrame) -> dict[str, Any]:
+            found = assigned.groupBy("split").agg(F.min(t).alias("first"), F.max(t).alias("last")).collect()
+            return {"time_ranges": {r["split"]: {"first": str(r["first"]), "last": str(r["last"])} for r in found}}
+
+        return SplitResult(out, self.name, self.params(), more=(ranges,))
 
     @staticmethod
     def ranges(result: SplitResult, time_col: str) -> DataFrame:
@@ -511,6 +552,11 @@ def with_clusters(df: DataFrame, cols: Columns, clusters: DataFrame | None, id_c
     return found.withColumn("__c", F.coalesce("__c", F.concat(F.lit("singleton:"), text)))
 
 
+def singletons(cluster_col: str) -> Callable[[DataFrame], dict[str, Any]]:
+    """How many rows no cluster names."""
+    return lambda assigned: {"n_missing_clusters": assigned.where(F.col(f"`{cluster_col}`").startswith("singleton:")).count()}
+
+
 @dataclass
 class ClusterAware(Splitter):
     test_size: float = 0.2
@@ -528,7 +574,8 @@ class ClusterAware(Splitter):
         found = with_clusters(df, cols, self.clusters, self.map_id_col, self.map_cluster_col, own, self.assign_singletons_for_missing)
         out = split_groups(found, F.col("__c"), self.seed, self.test_size, self.val_size)
         out = out.drop(own) if own in df.columns else out
-        return SplitResult(out.withColumnRenamed("__c", own), self.name, self.params(), groups=(own,))
+        source = "column" if own in df.columns else "map"
+        return SplitResult(out.withColumnRenamed("__c", own), self.name, self.params(), groups=(own,), extra={"cluster_source": source}, more=(singletons(own),))
 
 
 @dataclass
@@ -561,7 +608,7 @@ class HomologyAware(Splitter):
             member, cluster = "member", "representative"
         found = with_clusters(df, cols, clusters, member, cluster, None, True)
         out = split_groups(found, F.col("__c"), self.seed, self.test_size, self.val_size).withColumnRenamed("__c", "homology_cluster_id")
-        return SplitResult(out, self.name, self.params(), groups=("homology_cluster_id",))
+        return SplitResult(out, self.name, self.params(), groups=("homology_cluster_id",), extra={"cluster_source": self.mode}, more=(singletons("homology_cluster_id"),))
 
 
 @dataclass
@@ -621,13 +668,20 @@ class DistanceAware(_Distance):
         elif n_val:
             rest = O.shuffle_rank(out.where("split = 'train' and __d is not null"), self.seed, cols.id, name="__s").where(F.col("__s") <= n_val).select(F.col(f"`{cols.id}`").alias("__v"))
             out = out.join(rest, F.col(f"`{cols.id}`") == F.col("__v"), "left").withColumn("split", F.when(F.col("__v").isNotNull(), "val").otherwise(F.col("split"))).drop("__v")
-        return SplitResult(out.drop("__r").withColumnRenamed("__d", "centroid_distance"), self.name, self.params())
+        return SplitResult(out.drop("__r").withColumnRenamed("__d", "centroid_distance"), self.name, self.params(), more=(distance_figures,))
 
     @staticmethod
     def distance_stats(result: SplitResult) -> DataFrame:
+        """A row for each part, and one (global) for all: n, min, max, mean and sample deviation of distances."""
         d = F.col("centroid_distance")
         aggs = [F.count(d).alias("n"), F.min(d).alias("min"), F.max(d).alias("max"), F.round(F.avg(d), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(d), F.lit(0.0)), 6).alias("std")]
-        return result.assigned.where(d.isNotNull()).groupBy("split").agg(*aggs)
+        held = result.assigned.where(d.isNotNull())
+        return held.groupBy("split").agg(*aggs).unionByName(held.agg(*aggs).withColumn("split", F.lit("global")))
+
+
+def distance_figures(assigned: DataFrame) -> dict[str, Any]:
+    found = DistanceAware.distance_stats(SplitResult(assigned, "", {})).collect()
+    return {"distance_stats": {r.split: {k: r[k] for k in ("n", "min", "max", "mean", "std")} for r in found}}
 
 
 @dataclass
@@ -658,7 +712,8 @@ class DistanceAwareKFold(_Distance):
         ties = [O.shuffle_key(self.seed, cols.id)] if self.shuffle_ties else []
         ranked = O.order_rank(base, F.col("__d").desc_nulls_last(), *ties, F.col(f"`{cols.id}`"), name="__r")
         fold = F.when(F.col("__d").isNotNull(), O.even_slice(F.col("__r"), featured, self.n_splits))
-        return FoldResult(ranked.withColumn("fold", fold).drop("__r", "__d"), self.name, self.params(), cols.id, self.n_splits, self.val_size, self.seed)
+        folds = ranked.withColumn("fold", fold).drop("__r").withColumnRenamed("__d", "centroid_distance")
+        return FoldResult(folds, self.name, self.params(), cols.id, self.n_splits, self.val_size, self.seed, more=(distance_figures,))
 
 
 STRATEGIES: dict[str, type[Splitter]] = {

@@ -378,7 +378,10 @@ def split_distance_aware(spark, sf_dir):
     return _assigned(P.DistanceAware(val_size=0.1, val_method="farthest_next", **how).run(df, VECS), F.col("vec_id").alias("id"), "split")
 
 
-@query(f"with {CENTRE} select case when rn <= round_even(n * 0.2::double, 0) then 'test' else 'train' end as split, count(*) as n, min(d) as min, max(d) as max, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as std from r group by 1")
+@query(f"""
+with {CENTRE} select coalesce(case when rn <= round_even(n * 0.2::double, 0) then 'test' else 'train' end, 'global') as split,
+       count(*) as n, min(d) as min, max(d) as max, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as std
+from r group by rollup (case when rn <= round_even(n * 0.2::double, 0) then 'test' else 'train' end)""")
 def distance_stats(spark, sf_dir):
     df, how = _distance(spark, sf_dir)
     return P.DistanceAware.distance_stats(P.DistanceAware(**how).run(df, VECS))
@@ -394,3 +397,90 @@ def distance_aware_kfold(spark, sf_dir):
 def split_stats_labels(spark, sf_dir):
     got = P.Stratified(label_col="event_type").run(_read(spark, sf_dir, "events"), EVENTS)
     return got.assigned.groupBy("split", F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+with {_deciles('orders', 'o_totalprice')}, s as (with {STRATA.format(id="o_orderkey", cls=_bin("o_totalprice"), source="orders, ed")}),
+b as (select s.split, {_bin('o_totalprice')} as bin, count(*) as n from s join orders o on o.o_orderkey = s.id, ed group by all)
+select split, bin::int as bin, n from b""")
+def split_stats_bins(spark, sf_dir):
+    got = P.StratifiedNumeric(label_col="o_totalprice").run(_read(spark, sf_dir, "orders"), ORDERS).stats()
+    rows = [(part, b, n) for part, held in got["bin_counts"].items() for b, n in held.items()]
+    return spark.createDataFrame(rows, "split string, bin int, n long")
+
+
+@query(f"""
+with {_deciles('orders', 'o_totalprice')}, s as (with {STRATA.format(id="o_orderkey", cls=_bin("o_totalprice"), source="orders, ed")})
+select coalesce(s.split, 'global') as split, count(*) as n, min(o_totalprice) as min, max(o_totalprice) as max, round(avg(o_totalprice), 4) as mean,
+       round(stddev_samp(o_totalprice), 4) as std, round(quantile_cont(o_totalprice, 0.5::double), 4) as median
+from s join orders o on o.o_orderkey = s.id group by rollup (s.split)""")
+def split_stats_numeric(spark, sf_dir):
+    got = P.StratifiedNumeric(label_col="o_totalprice").run(_read(spark, sf_dir, "orders"), ORDERS).stats()["label_stats"]
+    rows = [(part, x["n"], x["min"], x["max"], round(x["mean"], 4), round(x["std"], 4), round(x["median"], 4)) for part, x in got.items()]
+    return spark.createDataFrame(rows, "split string, n long, min double, max double, mean double, std double, median double")
+
+
+@query(f"""
+with {CENTRE} select coalesce(case when rn <= round_even(n * 0.2::double, 0) then 'test' else 'train' end, 'global') as split,
+       count(*) as n, min(d) as min, max(d) as max, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as std
+from r group by rollup (case when rn <= round_even(n * 0.2::double, 0) then 'test' else 'train' end)""")
+def split_stats_distance(spark, sf_dir):
+    df, how = _distance(spark, sf_dir)
+    got = P.DistanceAware(**how).run(df, VECS).stats()["distance_stats"]
+    return spark.createDataFrame([(s, *(x[k] for k in ("n", "min", "max", "mean", "std"))) for s, x in got.items()], "split string, n long, min double, max double, mean double, std double")
+
+
+@query("""
+with r as (select ts, row_number() over (order by ts, event_id) as rn, count(*) over () as n from events)
+select case when rn <= n - round_even(n * 0.2::double, 0) then 'train' else 'test' end as split,
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last from r group by 1""")
+def split_stats_time(spark, sf_dir):
+    got = P.Time(time_col="ts").run(_read(spark, sf_dir, "events"), EVENTS).stats()["time_ranges"]
+    return spark.createDataFrame([(s, x["first"][:19], x["last"][:19]) for s, x in got.items()], "split string, first string, last string")
+
+
+@query("with " + GROUPS.format(g="user_id", table="events") + "select count(*) as n_total, count_if(split = 'train')::bigint as n_train, count_if(split = 'val')::bigint as n_val, count_if(split = 'test')::bigint as n_test from s")
+def split_stats_groups(spark, sf_dir):
+    got = P.Group(group_col="user_id", val_size=0.1).run(_read(spark, sf_dir, "events"), EVENTS).stats()
+    return spark.createDataFrame([tuple(got[f"user_id_n_{k}"] for k in ("total", "train", "val", "test"))], "n_total long, n_train long, n_val long, n_test long")
+
+
+@query(f"""
+with recursive {COSINE.split("nodes as")[0].rstrip().rstrip(",")},
+s as (select a.id as query_id, b.id as neighbour_id, round(list_inner_product(a.e, b.e), 9) as score from u a join u b on a.id <> b.id),
+r as (select *, row_number() over (partition by query_id order by score desc, neighbour_id) as rank from s)
+select query_id, neighbour_id, rank::int as rank, round(score, 6) as score from r where rank <= 5""")
+def cosine_neighbours(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return V.nearest(e, "vec_id", "embedding", 5).select(F.col("a").alias("query_id"), F.col("b").alias("neighbour_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("""
+with base as (select doc_id, label_value, row_number() over (order by doc_id) as k from (
+  select l.doc_id, case when l.doc_id % 7 = 0 then null else l.quality end as label_value from labels l) where label_value is not null)
+select count(*) as n, count_if(label_value = 1)::bigint as good from base""")
+def null_filter(spark, sf_dir):
+    """Rows without a label are dropped before a stratified split."""
+    labelled = _read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("quality")).alias("label"))
+    got = P.Stratified(label_col="label").run(labelled, Columns(id="doc_id"))
+    return got.assigned.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("good"))
+
+
+@query("""
+with r as (select event_id as id, row_number() over (order by ts, event_id) as rn, count(*) over () as n from events)
+select id, case when rn <= n - round_even(n * 0.2::double, 0) then 'train' else 'test' end as split from r""")
+def split_time_parsed(spark, sf_dir):
+    """Times given as text in a format of their own."""
+    e = _read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm:ss.SSSSSS").alias("t"))
+    return _assigned(P.Time(time_col="t", time_format="dd/MM/yyyy HH:mm:ss.SSSSSS").run(e, EVENTS), F.col("event_id").alias("id"), "split")
+
+
+@query(f"""
+with {CENTRE},
+t as (select id, rn > round_even(n * 0.2::double, 0) as rest, round_even(n * 0.1::double, 0) as nv from r),
+w as (select id, row_number() over (order by md5('13:' || id), id) as k, nv from t where rest)
+select t.id, case when not t.rest then 'test' when w.k <= w.nv then 'val' else 'train' end as split from t left join w on w.id = t.id""")
+def split_distance_sampled(spark, sf_dir):
+    """Validation rows are a seeded sample of what is left."""
+    df, how = _distance(spark, sf_dir)
+    return _assigned(P.DistanceAware(val_size=0.1, **how).run(df, VECS), F.col("vec_id").alias("id"), "split")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.splitters import FoldResult
 from ..roles import Columns
+from ..storage import materialize
 from ..sources.tables import read_clusters, read_embeddings, read_table, write_table
 from . import registry
 
@@ -97,6 +98,7 @@ def run_split(
     began, params = time.monotonic(), params or {}
     df = read_table(spark, path, sep=sep, encoding=encoding)
     result = registry.build("split", strategy, resolve_inputs(spark, params)).run(df, cols)
+    result.assigned = materialize(result.assigned, "assigned")  # every part and figure reads it
     folds = result.folds() if isinstance(result, FoldResult) else [result]
     stats = []
     for i, part in enumerate(folds):

@@ -14,14 +14,17 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "exact": ("sequence",), "kmer_jaccard": ("sequence",), "minhash_jaccard": ("sequence",), "identity_greedy": ("sequence",), "mmseqs2": ("sequence",),
     "embedding_cosine": ("embeddings",), "descriptor_euclidean": ("descriptors",), "structural_distance": ("edges",),
     "stratified": ("label",), "stratified_kfold": ("label",), "group": ("group",), "group_kfold": ("group",), "time": ("date",),
+    "stratified_numeric": ("numeric label",), "stratified_numeric_kfold": ("numeric label",), "cluster_aware": ("clusters",),
+    "homology_aware": ("clusters or sequence",), "distance_aware": ("embeddings or descriptors",), "distance_aware_kfold": ("embeddings or descriptors",),
 }
 
 
 def validate(
     df: DataFrame, cols: Columns | None = None, strategy: str | None = None, embeddings: DataFrame | None = None, edges: DataFrame | None = None,
-    descriptor_prefix: str = "desc_", fail_fast: bool = False,
+    descriptor_prefix: str = "desc_", fail_fast: bool = False, clusters: DataFrame | None = None,
 ) -> dict[str, Any]:
-    """{"ok", "errors", "checks"}: every check with its figures; errors are texts. embeddings: (id, embedding); edges: (id1, id2, ...)."""
+    """{"ok", "errors", "checks"}: every check with its figures; errors are texts. embeddings: (id, embedding); edges: (id1, id2, ...);
+    clusters: (id, cluster). For stratified_numeric(_kfold) the label column must hold numbers."""
     cols = cols or Columns()
     checks, errors = {}, []
 
@@ -58,6 +61,15 @@ def validate(
         note("edges", None if inside else "no edge lies within the dataset", inside=inside)
     have = {"embeddings": embeddings is not None, "edges": edges is not None, "descriptors": bool(descriptors)}
     have |= {role: getattr(cols, role) in df.columns for role in ("sequence", "label", "group", "date")}
+    if (strategy or "").startswith("stratified_numeric") and have["label"]:
+        numbers = df.agg(F.count_if(F.col(f"`{cols.label}`").try_cast("double").isNotNull())).first()[0]
+        note("numeric label", None if numbers else f"{cols.label!r} holds no number", numbers=numbers)
+        have["numeric label"] = numbers > 0
+    own = cols.cluster or "cluster_id"
+    have["clusters"] = clusters is not None or own in df.columns
+    have["clusters or sequence"] = have["clusters"] or have["sequence"]
+    have["embeddings or descriptors"] = have["embeddings"] or have["descriptors"]
+    have.setdefault("numeric label", False)
     if strategy in NEEDS and (missing := [x for x in NEEDS[strategy] if not have[x]]):
         note("strategy", f"{strategy} needs {missing}")
     return {"ok": not errors, "errors": errors, "checks": checks}

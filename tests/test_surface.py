@@ -114,3 +114,33 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("reduced").count() == 2
+
+
+def test_reports_have_the_strategys_figures(spark, peptides, vectors):
+    """Distances, bins, label figures with medians, time ranges, group counts and cluster sources."""
+    import statistics
+
+    from granary.plans import runner
+    from granary.plans.validate import validate
+    from granary.roles import Columns
+
+    got = runner.split(peptides, "stratified_numeric", n_bins=4, test_size=0.25).stats()
+    ys = {s: [r.y for r in runner.split(peptides, "stratified_numeric", n_bins=4, test_size=0.25).part(s).collect()] for s in ("train", "test")}
+    assert got["n_bins"] == 4 and sum(sum(x.values()) for x in got["bin_counts"].values()) == 60
+    for part, y in ys.items():
+        assert abs(got["label_stats"][part]["median"] - statistics.median(y)) < 1e-9 and got["label_stats"][part]["n"] == len(y)
+        assert abs(got["label_stats"][part]["std"] - statistics.stdev(y)) < 1e-9
+    far = runner.split(peptides, "distance_aware", embeddings=vectors).stats()["distance_stats"]
+    assert far["test"]["min"] >= far["train"]["max"] and far["global"]["n"] == 50
+    folds = runner.split(peptides, "distance_aware_kfold", embeddings=vectors, n_splits=3).fold(0).stats()
+    assert folds["fold_index"] == 0 and folds["distance_stats"]["global"]["n"] == 50
+    times = runner.split(peptides, "time", Columns(date="date")).stats()["time_ranges"]
+    assert times["train"]["last"] <= times["test"]["first"]
+    groups = runner.split(peptides, "group", Columns(group="group")).stats()
+    assert groups["group_n_total"] == 7 and groups["group_n_train"] + groups["group_n_test"] == 7
+    clusters = runner.split(peptides, "cluster_aware").stats()
+    assert clusters["cluster_source"] == "column" and clusters["n_missing_clusters"] == 0
+    assert not validate(peptides.drop("desc_0", "desc_1"), strategy="distance_aware")["ok"]
+    assert validate(peptides, strategy="distance_aware_kfold")["ok"] and validate(peptides, strategy="cluster_aware")["ok"]
+    assert not validate(peptides.drop("cluster_id"), strategy="cluster_aware")["ok"]
+    assert validate(peptides, Columns(label="y"), strategy="stratified_numeric")["ok"] and not validate(peptides, Columns(label="group"), strategy="stratified_numeric")["ok"]
