@@ -24,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _RECORDS: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
@@ -44,10 +45,22 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The write's shuffle files are deleted as it ends, as nothing reads them any more. That holds for this write alone, not
+    for the session: a result that is read lazily needs its shuffle files for longer.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     for made in _RECORDS:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
