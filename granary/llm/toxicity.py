@@ -127,7 +127,8 @@ def learn(df: DataFrame, toxic: DataFrame, id_col: str = "doc_id", text_col: str
         for s, text in rows(batches, "s", "text"):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([features(text).tobytes()], pa.binary())], ["s", "f"])
 
-    got = [(r.s, np.frombuffer(r.f, np.int32)) for r in picked.select("s", "text").mapInArrow(run, "s int, f binary").toLocalIterator()]
+    sample = materialize(picked.select("s", "text").mapInArrow(run, "s int, f binary"), "toxic-features")
+    got = [(r.s, np.frombuffer(r.f, np.int32)) for r in sample.collect()]
     pos, unl = ([f for k, f in sorted(got, key=lambda x: x[1].tobytes()) if k == s] for s in (1, 0))
     if not pos or not unl:
         return np.append(np.zeros(DIM), np.log(prior / (1 - prior)))
