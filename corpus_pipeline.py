@@ -2,6 +2,12 @@
 
 Toxic documents go, exact copies go, one document of each near-duplicate group stays, sources are mixed to target
 weights, and what is left is packed into sequences. Each stage works on all that its predecessor kept, as Parquet.
+
+A stage begins by deleting the intermediate tables of the stage that ran before it, so a stage's result must be written
+before the next stage is called: run() does so, and so must whoever calls stages one by one.
+
+Edge cases, of all stages. An empty table gives an empty result. Columns beside doc_id, text and source are carried along,
+whatever their names. Null ids and repeated rows are rows like others; each stage says below what it does with them.
 """
 
 from __future__ import annotations
@@ -36,31 +42,35 @@ def _stage(f: Callable) -> Callable:
 
 @_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
+    """Without the documents that the classifier rejects. Null and blank texts have no features and stay; null ids can't be
+    labelled and are scored like others."""
     return toxicity.drop_toxic(spark, docs, table(spark, sf_dir, "labels"))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact copies."""
+    """One document of each group of exact copies: the longest, then the smallest id, null ids last. Null and blank texts are
+    one group; of rows repeated in all columns one stays."""
     return exact_dedup.keep_first(docs)
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are alike by 0.8 or more."""
+    """One document of each group of texts whose five-word shingles are alike by 0.8 or more: the smallest id, null ids last.
+    A text of fewer words is one shingle; blank texts are one group."""
     return simhash.keep_one(docs)
 
 
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, three times at most. Texts without words are taken no time; null sources are
+    one source."""
     return mixing.mix(docs)
 
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences: where each piece of a text's ids lies. Null and blank texts hold the end id."""
     return packing.pack(docs)
 
 
