@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ def positional_identity(a: str, b: str) -> float:
     return sum(x == y for x, y in zip(a, b)) / longest if longest else 1.0
 
 
-def kmers(df: DataFrame, k: int, id_col: str, seq_col: str) -> DataFrame:
-    """(id, n, kmer): a row for each distinct k-mer, with their number; k-mers are 64-bit hashes.
+def kmers(df: DataFrame, k: int, id_col: str, seq_col: str, key: Column | None = None) -> DataFrame:
+    """(id, n, kmer): a row for each distinct k-mer, with their number; k-mers are 64-bit hashes, or `key` of the text `kmer`.
 
     Slices are taken in Arrow batches, whose rows go straight out: far cheaper than a lambda over substrings.
     """
@@ -47,7 +48,7 @@ def kmers(df: DataFrame, k: int, id_col: str, seq_col: str) -> DataFrame:
 
     kind = dict(df.dtypes)[id_col]
     cut = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("sequence")).mapInArrow(run, f"id {kind}, n int, kmer string")
-    return cut.select("id", "n", F.xxhash64("kmer").alias("kmer"))
+    return cut.select("id", "n", (F.xxhash64("kmer") if key is None else key).alias("kmer"))
 
 
 def identity_column(a: Column, b: Column) -> Column:
@@ -57,9 +58,24 @@ def identity_column(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.aggregate(same, F.lit(0), lambda s, x: s + x) / longest)
 
 
-def signature(tokens: Column, seeds: int, seed: int) -> Column:
-    """MinHash: for each of `seeds` hash functions the smallest hash of the tokens."""
-    return F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda j: F.array_min(F.transform(tokens, lambda t: F.xxhash64(F.lit(seed), j, t))))
+#: The Mersenne prime 2**31 - 1: products of two smaller numbers fit 64 bits.
+PRIME = (1 << 31) - 1
+
+
+def permutations(seeds: int, seed: int) -> list[tuple[int, int]]:
+    """Factors and terms of the MinHash functions (factor x hash + term) mod PRIME, from md5 of seed, number and name."""
+    draw = lambda j, name, low: low + int(hashlib.md5(f"{seed}:{j}:{name}".encode()).hexdigest()[:15], 16) % (PRIME - low)
+    return [(draw(j, "factor", 1), draw(j, "term", 0)) for j in range(seeds)]
+
+
+def token_hash(text: Column) -> Column:
+    """The first 32 bits of a text's md5, modulo PRIME."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
+
+
+def signature(token: Column, seeds: int, seed: int) -> list[Column]:
+    """MinHash as aggregates over hashed tokens: for each of `seeds` hash functions the smallest value."""
+    return [F.min((F.lit(a) * token + F.lit(b)) % PRIME).alias(f"m{j}") for j, (a, b) in enumerate(permutations(seeds, seed))]
 
 
 def bands(threshold: float, seeds: int) -> tuple[int, int]:

@@ -256,8 +256,8 @@ class MinhashJaccard(_Tokens):
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         rows, first = self.classes(df, cols)
-        slots = [F.min(F.xxhash64(F.lit(self.seed), F.lit(j), F.col("kmer"))).alias(f"m{j}") for j in range(self.num_perm)]
-        signed = S.kmers(first, self.k, "cls", "sequence").groupBy("id").agg(*slots)
+        slots = S.signature(F.col("kmer"), self.num_perm, self.seed)
+        signed = S.kmers(first, self.k, "cls", "sequence", S.token_hash(F.col("kmer"))).groupBy("id").agg(*slots)
         signed = materialize(signed.select("id", F.array(*[f"m{j}" for j in range(self.num_perm)]).alias("sig")), "signatures")
         b, r = (1, self.num_perm) if self.threshold >= 1 else S.bands(self.threshold, self.num_perm)
         keys = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, F.lit(r))))

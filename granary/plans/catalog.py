@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sequences as S
 from ..functions import vectors as V
 from ..operators import reducers as R
 from ..operators import splitters as P
@@ -195,9 +196,54 @@ def reduce_kmer_jaccard_documents(spark, sf_dir):
     return _kept(R.KmerJaccard(threshold=0.7).run(_read(spark, sf_dir, "documents"), DOCS), "doc_id")
 
 
-@query()
+_BANDS, _ROWS = S.bands(0.7, 128)
+_FACTORS = S.permutations(128, 42)
+MINHASH = f"""
+perms as materialized (select unnest({[a for a, _ in _FACTORS]}::bigint[]) as a, unnest({[b for _, b in _FACTORS]}::bigint[]) as b, unnest(range(128)) as j),
+seqs as materialized (select text as sequence, min(doc_id) as id from documents group by text),
+toks as materialized (
+  select distinct id, ('0x' || substr(md5(substr(sequence, i::int, 5)), 1, 8))::bigint % {S.PRIME} as h
+  from seqs, range(1, greatest(length(sequence) - 4, 1) + 1) r(i)),
+slots as materialized (select id, j, min((a * h + b) % {S.PRIME}) as m from toks, perms group by id, j),
+banded as materialized (select id, j // {_ROWS} as band, list(m order by j) as part from slots where j < {_BANDS * _ROWS} group by all),
+nodes as materialized (select id from seqs),
+edges as materialized (
+  select distinct a.id as p, b.id as c from banded a join banded b on a.band = b.band and a.part = b.part and a.id < b.id)
+"""
+
+
+@query(f"with recursive {MINHASH}, {GREEDY} select id, 'minhash:' || id as cluster_id from kept")
 def reduce_minhash_jaccard(spark, sf_dir):
-    return _kept(R.MinhashJaccard(threshold=0.7, num_perm=64).run(_read(spark, sf_dir, "documents"), DOCS), "doc_id")
+    return _kept(R.MinhashJaccard(threshold=0.7).run(_read(spark, sf_dir, "documents"), DOCS), "doc_id")
+
+
+@query(f"""with recursive {MINHASH}, {GREEDY},
+sigs as materialized (select id, list(m order by j) as sig from slots group by id),
+ends as (
+  select c as cls, p as rep from edges union all select p, c from edges union all select id, id from seqs),
+scored as (
+  select e.cls, e.rep, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 128.0::double as score
+  from ends e join sigs x on x.id = e.cls join sigs y on y.id = e.rep),
+m as (
+  select d.doc_id as id, s.rep, s.score, row_number() over (partition by d.doc_id order by s.score desc, s.rep) as n
+  from documents d join seqs q on q.sequence = d.text join scored s on s.cls = q.id
+  where s.rep in (select id from kept) and s.rep < d.doc_id)
+select id::varchar as removed_id, rep::varchar as representative_id, 'minhash:' || rep as cluster_id, score from m where n = 1""")
+def reduce_minhash_jaccard_mapping(spark, sf_dir):
+    return R.MinhashJaccard(threshold=0.7).run(_read(spark, sf_dir, "documents"), DOCS).mapping
+
+
+@query("""
+with toks as materialized (
+  select distinct doc_id, ('0x' || substr(md5(substr(text, i::int, 5)), 1, 8))::bigint % {prime} as h
+  from documents, range(1, greatest(length(text) - 4, 1) + 1) r(i)),
+slots as (select doc_id, p.j, min((p.a * h + p.b) % {prime}) as m from toks, (select unnest({a}::bigint[]) as a, unnest({b}::bigint[]) as b, unnest(range(8)) as j) p group by all)
+select doc_id, j::int as j, m from slots""".format(prime=S.PRIME, a=[a for a, _ in _FACTORS[:8]], b=[b for _, b in _FACTORS[:8]]))
+def minhash_signatures(spark, sf_dir):
+    """The first eight slots of each document's signature."""
+    cut = S.kmers(_read(spark, sf_dir, "documents"), 5, "doc_id", "text", S.token_hash(F.col("kmer")))
+    signed = cut.groupBy("id").agg(*S.signature(F.col("kmer"), 8, 42))
+    return signed.select(F.col("id").alias("doc_id"), F.posexplode(F.array(*[f"m{j}" for j in range(8)])).alias("j", "m"))
 
 
 @query()
