@@ -16,6 +16,8 @@ __all__ = ["ASCII_SPACE", "components", "fold", "fresh", "materialize", "prepare
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: A node with more than this part of all links is a hub; so there are at most 4 * HUBS of them.
+HUBS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,12 +47,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stars(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """links (u, v) with m, the smallest v of their u; and low, a row (u, m) for each u.
+
+    The links of hubs stay where they are: only the hubs' minima, at most 4 * HUBS rows, are broadcast to them. total: the
+    number of links, of which links holds each twice at most.
+    """
+    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > total / HUBS / 2
+    hubs, few = F.broadcast(low.where(hub).select("u", "m")), low.where(~hub).select("u", "m")
+    met = links.join(hubs, "u").unionByName(links.join(hubs, "u", "left_anti").join(few, "u"))
+    return met, low.select("u", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the component's smallest node.
 
     Alternates large-star and small-star contraction (Kiveris et al., SoCC 2014). Every round is a
     grouped minimum and a join; the state is written to the shared folder, never collected. A round
-    moves O(edges) rows, and hubs only ever send one minimum, so no group is gathered in a task.
+    moves O(edges) rows, and a hub's minimum goes to its links, so no group is gathered in a task.
     """
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -58,12 +73,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour of u links to the smallest of u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        met, _ = _stars(both, e.count())
+        large = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = materialize(large, "large-star")
         # small star: u and its smaller neighbours link to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined, low = _stars(large, large.count())
         small = (
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         ).distinct()

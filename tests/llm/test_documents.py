@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from granary.llm import exact_dedup, importance, language_id, lm_scoring, mixing, packing, simhash, token_files, toxicity
+from granary.llm.common import components
 from granary.llm.tokens import Encoder, default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, row_id long, score double, key string, id string, word string, h long"
@@ -628,3 +629,24 @@ def test_empty_tables(spark):
     assert importance.resample(none, labels).count() == 0
     assert toxicity.score(none, toxicity.learn(none, labels)).count() == 0
     assert lm_scoring.score(none, F.lit(True)).count() == 0
+
+
+def test_components_with_hubs(spark):
+    """Stars whose centres hold most links, chains between them, and lone pairs, held against a union-find."""
+    rng = random.Random(3)
+    edges = [(0, x) for x in range(10, 4000)] + [(5000, x) for x in range(3990, 6000)] + [(x, x + 1) for x in range(7000, 7040)]
+    edges += [(9000 + 2 * x, 9001 + 2 * x) for x in range(50)] + [(1, 1)] + [(7, 7040)]
+    edges = [e[:: rng.choice((1, -1))] for e in edges] + edges[:20]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
