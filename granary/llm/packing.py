@@ -6,7 +6,8 @@ them best-fit again, emits what is nearly full and passes the rest on. A node wi
 several tasks, among which they are dealt by a hash; the root goes on in rounds, dealt anew each time, until one task
 holds all that is left or a round merges none. So a node's memory is bounded and every underfull bin takes part.
 
-Only light rows (ids, lengths, checksums) move; token ids are produced where the text is read.
+Only light rows (document ids, lengths, checksums) climb the tree. Token ids are produced where the text is read; with_ids
+moves them once, to their places.
 
 Edge cases. Null or empty text is one piece that holds the end id alone. Null and repeated ids are packed row by row; ids
 may have any type.
@@ -68,17 +69,33 @@ def _pieces(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def pack_local(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    """A row for each piece, with its bin, its place there and, if it is the bin's first, the bin's load.
+
+    with_ids: pieces are numbered (nth), and further rows (nth, ids) hold their ids. These leave the task as they are made,
+    so that it holds the light columns of a partition only.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    light = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = to_arrow_type(light.schema[0].dataType)
+    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kind = to_arrow_type(texts.schema[0].dataType)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "load", *["nth", "ids"] * with_ids]
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        kinds = [kind, pa.int32(), *[pa.int64()] * 6]
+
         encode, end = encoder(path), end_id.to_bytes(4, "little")
+        base = TaskContext.get().partitionId() << 32
         ids, piece, start, length, crc, raw = [], [], [], [], [], []
+
+        def payload():
+            """The ids of the latest pieces, under their numbers; the light columns come at the end."""
+            nth = pa.array(range(base + len(ids) - len(raw), base + len(ids)), pa.int64())
+            none = [pa.nulls(len(raw), c) for c in kinds]
+            return pa.RecordBatch.from_arrays([*none, nth, pa.array(raw, pa.binary())], names)
+
         for doc_id, text in rows(batches, "doc_id", "text"):
             data = encode(text or "") + end
             for k, (at, n) in enumerate(_pieces(len(data) // 4, capacity)):
@@ -88,22 +105,23 @@ def pack_local(df: DataFrame, path: str, end_id: int, capacity: int, id_col: str
                 start.append(at)
                 length.append(n)
                 crc.append(zlib.crc32(part))
-                raw.append(part if with_ids else None)
+                if with_ids:
+                    raw.append(part)
+            if len(raw) >= 1024:
+                yield payload()
+                raw.clear()
+        if raw:
+            yield payload()
         where, place, loads = best_fit(length, capacity)
-        base = TaskContext.get().partitionId() << 32
-        cols = [
-            pa.array(ids, kind), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-            pa.array(crc, pa.int64()), pa.array([base + k for k in where], pa.int64()), pa.array(place, pa.int64()),
-            pa.array([loads[k] if not p else None for k, p in zip(where, place)], pa.int64()),
-        ]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "load"]
+        light = [ids, piece, start, length, crc, [base + k for k in where], place, [loads[k] if not p else None for k, p in zip(where, place)]]
+        cols = [pa.array(c, t) for c, t in zip(light, kinds)]
         if with_ids:
-            cols, names = [*cols, pa.array(raw, pa.binary())], [*names, "ids"]
+            cols += [pa.array(range(base, base + len(ids)), pa.int64()), pa.nulls(len(ids), pa.binary())]
         out = pa.RecordBatch.from_arrays(cols, names)
         yield from (out.slice(at, 10_000) for at in range(0, out.num_rows, 10_000))
 
-    schema = f"doc_id {light.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, bin long, place long, load long"
-    return light.mapInArrow(run, schema + ", ids binary" * with_ids)
+    schema = f"doc_id {texts.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, bin long, place long, load long"
+    return texts.mapInArrow(run, schema + ", nth long, ids binary" * with_ids)
 
 
 def _merge(capacity: int, full: float):
@@ -129,7 +147,8 @@ def pack(
     node_bins: int = NODE_BINS,
 ) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and its ids as bytes)."""
-    pieces = materialize(pack_local(df, path or default_path("byte_bpe_50k.json"), end_id, capacity, id_col, text_col, with_ids), "pieces")
+    made = materialize(pack_local(df, path or default_path("byte_bpe_50k.json"), end_id, capacity, id_col, text_col, with_ids), "pieces")
+    pieces = made.where("bin is not null")
     full = NEARLY_FULL * capacity
     bins = pieces.where("load is not null").select("bin", "load")
     moved = bins.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"))
@@ -152,8 +171,12 @@ def pack(
             break
         before = left if width > top else None
         open_ = step.where("open and shift = 0").select(F.col("root").alias("bin"), "load")
-    keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return pieces.join(moved, "bin").select(*keep, F.col("root").alias("sequence_id"), (F.col("place") + F.col("shift")).alias("offset"), *["ids"] * with_ids)
+    keep = ["doc_id", "piece", "start", "length", "ids_crc32", F.col("root").alias("sequence_id"), (F.col("place") + F.col("shift")).alias("offset")]
+    placed = pieces.join(moved, "bin").select(*keep, *["nth"] * with_ids)
+    if not with_ids:
+        return placed
+    # ids meet their places once, in a merge at every size
+    return placed.hint("merge").join(made.where("bin is null").select("nth", "ids"), "nth").drop("nth")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
