@@ -70,8 +70,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences: where each piece of a text's ids lies. Null and blank texts hold the end id."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences: each piece's ids (little-endian unsigned 32-bit numbers) and where they lie. Null and
+    blank texts hold the end id."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
