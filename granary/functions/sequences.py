@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, spread
+
 
 def kmer_set(sequence: str, k: int) -> set[str]:
     """The distinct k-mers; a sequence shorter than k is its own."""
@@ -47,10 +50,85 @@ def kmers(df: DataFrame, k: int, id_col: str, seq_col: str, key: Column | None =
                 yield pa.RecordBatch.from_arrays([pc.take(ids, take), sizes, pa.array(out, pa.string())], ["id", "n", "kmer"])
 
     kind = dict(df.dtypes)[id_col]
-    cut = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("sequence")).mapInArrow(run, f"id {kind}, n int, kmer string")
+    cut = spread(df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("sequence"))).mapInArrow(run, f"id {kind}, n int, kmer string")
     return cut.select("id", "n", (F.xxhash64("kmer") if key is None else key).alias("kmer"))
 
 
+#: The share of a set by which its index prefix is longer than one shared k-mer calls for, so that pairs share several.
+MARGIN = 0.05
+#: Rows of one k-mer that one task joins with as many others.
+TOKEN_ROWS = 4096
+
+
+def ordered_sets(tokens: DataFrame) -> DataFrame:
+    """(id, n, f, kmers) for rows (id, n, kmer): each set's k-mers and their frequencies, rarest first."""
+    tokens = materialize(tokens, "kmers")
+    rarity = tokens.groupBy("kmer").agg(F.count("*").alias("f"))
+
+    def sort(table):
+        import numpy as np
+        import pyarrow as pa
+
+        f, kmer = table.column("f").to_numpy(), table.column("kmer").to_numpy()
+        order = np.lexsort((kmer, f))
+        whole = np.array([0, len(f)], dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(whole, pa.array(x[order])) for x in (f, kmer)]
+        return pa.Table.from_arrays([table.column("id").slice(0, 1), table.column("n").slice(0, 1), *lists], ["id", "n", "f", "kmers"])
+
+    kind = dict(tokens.dtypes)["id"]
+    joined = tokens.join(rarity, "kmer").select("id", "n", "f", "kmer")
+    return materialize(joined.groupBy("id").applyInArrow(sort, f"id {kind}, n int, f array<long>, kmers array<long>"), "kmer-sets")
+
+
+def alike_sets(tokens: DataFrame, threshold: float) -> DataFrame:
+    """(p, c, score, shared), p < c, of the sets (id, n, kmer) that share a k-mer and have Jaccard >= threshold.
+
+    With k-mers in order of rarity, a set of n meets larger ones by the first n - ceil(2t/(1+t) n) + 1 and smaller ones by the
+    first n - ceil(t n) + 1 (Xiao, Wang, Lin & Yu, WWW 2008); classes of like sizes meet only. The shorter prefix is
+    lengthened by MARGIN, so that what two alike sets share in their prefixes is not one k-mer but many: pairs are counted
+    where they meet, and few are left. What counts and positions bound:
+
+    * beyond its last shared k-mer, at positions i and j, a pair shares min(n_x - i - 1, n_y - j - 1) at most;
+    * beyond the prefix that ends first in the common order, what is left of that set.
+
+    Only pairs that can still reach the threshold have their sets intersected. Rows of a frequent k-mer are dealt out over
+    tasks of TOKEN_ROWS each.
+    """
+    sets, t = ordered_sets(tokens), float(threshold)
+    n, least = F.col("n"), 1e-9
+    index = F.least(n, F.greatest(F.lit(1), (n - F.ceil(2 * t / (1 + t) * n - least) + 1 + F.floor(MARGIN * n)).cast("int")))
+    probe = F.least(n, F.greatest(F.lit(1), (n - F.ceil(t * n - least) + 1).cast("int")))
+    # at low thresholds sizes say little: all sets are one class
+    steps = F.lit(0) if t < 0.05 else F.floor(F.log(n) / F.lit(math.log(1 / t) if t < 1 else 1e-6) + least).cast("int")
+    ends = lambda l: F.struct(F.get("f", l - 1).alias("f"), F.get("kmers", l - 1).alias("k"))
+    sets = sets.withColumns({"of_x": index, "of_y": probe, "size": steps})
+    sets = sets.withColumns({"end_x": ends(F.col("of_x")), "end_y": ends(F.col("of_y"))})
+
+    def side(name: str) -> DataFrame:
+        cut = F.arrays_zip(F.slice("kmers", F.lit(1), F.col(f"of_{name}")).alias("kmer"), F.slice("f", F.lit(1), F.col(f"of_{name}")).alias("f"))
+        rows = sets.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), "size", F.posexplode(cut).alias(f"at_{name}", "token"))
+        rows = rows.select(name, f"n_{name}", f"at_{name}", "size", F.col("token.kmer").alias("kmer"), F.ceil(F.col("token.f") / TOKEN_ROWS).alias("salts"))
+        if name == "x":
+            return rows.withColumn("salt", F.pmod(F.xxhash64("x"), "salts")).drop("salts")
+        rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+        return rows if t < 0.05 else rows.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
+    both = F.col("n_x") + F.col("n_y")
+    need = F.ceil(t / (1 + t) * both - least)
+    met = side("x").join(side("y"), ["kmer", "size", "salt"]).where(smaller & (F.col("n_x") >= t * F.col("n_y") - least))
+    met = met.groupBy("x", "y").agg(F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"), F.count("*").alias("m"), F.max("at_x").alias("i"), F.max("at_y").alias("j"))
+    met = met.where(F.col("m") + F.least(F.col("n_x") - F.col("i"), F.col("n_y") - F.col("j")) - 1 >= need)
+    tails = lambda name: sets.select(F.col("id").alias(name), f"end_{name}", f"of_{name}")
+    met = met.join(tails("x"), "x").join(tails("y"), "y")
+    left = F.when(F.col("end_x") <= F.col("end_y"), F.col("n_x") - F.col("of_x")).otherwise(F.col("n_y") - F.col("of_y"))
+    met = materialize(met.where(F.col("m") + left >= need).select("x", "y", "n_x", "n_y"), "kmer-pairs")
+    whole = lambda name: sets.select(F.col("id").alias(name), F.col("kmers").alias(f"s_{name}"))
+    out = met.join(whole("x"), "x").join(whole("y"), "y").withColumn("shared", F.size(F.array_intersect("s_x", "s_y")))
+    out = out.withColumn("score", F.col("shared") / (both - F.col("shared"))).where((F.col("shared") > 0) & (F.col("score") >= t))
+    return out.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("c"), "score", "shared")
+
+
 def identity_column(a: Column, b: Column) -> Column:
     """positional_identity as a column expression."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 1).otherwise(0))
@@ -73,9 +151,54 @@ def token_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
 
 
-def signature(token: Column, seeds: int, seed: int) -> list[Column]:
-    """MinHash as aggregates over hashed tokens: for each of `seeds` hash functions the smallest value."""
-    return [F.min((F.lit(a) * token + F.lit(b)) % PRIME).alias(f"m{j}") for j, (a, b) in enumerate(permutations(seeds, seed))]
+def _fold(x, spare):
+    """x modulo PRIME in place, for x below 2**62: the bits beyond the 31st are added to the others."""
+    import numpy as np
+
+    for _ in range(2):
+        np.right_shift(x, 31, out=spare)
+        np.bitwise_and(x, PRIME, out=x)
+        np.add(x, spare, out=x)
+    np.subtract(x, PRIME, out=spare)
+    np.copyto(x, spare, where=spare >= 0)
+
+
+def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, seed: int) -> DataFrame:
+    """(id, sig): for each of `seeds` hash functions the smallest value over a sequence's k-mers.
+
+    A sequence's hashes are one array in the Arrow batch that holds it, so one row goes out for each sequence. Token hashes
+    are those of token_hash(); a worker keeps those of up to a million k-mers. Memory is bounded: k-mers go in pieces.
+    """
+    drawn = permutations(seeds, seed)
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = (np.array(x, dtype=np.int64)[:, None] for x in zip(*drawn))
+        known: dict[str, int] = {}
+        md5 = hashlib.md5
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for s in batch.column(1).slice(at, 256).to_pylist():
+                    found = kmer_set(s, k)
+                    if len(known) + len(found) > 1_000_000:
+                        known.clear()
+                    for t in found - known.keys():
+                        known[t] = int.from_bytes(md5(t.encode()).digest()[:4], "big") % PRIME
+                    h = np.fromiter((known[t] for t in found), dtype=np.int64, count=len(found))
+                    least = np.full(seeds, PRIME, dtype=np.int64)
+                    for piece in range(0, len(h), 1024):
+                        x = a * h[None, piece : piece + 1024] + b
+                        _fold(x, np.empty_like(x))
+                        np.minimum(least, x.min(axis=1), out=least)
+                    out.append(least)
+                sig = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * seeds, pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), sig], ["id", "sig"])
+
+    kind = dict(df.dtypes)[id_col]
+    return spread(df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("sequence"))).mapInArrow(run, f"id {kind}, sig array<long>")
 
 
 def bands(threshold: float, seeds: int) -> tuple[int, int]:

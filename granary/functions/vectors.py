@@ -1,13 +1,11 @@
-"""Vector functions as column expressions, and pair searches by blocks of vectors."""
+"""Vector functions as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 EPS = 1e-12
-BLOCK = 2048
 
 
 def as_vector(df: DataFrame, cols: list[str]) -> Column:
@@ -41,99 +39,3 @@ def zscore(vec: str | Column, mean: list[float], sd: list[float], least: float =
     v = F.col(vec) if isinstance(vec, str) else vec
     m, s = F.array(*[F.lit(float(x)) for x in mean]), F.array(*[F.lit(1.0 if x == 0 or x < least else float(x)) for x in sd])
     return F.zip_with(F.zip_with(v, m, lambda x, y: x - y), s, lambda x, y: x / y)
-
-
-def nearest(df: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(a, b, score, rank): the k rows of highest cosine to each row, itself left out; scores to nine places, ties to the smaller
-    id. Exact, by blocks: a task holds two blocks and passes on k rows for each of its first one's."""
-    blocks = max(1, -(-df.count() // BLOCK))
-    kind = dict(df.dtypes)[id_col]
-
-    def pack(pdf):
-        import numpy as np
-        import pandas as pd
-
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ids": [pdf["id"].tolist()], "dim": [m.shape[1] if m.ndim == 2 else 0], "data": [m.tobytes()]})
-
-    base = df.select(F.col(id_col).alias("id"), unit(F.col(vec_col).cast("array<double>")).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("part"))
-    packed = base.where("v is not null").groupBy("part").applyInPandas(pack, f"part int, ids array<{kind}>, dim int, data binary")
-    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = left.join(packed.select(F.col("part").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2")), "other")
-    met = met.repartition(max(1, min(blocks * blocks, 4096)))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            types = [batch.schema.field("ids").type.value_type] * 2 + [pa.float64()]
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[d]).reshape(-1, r["dim"]) for d in ("data", "data2"))
-                order = np.argsort(np.array(r["ids2"], dtype=object), kind="stable")
-                ids2, b = [r["ids2"][i] for i in order], b[order]
-                for at in range(0, len(a), 256):
-                    score, out = np.round(a[at : at + 256] @ b.T, 9), []
-                    for i, row in enumerate(score):
-                        own = r["ids"][at + i]
-                        best = np.argsort(-row, kind="stable")[: k + 1]
-                        out += [(own, ids2[j], float(row[j])) for j in best if ids2[j] != own][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], types[c]) for c in range(3)], ["a", "b", "score"])
-
-    found = met.select("ids", "dim", "data", "ids2", "data2").mapInArrow(run, f"a {kind}, b {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def close_pairs(df: DataFrame, id_col: str, vec_col: str, threshold: float, metric: str) -> DataFrame:
-    """(a, b, score) with a before b in id order: cosine >= threshold, or Euclidean distance <= threshold.
-
-    Exact, by blocks: vectors are packed BLOCK to a row, each pair of blocks is a row of two packed blocks, and only
-    passing pairs come out. A task holds two blocks, whatever the table's size. Scores are rounded to nine places, so
-    that equal vectors pass at the extreme thresholds.
-    """
-    n = df.count()
-    blocks = max(1, -(-n // BLOCK))
-    kind = dict(df.dtypes)[id_col]
-
-    def pack(pdf):
-        import numpy as np
-        import pandas as pd
-
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ids": [pdf["id"].tolist()], "dim": [m.shape[1] if m.ndim == 2 else 0], "data": [m.tobytes()]})
-
-    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("part"))
-    packed = base.groupBy("part").applyInPandas(pack, f"part int, ids array<{kind}>, dim int, data binary")
-    left = packed.withColumn("other", F.explode(F.sequence(F.col("part"), F.lit(blocks - 1))))
-    right = packed.select(F.col("part").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    met = left.join(right, "other").repartition(max(1, min(blocks * (blocks + 1) // 2, 4096)))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                a = np.frombuffer(r["data"]).reshape(len(r["ids"]), r["dim"])
-                b = np.frombuffer(r["data2"]).reshape(len(r["ids2"]), r["dim"])
-                for at in range(0, len(a), 512):
-                    part = a[at : at + 512]
-                    if metric == "cosine":
-                        score = np.round(part @ b.T, 9)
-                        ok = score >= threshold
-                    else:
-                        square = (part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part @ b.T
-                        near = np.argwhere(square <= threshold**2 + 1e-6 * (1 + square.max(initial=0)))
-                        score = np.full(square.shape, np.inf)
-                        exact = np.sqrt(((part[near[:, 0]] - b[near[:, 1]]) ** 2).sum(1))
-                        score[near[:, 0], near[:, 1]] = np.round(exact, 9)
-                        ok = score <= threshold
-                    i, j = np.nonzero(ok)
-                    x, y = [r["ids"][at + k] for k in i], [r["ids2"][k] for k in j]
-                    keep = [k for k in range(len(x)) if x[k] != y[k] and (r["part"] != r["other"] or x[k] < y[k])]
-                    pairs = [(min(x[k], y[k]), max(x[k], y[k]), float(score[i[k], j[k]])) for k in keep]
-                    schema = pa.schema([("a", batch.schema.field("ids").type.value_type), ("b", batch.schema.field("ids").type.value_type), ("score", pa.float64())])
-                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], schema[k].type) for k in range(3)], schema=schema)
-
-    return met.select("ids", "dim", "data", "ids2", "data2", "part", "other").mapInArrow(run, f"a {kind}, b {kind}, score double")

@@ -3,6 +3,9 @@
 A row is kept unless an earlier kept row resembles it: the lexicographically first maximal independent set of the
 similarity graph. Each round removes the neighbours of rows that no undecided row precedes (Blelloch, Fineman & Shun,
 SPAA 2012). Rounds work on edges only and shrink; once few are left, one task finishes them in order.
+
+Where rows resemble each other by meeting in a bucket, the graph is that of rows and buckets (kept_in_buckets): a round
+costs a row for each row's bucket, however many rows a bucket holds, and pairs are never made.
 """
 
 from __future__ import annotations
@@ -42,3 +45,50 @@ def removed_rows(edges: DataFrame) -> DataFrame:
         left = left.join(free, F.col("p") == F.col("free"), "left_anti")
         left = left.join(gone, F.col("c") == F.col("node"), "left_anti").join(gone, F.col("p") == F.col("node"), "left_anti")
         left = materialize(left, "greedy-edges")
+
+
+#: A bucket with more than a HUBS-th of all entries is a hub; so there are HUBS of them at most.
+HUBS = 1000
+
+
+def with_least(entries: DataFrame, value: str, name: str) -> DataFrame:
+    """entries (bucket, id, ...) with the least value of their bucket. Entries of hub buckets stay where they are: only the
+    hubs' least values, HUBS rows at most, are sent to them."""
+    low = entries.groupBy("bucket").agg(F.min(value).alias(name), F.count("*").alias("__n"))
+    low = materialize(low, "buckets")
+    total = low.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hub = F.col("__n") * HUBS > F.lit(total)
+    hubs, few = F.broadcast(low.where(hub).drop("__n")), low.where(~hub).drop("__n")
+    return entries.join(hubs, "bucket").unionByName(entries.join(hubs, "bucket", "left_anti").join(few, "bucket"))
+
+
+def _finish_buckets(pdf):
+    """The kept rows of a small remainder of entries, by one pass in id order."""
+    import pandas as pd
+
+    taken, kept = set(), []
+    for i, held in pdf.sort_values("id").groupby("id", sort=True)["bucket"]:
+        if taken.isdisjoint(held):
+            kept.append(i)
+            taken.update(held)
+    return pd.DataFrame({"id": pd.Series(kept, dtype=pdf["id"].dtype)})
+
+
+def kept_in_buckets(entries: DataFrame) -> DataFrame:
+    """(id) of the greedy kept set, for distinct entries (bucket, id): rows that share a bucket resemble each other.
+
+    A row that is the least undecided one in all its buckets is kept, and the other rows of these buckets go. A bucket holds
+    one kept row at most.
+    """
+    left, kind, out = entries.select("bucket", "id"), dict(entries.dtypes)["id"], None
+    while True:
+        if left.count() <= SMALL:
+            last = left.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_finish_buckets, f"id {kind}")
+            return last if out is None else out.unionByName(last)
+        ranked = materialize(with_least(left, "id", "least"), "bucket-entries")
+        behind = ranked.where("id <> least").select("id").distinct()
+        free = materialize(ranked.select("id").distinct().join(behind, "id", "left_anti"), "bucket-kept")
+        out = free if out is None else out.unionByName(free)
+        # a bucket is closed once its least row is kept; its rows go from all their buckets
+        closed = ranked.join(free.withColumnRenamed("id", "least"), "least", "left_semi").select("id").distinct()
+        left = materialize(ranked.join(closed, "id", "left_anti").select("bucket", "id"), "bucket-left")

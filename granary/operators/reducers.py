@@ -7,17 +7,19 @@ one kept row. Ties go to the smaller id. Null ids or sequences are refused; so a
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import neighbours as N
+from ..functions import ordering as O
 from ..functions import sequences as S
 from ..functions import vectors as V
 from ..roles import Columns
 from ..storage import materialize
-from .greedy import removed_rows
+from .greedy import kept_in_buckets, removed_rows, with_least
 
 #: Parameters that place work on one machine; they are accepted for compatibility and warned about.
 PLACEMENT = ("use_faiss", "n_jobs", "dtype", "cluster_mode", "threads", "tmp_root", "keep_tmp", "mmseqs_bin", "work_dir", "keep_work")
@@ -57,8 +59,20 @@ def _at_least(name: str, value: float, low: float) -> None:
         raise ValueError(f"{name} must be at least {low:g}, not {value}")
 
 
+#: Which of several alike rows is kept, and the column that it looks at where none is named.
+POLICIES = ("smallest_id", "longest_sequence", "best_quality", "earliest_time", "greatest_label")
+
+
 @dataclass
 class Reducer:
+    """keep: the order in which rows are taken, hence which of several alike rows stays. All ties go to the smaller id.
+
+    smallest_id; longest_sequence (of cols.sequence, or keep_col); best_quality (the greatest keep_col, "quality" unless
+    given); earliest_time (keep_col or cols.date); greatest_label (keep_col or cols.label). Rows without a value come last.
+    """
+
+    keep: str = field(default="smallest_id", kw_only=True)
+    keep_col: str | None = field(default=None, kw_only=True)
     name: ClassVar[str]
     prefix: ClassVar[str]
     cluster_column: ClassVar[str]
@@ -77,8 +91,35 @@ class Reducer:
         if clash := [c for c in df.columns if c.startswith("__")]:
             raise ValueError(f"the dataset has columns {clash}, whose names are taken here")
         check_ids(df, cols.id)
-        pairs = self.pairs(df, cols)  # removed, representative, score
-        return self._result(df, cols, pairs)
+        if self.keep not in POLICIES:
+            raise ValueError(f"keep must be one of {', '.join(POLICIES)}, not {self.keep!r}")
+        if self.keep == "smallest_id":
+            return self._result(df, cols, self.pairs(df, cols))  # removed, representative, score
+        return self._result(df, cols, self._by_priority(df, cols))
+
+    def _priority(self, df: DataFrame, cols: Columns) -> Column:
+        usual = {"longest_sequence": cols.sequence, "best_quality": "quality", "earliest_time": cols.date, "greatest_label": cols.label}[self.keep]
+        name = self.keep_col or usual
+        if name is None or name not in df.columns:
+            raise ValueError(f"{self.keep} needs a column: {name!r} isn't there")
+        c = F.col(f"`{name}`")
+        if self.keep == "longest_sequence":
+            c = F.char_length(c.cast("string"))
+        return c.asc_nulls_last() if self.keep == "earliest_time" else c.desc_nulls_last()
+
+    def _by_priority(self, df: DataFrame, cols: Columns) -> DataFrame:
+        """pairs() on rows that are named by their places in the priority order; names are put back after."""
+        ident = F.col(f"`{cols.id}`")
+        ranked = materialize(O.order_rank(df, self._priority(df, cols), ident, name="__rank"), "priority")
+        names = ranked.select(ident.alias("__id"), "__rank")
+        found = self.renamed(names).pairs(ranked, replace(cols, id="__rank"))
+        of = lambda c: names.select(F.col("__rank").alias(c), F.col("__id").alias(f"{c}_id"))
+        named = found.join(of("removed"), "removed").join(of("representative"), "representative")
+        return named.select(F.col("removed_id").alias("removed"), F.col("representative_id").alias("representative"), "score")
+
+    def renamed(self, names: DataFrame) -> Reducer:
+        """This strategy with the ids of its own tables (__id) replaced by ranks (__rank)."""
+        return self
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         raise NotImplementedError
@@ -143,16 +184,18 @@ class _Tokens(Reducer):
         check_sequences(df, cols.sequence)
         rows = df.select(F.col(f"`{cols.id}`").alias("id"), F.col(f"`{cols.sequence}`").cast("string").alias("sequence"))
         first = materialize(rows.groupBy("sequence").agg(F.min("id").alias("cls")), "sequence-classes")
-        return materialize(rows.join(first, "sequence").select("id", "cls"), "sequence-rows"), first
+        digest = F.sha2("sequence", 256).alias("h")  # texts meet where they are grouped; digests go back to the rows
+        return materialize(rows.select("id", digest).join(first.select(digest, "cls"), "h").select("id", "cls"), "sequence-rows"), first
 
-    def finish(self, rows: DataFrame, links: DataFrame, alone: Column, best: str) -> DataFrame:
-        """Removed rows from links (p, c, score, shared) between classes, p < c; alone: shared of a class with itself.
+    def finish(self, rows: DataFrame, links: DataFrame, alone: Column, best: str, gone: DataFrame | None = None) -> DataFrame:
+        """Removed rows from links (p, c, score, shared) between classes, p < c; alone: shared of a class with itself; gone:
+        the classes (node) that aren't kept, where they are known.
 
         A copy of an earlier row is never kept and removes nothing that its first copy doesn't. It may choose a
         representative that lies between its first copy and itself, so the choice is made for rows, not for classes.
         """
         links = materialize(links, "class-links")
-        gone = materialize(removed_rows(links), "class-removed").withColumnRenamed("node", "cls")
+        gone = materialize(removed_rows(links) if gone is None else gone, "class-removed").withColumnRenamed("node", "cls")
         kept = rows.select("cls").distinct().join(gone, "cls", "left_anti")
         both = links.select(F.col("c").alias("cls"), F.col("p").alias("rep"), "score", "shared").unionByName(links.select(F.col("p").alias("cls"), F.col("c").alias("rep"), "score", "shared"))
         own = rows.select("cls").distinct().select("cls", F.col("cls").alias("rep"), F.lit(1.0).alias("score"), alone.alias("shared"))
@@ -162,24 +205,8 @@ class _Tokens(Reducer):
         return chosen.select(F.col("id").alias("removed"), F.col("b.rep").alias("representative"), F.col("b.score").alias("score"))
 
     def candidates(self, first: DataFrame, k: int, threshold: float) -> DataFrame:
-        """(p, c, shared, n_p, n_c): classes of Jaccard >= threshold that share a k-mer.
-
-        Prefix filtering (Xiao et al., WWW 2008): with k-mers in order of rarity, alike sets share one among their first
-        n - ceil(t n) + 1. Frequent k-mers hardly ever enter the join; sizes prune the rest, and sorted sets are intersected.
-        """
-        cut = materialize(S.kmers(first, k, "cls", "sequence"), "kmers")
-        rarity = cut.groupBy("kmer").agg(F.count("*").alias("f"))
-        sets = cut.join(rarity, "kmer").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "kmer"))).alias("s"))
-        sets = materialize(sets.select("id", "n", F.transform("s", lambda x: x["kmer"]).alias("kmers")), "kmer-sets")
-        t = F.lit(float(threshold))
-        head = F.greatest(F.lit(1), (F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).cast("int"))
-        probe = sets.select("id", "n", F.explode(F.slice("kmers", F.lit(1), F.least(head, F.col("n")))).alias("kmer"))
-        p, c = (probe.select("kmer", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "pc")
-        met = p.join(c, "kmer").where((F.col("p") < F.col("c")) & (F.least("n_p", "n_c") >= t * F.greatest("n_p", "n_c") - 1e-9)).select("p", "c").distinct()
-        a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("kmers").alias(f"s_{x}")) for x in "pc")
-        both = met.join(a, "p").join(b, "c").withColumn("shared", F.size(F.array_intersect("s_p", "s_c")))
-        score = F.col("shared") / (F.col("n_p") + F.col("n_c") - F.col("shared"))
-        return both.withColumn("score", score).where((F.col("shared") > 0) & (F.col("score") >= t)).select("p", "c", "score", "shared")
+        """(p, c, score, shared): classes that share a k-mer and have Jaccard >= threshold, p < c."""
+        return S.alike_sets(S.kmers(first, k, "cls", "sequence"), threshold)
 
 
 @dataclass
@@ -256,22 +283,55 @@ class MinhashJaccard(_Tokens):
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         rows, first = self.classes(df, cols)
-        slots = S.signature(F.col("kmer"), self.num_perm, self.seed)
-        signed = S.kmers(first, self.k, "cls", "sequence", S.token_hash(F.col("kmer"))).groupBy("id").agg(*slots)
-        signed = materialize(signed.select("id", F.array(*[f"m{j}" for j in range(self.num_perm)]).alias("sig")), "signatures")
+        signed = materialize(S.signatures(first, self.k, "cls", "sequence", self.num_perm, self.seed), "signatures")
         b, r = (1, self.num_perm) if self.threshold >= 1 else S.bands(self.threshold, self.num_perm)
-        keys = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * r + 1, F.lit(r))))
-        buckets = signed.select("id", F.posexplode(keys).alias("band", "key"))
-        p, c = (buckets.select("band", "key", F.col("id").alias(x)) for x in "pc")
-        met = p.join(c, ["band", "key"]).where("p < c").select("p", "c").distinct()
+        keys = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.struct(i.alias("band"), F.slice("sig", i * r + 1, F.lit(r)).alias("part")))
+        entries = signed.select(F.explode(keys).alias("bucket"), "id")
+        if self.verify:
+            return self._verified(rows, signed, entries)
+        entries = materialize(entries.select(F.concat(F.col("bucket.band").cast("string"), F.lit(":"), F.sha2(F.to_json("bucket.part"), 256)).alias("bucket"), "id"), "bands")
+        kept = materialize(kept_in_buckets(entries), "class-kept")
+        # a bucket's kept row, if it has one, is its only one
+        of = entries.join(kept, "id", "left_semi")
+        owned = with_least(entries.withColumn("own", F.lit(None).cast(dict(entries.dtypes)["id"])).unionByName(of.withColumn("own", F.col("id"))), "own", "rep")
+        met = owned.where("own is null and rep is not null and id <> rep").select("id", "rep").distinct()
+        scored = self._scored(met.select(F.col("rep").alias("p"), F.col("id").alias("c")), signed)
+        links = scored.select(F.least("p", "c").alias("p"), F.greatest("p", "c").alias("c"), "score", F.lit(0).alias("shared"))
+        gone = signed.select(F.col("id").alias("node")).join(kept.select(F.col("id").alias("node")), "node", "left_anti")
+        return self.finish(rows, links, F.lit(0), "score", gone)
+
+    def _scored(self, met: DataFrame, signed: DataFrame) -> DataFrame:
         x, y = (signed.select(F.col("id").alias(n), F.col("sig").alias(f"s_{n}")) for n in "pc")
         equal = F.aggregate(F.zip_with("s_p", "s_c", lambda u, v: F.when(u == v, 1).otherwise(0)), F.lit(0), lambda s, e: s + e)
-        scored = met.join(x, "p").join(y, "c").withColumn("score", equal / F.lit(self.num_perm))
-        if self.verify or self.threshold >= 1:
-            scored = scored.where(F.col("score") >= self.threshold)
+        return met.join(x, "p").join(y, "c").withColumn("score", equal / F.lit(self.num_perm))
+
+    def _verified(self, rows: DataFrame, signed: DataFrame, entries: DataFrame) -> DataFrame:
+        """Buckets only name candidates here, so their pairs are made and compared."""
+        p, c = (entries.select("bucket", F.col("id").alias(x)) for x in "pc")
+        met = p.join(c, "bucket").where("p < c").select("p", "c").distinct()
+        scored = self._scored(met, signed).where(F.col("score") >= self.threshold)
         return self.finish(rows, scored.select("p", "c", "score", F.lit(0).alias("shared")), F.lit(0), "score")
 
 
+def _resolve_vectors(rows: DataFrame, threshold: float, metric: str) -> DataFrame:
+    """(removed, representative, score) for rows (id, v) in id order. Equal vectors are one class, named by its smallest id,
+    and classes are compared: a copy goes to what keeps its first copy's place. Zero vectors resemble nothing by cosine, not
+    even each other, so each stays a class of its own."""
+    own = F.exists("v", lambda x: x != 0) if metric == "cosine" else F.lit(True)
+    first = rows.where(own).groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
+    first = materialize(first.unionByName(rows.where(~own).select("v", F.col("id").alias("cls"), F.lit(1).cast("long").alias("n"))), "vector-classes")
+    links = N.close_pairs(first, "cls", "v", threshold, metric)
+    found = resolve(links.select(F.col("a").alias("p"), F.col("b").alias("c"), "score", F.lit(0).alias("shared")))
+    # only copies are looked up by their vectors
+    many = first.where("n > 1").select("v", "cls")
+    copies = rows.join(many, "v").where("id <> cls").select("id", "cls")
+    if copies.isEmpty():
+        return found
+    same = 1.0 if metric == "cosine" else 0.0
+    led = copies.join(found.withColumnRenamed("removed", "cls"), "cls", "left")
+    return found.unionByName(led.select(F.col("id").alias("removed"), F.coalesce("representative", "cls").alias("representative"), F.coalesce("score", F.lit(same)).alias("score")))
+
+
 @dataclass
 class EmbeddingCosine(Reducer):
     """Cosine >= threshold to an earlier kept row. embeddings: (id, embedding); rows without one are kept as singletons."""
@@ -291,6 +351,9 @@ class EmbeddingCosine(Reducer):
         if self.embeddings is None:
             raise ValueError("embedding_cosine needs embeddings")
 
+    def renamed(self, names: DataFrame) -> Reducer:
+        return replace(self, embeddings=_put(self.embeddings, names, self.embedding_id))
+
     def _found(self, df: DataFrame, cols: Columns) -> DataFrame:
         store = self.embeddings.select(F.col(f"`{self.embedding_id}`").alias("id"), F.col(f"`{self.embedding_col}`").cast("array<double>").alias("v"))
         return df.select(F.col(f"`{cols.id}`").alias("id")).join(store.where("v is not null").dropDuplicates(["id"]), "id")
@@ -299,8 +362,7 @@ class EmbeddingCosine(Reducer):
         found = materialize(self._found(df, cols).select("id", V.unit(F.col("v")).alias("v")), "embeddings")
         if found.isEmpty():
             raise ValueError("no id of the dataset has an embedding")
-        links = V.close_pairs(found, "id", "v", self.threshold, "cosine")
-        return resolve(links.select(F.col("a").alias("p"), F.col("b").alias("c"), "score", F.lit(0).alias("shared")))
+        return _resolve_vectors(found, self.threshold, "cosine")
 
     def _result(self, df: DataFrame, cols: Columns, pairs: DataFrame) -> ReductionResult:
         got = super()._result(df, cols, pairs)
@@ -347,8 +409,16 @@ class DescriptorEuclidean(Reducer):
         base = df.select(F.col(f"`{cols.id}`").alias("id"), V.as_vector(df, names).alias("v"))
         if self.standardize:
             base = base.select("id", V.zscore("v", *V.column_moments(base, "v")).alias("v"))
-        links = V.close_pairs(materialize(base, "descriptors"), "id", "v", self.threshold, "euclidean")
-        return resolve(links.select(F.col("a").alias("p"), F.col("b").alias("c"), "score", F.lit(0).alias("shared")))
+        return _resolve_vectors(materialize(base, "descriptors"), self.threshold, "euclidean")
+
+
+def _put(table: DataFrame, names: DataFrame, *cols: str) -> DataFrame:
+    """table with the ids in cols replaced by their ranks; rows of other ids go."""
+    for c in cols:
+        kind = dict(names.dtypes)["__id"]
+        own = names.select(F.col("__id").alias("__own"), F.col("__rank").alias("__new"))
+        table = table.withColumn(c, F.col(f"`{c}`").cast(kind)).join(own, F.col(f"`{c}`") == F.col("__own")).withColumn(c, F.col("__new")).drop("__own", "__new")
+    return table
 
 
 @dataclass
@@ -369,6 +439,9 @@ class StructuralDistance(Reducer):
         if self.edges is None or (missing := [c for c in (self.id1_col, self.id2_col, self.value_col) if c not in self.edges.columns]):
             raise ValueError("structural_distance needs edges" + (f" with {missing}" if self.edges is not None else ""))
 
+    def renamed(self, names: DataFrame) -> Reducer:
+        return replace(self, edges=_put(self.edges, names, self.id1_col, self.id2_col))
+
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         kind, near = dict(df.dtypes)[cols.id], self.mode == "distance"
         e = self.edges.select(F.col(f"`{self.id1_col}`").cast(kind).alias("x"), F.col(f"`{self.id2_col}`").cast(kind).alias("y"), F.col(f"`{self.value_col}`").cast("double").alias("score"))
@@ -411,6 +484,9 @@ class Homology(_Tokens):
         if self.cov_mode not in (0, 1, 2):
             raise ValueError("cov_mode must be 0, 1 or 2")
 
+    def renamed(self, names: DataFrame) -> Reducer:
+        return self if self.clusters is None else replace(self, clusters=_put(self.clusters, names, self.representative_col, self.member_col))
+
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         kind = dict(df.dtypes)[cols.id]
         if self.clusters is not None:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import ordering as O
 from ..functions import vectors as V
+from ..functions.selection import select_quantiles
 from ..roles import Columns
 from ..storage import materialize
 from .reducers import Homology, check_ids, descriptor_columns
@@ -287,20 +288,23 @@ class StratifiedKFold(Splitter):
 
 
 def quantiles(df: DataFrame, value: Column, shares: list[float]) -> list[float]:
-    """Exact quantiles by linear interpolation: the neighbouring ranks' values only come to the driver."""
-    ranked = O.order_rank(df.select(value.alias("x")), F.col("x"), name="r")
-    n = ranked.count()
-    at = [s * (n - 1) for s in shares]
-    ranks = sorted({int(math.floor(a)) + 1 for a in at} | {int(math.ceil(a)) + 1 for a in at})
-    x = {r.r: r.x for r in ranked.where(F.col("r").isin(ranks)).collect()}
-    return [x[math.floor(a) + 1] + (x[math.ceil(a) + 1] - x[math.floor(a) + 1]) * (a - math.floor(a)) for a in at]
+    """Exact quantiles by linear interpolation."""
+    return select_quantiles(df, value, shares)[None]
 
 
 def bin_edges(df: DataFrame, value: Column, n_bins: int, binning: str) -> list[float]:
+    return binnings(df, value, [n_bins], binning)[0]
+
+
+def binnings(df: DataFrame, value: Column, numbers: list[int], binning: str) -> list[list[float]]:
+    """Edges for each number of bins, all from the same scans."""
     if binning == "quantile":
-        return quantiles(df, value, [i / n_bins for i in range(n_bins + 1)])
+        shares = [[i / n for i in range(n + 1)] for n in numbers]
+        flat = sorted({x for s in shares for x in s})
+        at = dict(zip(flat, quantiles(df, value, flat)))
+        return [[at[x] for x in s] for s in shares]
     low, high = df.agg(F.min(value), F.max(value)).first()
-    return [low + (high - low) * i / n_bins for i in range(n_bins + 1)]
+    return [[low + (high - low) * i / n for i in range(n + 1)] for n in numbers]
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:
@@ -312,21 +316,25 @@ def bin_of(value: Column, edges: list[float]) -> Column:
     return out.cast("int")
 
 
-def label_stats(df: DataFrame, value: Column) -> dict[str, float]:
-    """n, min, max, mean, sample deviation (0 of one row) and median of a numeric label."""
-    row = df.agg(F.count(value), F.min(value), F.max(value), F.avg(value), F.coalesce(F.stddev_samp(value), F.lit(0.0))).first()
-    return dict(zip(("n", "min", "max", "mean", "std"), row)) | {"median": quantiles(df.where(value.isNotNull()), value, [0.5])[0] if row[0] else None}
+def label_stats(rows: DataFrame, value: Column) -> dict[str, dict[str, float]]:
+    """n, min, max, mean, sample deviation (0 of one row) and median of a numeric label, for all rows ("global") and each part."""
+    of = (F.count(value), F.min(value), F.max(value), F.avg(value), F.coalesce(F.stddev_samp(value), F.lit(0.0)))
+    median = {g or "global": m[0] for g, m in select_quantiles(rows, value, [0.5], F.col("split")).items()}
+    out = {}
+    for r in rows.rollup("split").agg(*of).collect():  # a row for each part
+        part = r[0] or "global"
+        out[part] = dict(zip(("n", "min", "max", "mean", "std"), r[1:])) | {"median": median.get(part)}
+    return out
 
 
 def bin_counts(value: Column, edges: list[float]) -> Callable[[DataFrame], dict[str, Any]]:
     """How many rows of each part fall into each bin, and the label's figures in all and in each part."""
 
     def figures(assigned: DataFrame) -> dict[str, Any]:
-        out: dict[str, Any] = {"n_bins": len(edges) - 1, "bin_counts": {}, "label_stats": {"global": label_stats(assigned, value)}}
-        for r in assigned.groupBy("split", bin_of(value, edges).alias("bin")).count().collect():  # a row for each bin and part
+        rows = materialize(assigned.select("split", value.alias("value")), "labels")
+        out: dict[str, Any] = {"n_bins": len(edges) - 1, "bin_counts": {}, "label_stats": label_stats(rows, F.col("value"))}
+        for r in rows.groupBy("split", bin_of(F.col("value"), edges).alias("bin")).count().collect():  # a row for each bin and part
             out["bin_counts"].setdefault(r.split, {})[r.bin] = r["count"]
-        for part in out["bin_counts"]:
-            out["label_stats"][part] = label_stats(assigned.where(F.col("split") == part), value)
         return out
 
     return figures
@@ -336,17 +344,18 @@ def bin_counts(value: Column, edges: list[float]) -> Callable[[DataFrame], dict[
 class _Numeric(Splitter):
     def bins(self, df: DataFrame, value: Column, least: int) -> list[float]:
         """Unique edges of as many bins as have `least` rows each, one fewer at a time if auto_reduce_bins."""
-        for n in range(self.n_bins, 1, -1):
-            raw = bin_edges(df, value, n, self.binning)
-            edges = sorted(set(raw))
+        numbers = list(range(self.n_bins, 1, -1)) if self.auto_reduce_bins else [self.n_bins]
+        found = binnings(df, value, numbers, self.binning)
+        unique = [sorted(set(raw)) for raw in found]
+        # the rows of every bin of every binning, in one scan
+        held = [F.count_if(bin_of(value, e) == b).alias(f"{n}_{b}") for n, e in zip(numbers, unique) for b in range(len(e) - 1)]
+        sizes = df.agg(*held).first().asDict() if held else {}
+        for n, raw, edges in zip(numbers, found, unique):
             if len(edges) < len(raw) and self.duplicates == "raise":
                 raise ValueError("bin edges coincide")
-            if len(edges) >= 3:
-                sizes = df.groupBy(bin_of(value, edges).alias("b")).count().agg(F.min("count"), F.count("*")).first()
-                if sizes[0] >= least and sizes[1] >= 2:
-                    return edges
-            if not self.auto_reduce_bins:
-                break
+            full = [m for b in range(len(edges) - 1) if (m := sizes[f"{n}_{b}"])]
+            if len(edges) >= 3 and len(full) >= 2 and min(full) >= least:
+                return edges
         raise ValueError(f"no binning gives every bin {least} rows")
 
     def prepare(self, df: DataFrame, cols: Columns) -> tuple[DataFrame, Column]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import neighbours as N
 from ..functions import sequences as S
 from ..functions import vectors as V
 from ..operators import reducers as R
@@ -84,7 +85,7 @@ edges as materialized (
 @query(f"with recursive {COSINE} select p, c, round(score, 6) as score from edges")
 def cosine_pairs(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings").select("vec_id", V.unit(F.col("embedding").cast("array<double>")).alias("v"))
-    return V.close_pairs(e, "vec_id", "v", 0.3, "cosine").select(F.col("a").alias("p"), F.col("b").alias("c"), F.round("score", 6).alias("score"))
+    return N.close_pairs(e, "vec_id", "v", 0.3, "cosine").select(F.col("a").alias("p"), F.col("b").alias("c"), F.round("score", 6).alias("score"))
 
 
 def _cosine(spark, sf_dir):
@@ -108,13 +109,26 @@ def reduce_embedding_cosine_mapping(spark, sf_dir):
     return _cosine(spark, sf_dir).mapping.withColumn("score", F.round("score", 6))
 
 
+BY_LABEL = COSINE.replace("select vec_id as id, list", "select row_number() over (order by label desc nulls last, vec_id) as id, vec_id, list").replace(
+    "nodes as materialized (select id", "nodes as materialized (select id, vec_id"
+)
+
+
+@query(f"with recursive {BY_LABEL}, {GREEDY} select vec_id as id, 'embcos:' || vec_id as cluster_id from kept join nodes using (id)")
+def reduce_embedding_cosine_by_label(spark, sf_dir):
+    """Of alike vectors the one with the greatest label stays."""
+    e = _read(spark, sf_dir, "embeddings")
+    how = dict(embeddings=e.select("vec_id", "embedding"), embedding_id="vec_id", threshold=0.3, keep="greatest_label")
+    return _kept(R.EmbeddingCosine(**how).run(e.select("vec_id", "label"), VECS), "vec_id")
+
+
 STRUCT = COSINE.replace("where round(list_inner_product(a.e, b.e), 9) >= 0.3", "where round(1 - round(list_inner_product(a.e, b.e), 9), 9) <= 0.68")
 
 
 @query(f"with recursive {STRUCT}, {GREEDY} select id, 'struct:' || id as cluster_id from kept")
 def reduce_structural_distance(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
-    near = V.close_pairs(e.select("vec_id", V.unit(F.col("embedding").cast("array<double>")).alias("v")), "vec_id", "v", 0.3, "cosine")
+    near = N.close_pairs(e.select("vec_id", V.unit(F.col("embedding").cast("array<double>")).alias("v")), "vec_id", "v", 0.3, "cosine")
     edges = near.select(F.col("a").alias("id1"), F.col("b").alias("id2"), F.round(1 - F.col("score"), 9).alias("distance"))
     return _kept(R.StructuralDistance(edges=edges, threshold=0.68).run(e, VECS), "vec_id")
 
@@ -184,6 +198,19 @@ def reduce_kmer_jaccard_mapping(spark, sf_dir):
     return _kmer(spark, sf_dir).mapping.withColumn("score", F.round("score", 6))
 
 
+#: Rows are taken by falling length of their sequences: the same SQL over places in that order.
+BY_LENGTH = "ranks as materialized (select p_partkey, p_name, row_number() over (order by length(p_name) desc, p_partkey) as place from part), "
+NAMED = """select x.p_partkey::varchar as removed_id, y.p_partkey::varchar as representative_id, 'kmer:' || y.p_partkey as cluster_id, round(score, 6) as score
+from m join ranks x on x.place = m.id join ranks y on y.place = m.rep where n = 1"""
+
+
+@query("with recursive " + BY_LENGTH + KMER.replace("{edges}", KMER_EDGES).replace("p_partkey", "place").replace("from part", "from ranks").split("select id::varchar")[0] + NAMED)
+def reduce_kmer_longest_mapping(spark, sf_dir):
+    """The longest of alike sequences stays."""
+    got = R.KmerJaccard(threshold=0.3, keep="longest_sequence").run(_read(spark, sf_dir, "part"), PARTS)
+    return got.mapping.withColumn("score", F.round("score", 6))
+
+
 @query("with recursive " + KMER.replace("{edges}", IDENT_EDGES).replace("{prefix}", "ident"))
 def reduce_identity_greedy_mapping(spark, sf_dir):
     got = R.IdentityGreedy(threshold=0.4, length_tolerance=0.5).run(_read(spark, sf_dir, "part"), PARTS)
@@ -237,13 +264,12 @@ def reduce_minhash_jaccard_mapping(spark, sf_dir):
 with toks as materialized (
   select distinct doc_id, ('0x' || substr(md5(substr(text, i::int, 5)), 1, 8))::bigint % {prime} as h
   from documents, range(1, greatest(length(text) - 4, 1) + 1) r(i)),
-slots as (select doc_id, p.j, min((p.a * h + p.b) % {prime}) as m from toks, (select unnest({a}::bigint[]) as a, unnest({b}::bigint[]) as b, unnest(range(8)) as j) p group by all)
-select doc_id, j::int as j, m from slots""".format(prime=S.PRIME, a=[a for a, _ in _FACTORS[:8]], b=[b for _, b in _FACTORS[:8]]))
+slots as (select doc_id, p.j, min((p.a * h + p.b) % {prime}) as m from toks, (select unnest({a}::bigint[]) as a, unnest({b}::bigint[]) as b, unnest(range(128)) as j) p group by all)
+select doc_id, j::int as j, m from slots""".format(prime=S.PRIME, a=[a for a, _ in _FACTORS], b=[b for _, b in _FACTORS]))
 def minhash_signatures(spark, sf_dir):
-    """The first eight slots of each document's signature."""
-    cut = S.kmers(_read(spark, sf_dir, "documents"), 5, "doc_id", "text", S.token_hash(F.col("kmer")))
-    signed = cut.groupBy("id").agg(*S.signature(F.col("kmer"), 8, 42))
-    return signed.select(F.col("id").alias("doc_id"), F.posexplode(F.array(*[f"m{j}" for j in range(8)])).alias("j", "m"))
+    """All slots of each document's signature."""
+    signed = S.signatures(_read(spark, sf_dir, "documents"), 5, "doc_id", "text", 128, 42)
+    return signed.select(F.col("id").alias("doc_id"), F.posexplode("sig").alias("j", "m"))
 
 
 @query()
@@ -498,7 +524,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, ne
 select query_id, neighbour_id, rank::int as rank, round(score, 6) as score from r where rank <= 5""")
 def cosine_neighbours(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
-    return V.nearest(e, "vec_id", "embedding", 5).select(F.col("a").alias("query_id"), F.col("b").alias("neighbour_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    return N.nearest(e, "vec_id", "embedding", 5).select(F.col("a").alias("query_id"), F.col("b").alias("neighbour_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("""
