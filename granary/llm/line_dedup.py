@@ -4,7 +4,8 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 a key. It is a set of sorted runs (h, g, n): two 64-bit hashes of a key and its documents. A run is a table bucketed and
 sorted by h, so merging runs, or a batch with a run, needs no exchange of the run.
 
-1. Texts are read once for the index; what comes out is (batch, h, g, n), with one row for each key and batch.
+1. Texts are read once for the index; what comes out is (batch, h, g, n), with one row for each key and batch, bucketed as
+   the runs are.
 2. Each batch is merge-anti-joined with the runs: keys that a run already holds in enough documents are settled and need no
    more counting. The rest becomes a run of level 0.
 3. When a level has FANOUT runs, they are compacted into one of the next level, so a key is rewritten once a level.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, fresh, materialize, shared_dir, table, with_row
 
-MIN_DOCS, BATCHES, FANOUT, HOT, BUCKET_ROWS = 10, 8, 4, 1000, 4_000_000
+MIN_DOCS, BATCHES, FANOUT, HOT, BUCKET_DOCS = 10, 4, 2, 1000, 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,13 +60,14 @@ class Runs:
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
-    def _write(self, run: DataFrame) -> str:
+    def write(self, run: DataFrame, *parts: str) -> str:
+        """run, whose rows lie in the partitions of their buckets, as a table; its name."""
         name = f"line_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/{name}"
-        run.write.bucketBy(self.buckets, "h").sortBy("h", "g").option("path", path).format("parquet").saveAsTable(name)
+        out = run.write.bucketBy(self.buckets, "h").sortBy("h", "g").option("path", f"{shared_dir(self.spark)}/{name}").format("parquet")
+        (out.partitionBy(*parts) if parts else out).saveAsTable(name)
         return name
 
-    def _drop(self, names: list[str]) -> None:
+    def drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"drop table if exists {name}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
@@ -77,11 +79,12 @@ class Runs:
         self.levels[level].append(name)
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (h, g, n), a row for each key: what the runs haven't settled becomes a run of level 0."""
-        new = batch.repartition(self.buckets, "h")
+        """batch: (h, g, n), a row for each key, in the partitions of its buckets: what the runs haven't settled becomes a run
+        of level 0."""
+        new = batch
         for run in self.tables():
             new = new.join(run.where(F.col("n") >= self.min_docs).select("h", "g").hint("merge"), ["h", "g"], "left_anti")
-        self._place(0, self._write(new))
+        self._place(0, self.write(new))
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self._compact(level)
@@ -98,10 +101,10 @@ class Runs:
 
     def _compact(self, level: int) -> None:
         old = self.levels[level]
-        name = self._write(self._merged(old))
+        name = self.write(self._merged(old))
         self.levels[level] = []
         self._place(level + 1, name)
-        self._drop(old)
+        self.drop(old)
         self.compactions += 1
 
     def frequent(self) -> DataFrame:
@@ -110,7 +113,7 @@ class Runs:
         return self._merged(names).where(F.col("n") >= self.min_docs).select("h", "g")
 
     def discard(self) -> None:
-        self._drop([n for level in self.levels for n in level])
+        self.drop([n for level in self.levels for n in level])
         self.levels = []
 
 
@@ -129,9 +132,10 @@ def frequent_keys(
     frequent.
     """
     spark = rows.sparkSession
-    found = materialize(counted(rows, text, F.pmod(F.xxhash64(row), F.lit(batches)).cast("int")), "line-counts")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // BUCKET_ROWS)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_DOCS)
     runs = Runs(spark, min_docs, buckets, fanout)
+    found_name = runs.write(counted(rows, text, F.pmod(F.xxhash64(row), F.lit(batches)).cast("int")).repartition(buckets, "h"), "batch")
+    found = spark.table(found_name)
     for k in range(batches):
         runs.add(found.where(F.col("batch") == k).select("h", "g", "n"))
     frequent = materialize(runs.frequent(), "line-frequent")
@@ -139,7 +143,9 @@ def frequent_keys(
     totals = found.groupBy("batch").agg(F.sum("n").alias("total"))  # a row for each batch
     hot = found.join(F.broadcast(totals), "batch").where(F.col("n") * HOT > F.col("total")).select("h", "g").distinct()
     often = frequent.join(F.broadcast(hot), ["h", "g"], "left_semi").withColumn("often", F.lit(True))
-    return frequent, hot.join(F.broadcast(often), ["h", "g"], "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    hot = materialize(hot.join(F.broadcast(often), ["h", "g"], "left").withColumn("often", F.coalesce("often", F.lit(False))), "line-hot")
+    runs.drop([found_name])
+    return frequent, hot
 
 
 def dropped_places(rows: DataFrame, text: Column, row: str, frequent: DataFrame, hot: DataFrame) -> DataFrame:
