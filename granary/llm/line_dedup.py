@@ -1,13 +1,11 @@
 """Line dedup by levelled sorted runs of line hashes (DataFrame operations only).
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased. The index counts the documents that hold
-a key. It is a set of sorted runs (h, g, n): two 64-bit hashes of a key and its documents. A run is a table bucketed and
-sorted by h, so merging runs, or a batch with a run, needs no exchange of the run.
+a key. It is a set of sorted runs (h, g, n): two 64-bit hashes of a key and its documents.
 
-1. Texts are read once for the index; what comes out is (batch, h, g, n), with one row for each key and batch, bucketed as
-   the runs are.
+1. Texts are read once for the index; what comes out is (batch, h, g, n), with one row for each key and batch.
 2. Each batch is merge-anti-joined with the runs: keys that a run already holds in enough documents are settled and need no
-   more counting. The rest becomes a run of level 0.
+   more counting; of a run only those are read. The rest becomes a run of level 0.
 3. When a level has FANOUT runs, they are compacted into one of the next level, so a key is rewritten once a level.
 4. Keys whose counts over all runs reach min_docs are frequent. Their places (row, line number) are found by hash; the
    at most HOT keys that hold over a HOT-th of all lines are broadcast, the rest are merged, so no hot line meets in a task.
@@ -23,14 +21,13 @@ gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, fresh, materialize, shared_dir, table, with_row
+from ..storage import discard, recorded
+from .common import ASCII_SPACE, fresh, materialize, table, with_row
 
-MIN_DOCS, BATCHES, FANOUT, HOT, BUCKET_DOCS = 10, 4, 2, 1000, 400_000
+MIN_DOCS, BATCHES, FANOUT, HOT = 10, 4, 2, 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,70 +47,56 @@ def hashes(key: Column) -> list[Column]:
 
 
 class Runs:
-    """Levelled sorted runs of (h, g, n), each a table bucketed by h in the shared folder."""
+    """Levelled sorted runs of (h, g, n), each a table in the shared folder whose files are sorted by (h, g)."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, buckets: int, fanout: int = FANOUT):
-        self.spark, self.min_docs, self.buckets, self.fanout = spark, min_docs, buckets, fanout
-        self.levels: list[list[str]] = []
+    def __init__(self, min_docs: int, fanout: int = FANOUT):
+        self.min_docs, self.fanout = min_docs, fanout
+        self.levels: list[list[tuple[DataFrame, list[str]]]] = []
         self.compactions = 0
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
-
-    def write(self, run: DataFrame, *parts: str) -> str:
-        """run, whose rows lie in the partitions of their buckets, as a table; its name."""
-        name = f"line_run_{uuid.uuid4().hex}"
-        out = run.write.bucketBy(self.buckets, "h").sortBy("h", "g").option("path", f"{shared_dir(self.spark)}/{name}").format("parquet")
-        (out.partitionBy(*parts) if parts else out).saveAsTable(name)
-        return name
-
-    def drop(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"drop table if exists {name}")
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _place(self, level: int, name: str) -> None:
+        return [run for level in self.levels for run, _ in level]
+
+    def _place(self, level: int, run: DataFrame) -> None:
+        with recorded() as paths:
+            written = materialize(run.sortWithinPartitions("h", "g"), "line-run")
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((written, paths))
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (h, g, n), a row for each key, in the partitions of its buckets: what the runs haven't settled becomes a run
-        of level 0."""
+        """batch: (h, g, n), a row for each key: what the runs haven't settled becomes a run of level 0."""
         new = batch
-        for run in self.tables():
+        for run in self.tables():  # of a run only its settled keys are read
             new = new.join(run.where(F.col("n") >= self.min_docs).select("h", "g").hint("merge"), ["h", "g"], "left_anti")
-        self._place(0, self.write(new))
+        self._place(0, new)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        """Runs side by side in bucket order: counts of a key are added up."""
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            both = self.spark.table(name).withColumnRenamed("n", "m").hint("merge")
-            n = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("m"), F.lit(0))
-            out = out.join(both, ["h", "g"], "full_outer").select("h", "g", n.alias("n"))
-        return out
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
+        for run in runs[1:]:
+            out = out.unionByName(run)
+        return out.groupBy("h", "g").agg(F.sum("n").alias("n"))
 
     def _compact(self, level: int) -> None:
         old = self.levels[level]
-        name = self.write(self._merged(old))
         self.levels[level] = []
-        self._place(level + 1, name)
-        self.drop(old)
+        self._place(level + 1, self._merged([run for run, _ in old]))
+        for run, paths in old:
+            discard(run.sparkSession, paths)
         self.compactions += 1
 
     def frequent(self) -> DataFrame:
         """(h, g) of the keys found in min_docs documents."""
-        names = [n for level in self.levels for n in level]
-        return self._merged(names).where(F.col("n") >= self.min_docs).select("h", "g")
+        return self._merged(self.tables()).where(F.col("n") >= self.min_docs).select("h", "g")
 
     def discard(self) -> None:
-        self.drop([n for level in self.levels for n in level])
+        for level in self.levels:
+            for run, paths in level:
+                discard(run.sparkSession, paths)
         self.levels = []
 
 
@@ -131,11 +114,9 @@ def frequent_keys(
     A key that holds over a HOT-th of all (document, key) pairs holds over a HOT-th of some batch's. often: whether it is
     frequent.
     """
-    spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_DOCS)
-    runs = Runs(spark, min_docs, buckets, fanout)
-    found_name = runs.write(counted(rows, text, F.pmod(F.xxhash64(row), F.lit(batches)).cast("int")).repartition(buckets, "h"), "batch")
-    found = spark.table(found_name)
+    with recorded() as paths:
+        found = materialize(counted(rows, text, F.pmod(F.xxhash64(row), F.lit(batches)).cast("int")), "line-counts")
+    runs = Runs(min_docs, fanout)
     for k in range(batches):
         runs.add(found.where(F.col("batch") == k).select("h", "g", "n"))
     frequent = materialize(runs.frequent(), "line-frequent")
@@ -144,7 +125,7 @@ def frequent_keys(
     hot = found.join(F.broadcast(totals), "batch").where(F.col("n") * HOT > F.col("total")).select("h", "g").distinct()
     often = frequent.join(F.broadcast(hot), ["h", "g"], "left_semi").withColumn("often", F.lit(True))
     hot = materialize(hot.join(F.broadcast(often), ["h", "g"], "left").withColumn("often", F.coalesce("often", F.lit(False))), "line-hot")
-    runs.drop([found_name])
+    discard(rows.sparkSession, paths)
     return frequent, hot
 
 

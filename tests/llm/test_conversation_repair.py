@@ -88,7 +88,7 @@ def contract(rows):
             if edit == "K":
                 made.append((row[1], row[2]))
             elif edit in "RI":
-                role = "user" if (state + "s")[-1] in "sa" else "assistant"
+                role = "user" if (state or "s")[-1] in "sa" else "assistant"
                 made.append((role, row[2] if row else ""))
             state = "".join(r[0][0] for r in made)
         assert GRAMMAR.fullmatch(state)

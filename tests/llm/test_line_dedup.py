@@ -65,11 +65,11 @@ def test_empty_and_single(spark):
 
 def test_runs_are_levelled(spark):
     """Settled keys are not added again; levels hold fewer runs than fanout; counts are those of all batches."""
-    rng, runs, want = random.Random(2), line_dedup.Runs(spark, 5, 3, fanout=2), Counter()
+    rng, runs, want = random.Random(2), line_dedup.Runs(5, fanout=2), Counter()
     for k in range(7):
         batch = {(h, h * 7): rng.randint(1, 3) for h in rng.sample(range(40), 15)} | {(-1, 0): 9}
         want.update(batch)
-        runs.add(spark.createDataFrame([(h, g, n) for (h, g), n in batch.items()], "h long, g long, n long").repartition(3, "h"))
+        runs.add(spark.createDataFrame([(h, g, n) for (h, g), n in batch.items()], "h long, g long, n long"))
         assert all(len(level) < 2 for level in runs.levels)
     assert runs.compactions == 4 and [len(x) for x in runs.levels] == [1, 1, 1]
     assert {(r.h, r.g) for r in runs.frequent().collect()} == {k for k, n in want.items() if n >= 5}
@@ -77,16 +77,6 @@ def test_runs_are_levelled(spark):
     runs.discard()
 
 
-def test_runs_merge_without_exchange(spark):
-    """A compaction reads its runs side by side."""
-    runs = line_dedup.Runs(spark, 5, 3, fanout=9)
-    for k in range(2):
-        runs.add(spark.createDataFrame([(h, h, 1) for h in range(50)], "h long, g long, n long").repartition(3, "h"))
-    names = [n for level in runs.levels for n in level]
-    assert "Exchange" not in runs._merged(names)._jdf.queryExecution().executedPlan().toString()
-    runs.discard()
-
-
 def test_query(spark, tmp_path):
     rng = random.Random(8)
     rows = list(enumerate(texts(rng, 60))) + [(70, None)]
