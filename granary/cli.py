@@ -42,7 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.choices["reduce"].add_argument("-o", "--output", required=True)
     sub.choices["reduce"].add_argument("--mapping-output")
     sub.choices["split"].add_argument("-o", "--output-dir", required=True)
-    for a in ("--embeddings", "--embedding-ids", "--edges"):
+    for a in ("--embeddings", "--embedding-ids", "--edges", "--clusters", "--clusters-format"):
         sub.choices["validate"].add_argument(a)
     sub.choices["validate"].add_argument("--fail-fast", action="store_true")
     info = sub.add_parser("info")
@@ -86,12 +86,13 @@ def _work(args) -> int:
     cols = Columns(args.id_column, args.sequence_column, args.label_column, args.group_column, None, args.date_column)
     if args.command == "validate":
         from .plans.validate import validate
-        from .sources.tables import read_embeddings, read_table
+        from .sources.tables import read_clusters, read_embeddings, read_table
 
         emb = read_embeddings(spark, args.embeddings, args.embedding_ids) if args.embeddings else None
         edges = read_table(spark, args.edges) if args.edges else None
+        clusters = read_clusters(spark, args.clusters, args.clusters_format) if args.clusters else None
         df = read_table(spark, args.input, sep=args.csv_separator, encoding=args.encoding)
-        report = validate(df, cols, args.strategy, emb, edges, fail_fast=args.fail_fast)
+        report = validate(df, cols, args.strategy, emb, edges, fail_fast=args.fail_fast, clusters=clusters)
         if args.report_output:
             runner.write_report(report, args.report_output)
         print(json.dumps(runner.plain(report), indent=2))

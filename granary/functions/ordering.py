@@ -15,13 +15,14 @@ from ..storage import fresh, materialize
 BUCKET_DIGITS = 3
 
 
-def shuffle_key(seed: int, id_col: str | Column) -> Column:
+def shuffle_key(seed: int | Column, id_col: str | Column) -> Column:
     """md5 of seed:id, the seeded random order of this package."""
     c = F.col(f"`{id_col}`") if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(c.cast("string"), F.lit(""))).cast("binary"))
+    told = F.concat(seed.cast("string"), F.lit(":")) if isinstance(seed, Column) else F.lit(f"{seed}:")
+    return F.md5(F.concat(told, F.coalesce(c.cast("string"), F.lit(""))).cast("binary"))
 
 
-def shuffle_rank(df: DataFrame, seed: int, id_col: str, within: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+def shuffle_rank(df: DataFrame, seed: int | Column, id_col: str, within: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
     """df with its rank from 1 in the seeded shuffle, or in that of each value of `within` (which isn't null)."""
     key, bucket, ahead = (fresh(df, n) for n in ("shuffle_key", "shuffle_bucket", "shuffle_ahead"))
     keyed = df.withColumn(key, shuffle_key(seed, id_col)).withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
@@ -54,3 +55,17 @@ def even_slice(rank: Column, n: Column | int, k: int) -> Column:
     cut = larger * (small + 1)
     r = rank - 1
     return F.when(r < cut, F.floor(r / (small + 1))).otherwise(larger + F.floor((r - cut) / F.greatest(small, F.lit(1)))).cast("int")
+
+
+def shuffle_counts(df: DataFrame, seed: int, id_col: str, sums: dict[str, Column]) -> DataFrame:
+    """df with further columns: for each of sums, its sum over the rows that precede in the seeded shuffle."""
+    key, bucket = (fresh(df, n) for n in ("shuffle_key", "shuffle_bucket"))
+    keyed = df.withColumn(key, shuffle_key(seed, id_col)).withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
+    ahead = {name: f"{bucket}_{k}" for k, name in enumerate(sums)}
+    before = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)  # over the buckets' sums, 4,096 rows
+    totals = keyed.groupBy(bucket).agg(*[F.sum(x).alias(ahead[n]) for n, x in sums.items()])
+    offsets = totals.select(bucket, *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(a) for a in ahead.values()])
+    here = W.partitionBy(bucket).orderBy(key, id_col).rowsBetween(W.unboundedPreceding, -1)
+    within = keyed.withColumns({n: F.coalesce(F.sum(x).over(here), F.lit(0)) for n, x in sums.items()})
+    out = within.join(F.broadcast(offsets), bucket)
+    return out.withColumns({n: (F.col(n) + F.col(a)).cast("long") for n, a in ahead.items()}).drop(key, bucket, *ahead.values())

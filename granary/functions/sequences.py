@@ -54,6 +54,40 @@ def kmers(df: DataFrame, k: int, id_col: str, seq_col: str, key: Column | None =
     return cut.select("id", "n", (F.xxhash64("kmer") if key is None else key).alias("kmer"))
 
 
+def least_kmers(df: DataFrame, k: int, id_col: str, seq_col: str, most: int) -> DataFrame:
+    """(id, len, kmer, at): of each sequence's distinct k-mers the `most` ones of least hash, with the place of the first
+    occurrence (from 0) and the sequence's length. Hashes are the first 60 bits of the k-mers' md5."""
+
+    def run(batches) -> Iterator:
+        import heapq
+
+        import pyarrow as pa
+
+        md5, known = hashlib.md5, {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                take, sizes, keys, places = [], [], [], []
+                for i, s in enumerate(batch.column(1).slice(start, 256).to_pylist()):
+                    first: dict[str, int] = {}
+                    for at in range(max(1, len(s) - k + 1)):
+                        first.setdefault(s[at : at + k], at)
+                    if len(known) + len(first) > 1_000_000:
+                        known.clear()
+                    for t in first:
+                        if t not in known:
+                            known[t] = int(md5(t.encode()).hexdigest()[:15], 16)
+                    for key, at in heapq.nsmallest(most, ((known[t], at) for t, at in first.items())):
+                        take.append(i)
+                        sizes.append(len(s))
+                        keys.append(key)
+                        places.append(at)
+                ids = batch.column(0).slice(start, 256).take(pa.array(take, pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], ["id", "len", "kmer", "at"])
+
+    kind = dict(df.dtypes)[id_col]
+    return spread(df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("sequence"))).mapInArrow(run, f"id {kind}, len int, kmer long, at int")
+
+
 #: The share of a set by which its index prefix is longer than one shared k-mer calls for, so that pairs share several.
 MARGIN = 0.05
 #: Rows of one k-mer that one task joins with as many others.
@@ -151,16 +185,24 @@ def token_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
 
 
-def _fold(x, spare):
-    """x modulo PRIME in place, for x below 2**62: the bits beyond the 31st are added to the others."""
+def _least(a, b, h, x, y):
+    """The least (a h + b) mod PRIME over h for each a and b, in the buffers x and y.
+
+    Of a number below 2**62 the bits beyond the 31st are added to the others, and PRIME is taken off twice where that is
+    possible: in unsigned numbers the smaller of y and y - PRIME, as the latter wraps around below zero.
+    """
     import numpy as np
 
+    x, y = x[:, : len(h)], y[:, : len(h)]
+    np.multiply(a, h[None, :], out=x)
+    np.add(x, b, out=x)
+    np.right_shift(x, np.uint64(31), out=y)
+    np.bitwise_and(x, np.uint64(PRIME), out=x)
+    np.add(x, y, out=x)
     for _ in range(2):
-        np.right_shift(x, 31, out=spare)
-        np.bitwise_and(x, PRIME, out=x)
-        np.add(x, spare, out=x)
-    np.subtract(x, PRIME, out=spare)
-    np.copyto(x, spare, where=spare >= 0)
+        np.subtract(x, np.uint64(PRIME), out=y)
+        np.minimum(x, y, out=x)
+    return x.min(axis=1)
 
 
 def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, seed: int) -> DataFrame:
@@ -175,7 +217,8 @@ def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, see
         import numpy as np
         import pyarrow as pa
 
-        a, b = (np.array(x, dtype=np.int64)[:, None] for x in zip(*drawn))
+        a, b = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*drawn))
+        x, y = (np.empty((seeds, 256), dtype=np.uint64) for _ in range(2))
         known: dict[str, int] = {}
         md5 = hashlib.md5
         for batch in batches:
@@ -185,16 +228,14 @@ def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, see
                     found = kmer_set(s, k)
                     if len(known) + len(found) > 1_000_000:
                         known.clear()
-                    for t in found - known.keys():
+                    for t in [t for t in found if t not in known]:
                         known[t] = int.from_bytes(md5(t.encode()).digest()[:4], "big") % PRIME
-                    h = np.fromiter((known[t] for t in found), dtype=np.int64, count=len(found))
-                    least = np.full(seeds, PRIME, dtype=np.int64)
-                    for piece in range(0, len(h), 1024):
-                        x = a * h[None, piece : piece + 1024] + b
-                        _fold(x, np.empty_like(x))
-                        np.minimum(least, x.min(axis=1), out=least)
+                    h = np.fromiter((known[t] for t in found), dtype=np.uint64, count=len(found))
+                    least = np.full(seeds, PRIME, dtype=np.uint64)
+                    for piece in range(0, len(h), 256):
+                        np.minimum(least, _least(a, b, h[piece : piece + 256], x, y), out=least)
                     out.append(least)
-                sig = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * seeds, pa.array(np.concatenate(out)))
+                sig = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * seeds, pa.array(np.concatenate(out).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), sig], ["id", "sig"])
 
     kind = dict(df.dtypes)[id_col]

@@ -7,18 +7,20 @@ one kept row. Ties go to the smaller id. Null ids or sequences are refused; so a
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, replace
 from typing import Any, ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import alignment as A
 from ..functions import neighbours as N
 from ..functions import ordering as O
 from ..functions import sequences as S
 from ..functions import vectors as V
 from ..roles import Columns
-from ..storage import materialize
+from ..storage import materialize, spread
 from .greedy import kept_in_buckets, removed_rows, with_least
 
 #: Parameters that place work on one machine; they are accepted for compatibility and warned about.
@@ -457,10 +459,13 @@ class StructuralDistance(Reducer):
 class Homology(_Tokens):
     """Sequence clusters: given as (representative, member) rows, or found by k-mer centres and alignment.
 
-    Without given clusters, each sequence's `centres` smallest k-mer hashes name groups, a group's longest sequence is
-    its centre (Linclust; Steinegger & Söding, 2018), and pairs with a centre are aligned locally, with gaps. A pair links
-    if the share of identical columns reaches min_seq_id and the aligned columns cover enough: of both sequences (cov_mode
-    0), of the member (1) or of the centre (2). Results need not equal the external tool's. Rows that no cluster names are kept.
+    Without given clusters, each sequence's `centres` smallest k-mer hashes name groups, and a group's longest sequence is
+    its centre (Linclust; Steinegger & Söding, 2018). Shared k-mers carry their places: a pair with a centre is looked at on
+    the diagonal with most of them. Pairs whose lengths alone rule out the limits go. If the best ungapped run on the diagonal
+    meets them, the pair links; else, unless that run scores below min_ungapped, its best local alignment with affine gaps
+    decides. The limits: identical columns are min_seq_id of all columns, and columns cover `coverage` of both sequences
+    (cov_mode 0), of the member (1) or of the centre (2). Results need not equal the external tool's. Rows that no cluster
+    names are kept.
     """
 
     clusters: DataFrame | None = None
@@ -469,6 +474,7 @@ class Homology(_Tokens):
     cov_mode: int = 0
     k: int = 5
     centres: int = 20
+    min_ungapped: int = 0
     representative_col: str = "representative"
     member_col: str = "member"
     # accepted for compatibility: the plan, not a parameter, decides how work is spread
@@ -496,57 +502,67 @@ class Homology(_Tokens):
             reps = ids.withColumnRenamed("removed", "representative")
             return given.join(ids, "removed", "left_semi").join(reps, "representative", "left_semi").withColumn("score", F.lit(None).cast("double"))
         rows, first = self.classes(df, cols)
-        cut = S.kmers(first, self.k, "cls", "sequence").select("id", "kmer")
-        lead = cut.groupBy("id").agg(F.sort_array(F.collect_list("kmer")).alias("s")).select("id", F.explode(F.slice("s", 1, self.centres)).alias("kmer"))
-        sized = lead.join(first.select(F.col("cls").alias("id"), F.char_length("sequence").alias("len")), "id")
-        centre = sized.groupBy("kmer").agg(F.min(F.struct((-F.col("len")).alias("o"), F.col("id"))).alias("m")).select("kmer", F.col("m.id").alias("centre"))
-        met = sized.join(centre, "kmer").where("id <> centre").select(F.least("id", "centre").alias("p"), F.greatest("id", "centre").alias("c"), F.col("centre")).distinct()
-        a, b = (first.select(F.col("cls").alias(x), F.col("sequence").alias(f"s_{x}")) for x in "pc")
-        both = met.join(a, "p").join(b, "c")
-        need, cover, mode = self.min_seq_id, self.coverage, self.cov_mode
-
-        @F.pandas_udf("boolean")
-        def linked(p, c, p_is_centre):
-            import pandas as pd
-
-            return pd.Series([_aligned(x, y, need, cover, mode, z) for x, y, z in zip(p, c, p_is_centre)])
-
-        links = both.where(linked("s_p", "s_c", F.col("p") == F.col("centre"))).select("p", "c").distinct()
+        links = self.aligned(self.seeds(first).drop("hits"), first)
         out = self.finish(rows, links.select("p", "c", F.lit(0.5).alias("score"), F.lit(0).alias("shared")), F.lit(1), "shared")
         return out.withColumn("score", F.lit(None).cast("double"))
 
-
-#: Scores of a local alignment.
-MATCH, MISMATCH, GAP = 1, -1, -2
-
-
-def align(a: str, b: str) -> tuple[int, int]:
-    """(identical columns, all columns) of the best local alignment (Smith & Waterman, 1981) with linear gap costs.
-
-    A cell holds score and identical columns in one number, the score leading; a row is filled at once, its gaps along the
-    row by a running maximum. Mismatches cost 1 and gaps 2, so a gap counts as two columns.
-    """
-    import numpy as np
-
-    one = 1 << 24
-    y, slope = np.array([ord(ch) for ch in b], dtype=np.int64), -GAP * one * np.arange(len(b) + 1, dtype=np.int64)
-    row, best = np.zeros(len(b) + 1, dtype=np.int64), 0
-    for ch in a:
-        step = np.where(y == ord(ch), MATCH * one + 1, MISMATCH * one)
-        new = np.maximum(row + GAP * one, 0)
-        new[1:] = np.maximum(new[1:], row[:-1] + step)
-        row = np.maximum(np.maximum.accumulate(new + slope) - slope, 0)
-        best = max(best, int(row.max()))
-    score, same = (best + one // 2) // one, (best + one // 2) % one - one // 2
-    return same, 2 * same - score
-
-
-def _aligned(a: str, b: str, identity: float, coverage: float, mode: int, a_is_centre: bool) -> bool:
-    """Whether the alignment of two sequences meets identity and coverage."""
-    same, columns = align(a, b)
-    centre, member = (a, b) if a_is_centre else (b, a)
-    over = {0: (a, b), 1: (member,), 2: (centre,)}[mode]
-    return columns > 0 and same >= identity * columns and all(min(columns, len(x)) >= coverage * len(x) for x in over)
+    def seeds(self, first: DataFrame) -> DataFrame:
+        """(p, c, centre, diagonal, hits) for (cls, sequence): pairs of a sequence and a centre, the diagonal (place in c minus
+        place in p) that most of their shared k-mers lie on, ties to the least, and their number."""
+        lead = S.least_kmers(first, self.k, "cls", "sequence", self.centres)
+        of = F.min(F.struct((-F.col("len")).alias("o"), F.col("id"), F.col("at"))).alias("m")
+        centre = lead.groupBy("kmer").agg(of).select("kmer", F.col("m.id").alias("centre"), F.col("m.at").alias("there"))
+        met = lead.join(centre, "kmer").where("id <> centre")
+        lower, step = F.col("id") < F.col("centre"), F.col("there") - F.col("at")
+        met = met.select(F.least("id", "centre").alias("p"), F.greatest("id", "centre").alias("c"), "centre", F.when(lower, step).otherwise(-step).alias("diagonal"))
+        hits = met.groupBy("p", "c", "centre", "diagonal").agg(F.count("*").alias("hits"))
+        best = F.min(F.struct((-F.col("hits")).alias("o"), F.col("diagonal"))).alias("b")
+        return hits.groupBy("p", "c", "centre").agg(best).select("p", "c", "centre", F.col("b.diagonal").alias("diagonal"), (-F.col("b.o")).alias("hits"))
+
+    def aligned(self, seeds: DataFrame, first: DataFrame) -> DataFrame:
+        """(p, c) of the seeds whose sequences link."""
+        a, b = (first.select(F.col("cls").alias(x), F.char_length("sequence").alias(f"l_{x}")) for x in "pc")
+        sized = seeds.join(a, "p").join(b, "c")
+        longer, shorter = F.greatest("l_p", "l_c"), F.least("l_p", "l_c")
+        if self.cov_mode == 0:  # identical columns are as many as the shorter sequence has letters, at most
+            sized = sized.where(shorter >= self.min_seq_id * self.coverage * longer - 1e-9)
+        if sized.where(longer >= A.LONGEST).limit(1).count():
+            raise ValueError(f"sequences of {A.LONGEST} letters or more can't be aligned")
+        a, b = (first.select(F.col("cls").alias(x), F.col("sequence").alias(f"s_{x}")) for x in "pc")
+        both = sized.join(a, "p").join(b, "c").select("p", "c", (F.col("p") == F.col("centre")).alias("lead"), "s_p", "s_c", "diagonal")
+        need, cover, mode, floor = self.min_seq_id, self.coverage, self.cov_mode, self.min_ungapped
+
+        def meets(packed, chunk):
+            """Whether alignments meet the limits."""
+            import numpy as np
+
+            _, same, columns = A.unpack(packed)
+            la, lb, lead = (np.array([f(r) for r in chunk]) for f in (lambda r: len(r[1]), lambda r: len(r[2]), lambda r: r[3]))
+            centre, member = np.where(lead, la, lb), np.where(lead, lb, la)
+            ok = (columns > 0) & (same >= need * columns - 1e-9)
+            for length in {0: (la, lb), 1: (member,), 2: (centre,)}[mode]:
+                ok &= np.minimum(columns, length) >= cover * length - 1e-9
+            return ok
+
+        def run(batches) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                rows, linked, rest = [(k, *r) for k, r in enumerate(zip(*(batch.column(x).to_pylist() for x in ("s_p", "s_c", "lead", "diagonal"))))], [], []
+                for chunk in A.chunks(rows):
+                    x, y = A.codes([r[1] for r in chunk], -1), A.codes([r[2] for r in chunk], -2)
+                    packed = A.ungapped(x, y, np.array([r[4] for r in chunk], dtype=np.int64))
+                    ok, scores = meets(packed, chunk), A.unpack(packed)[0]
+                    linked += [r[0] for r, good in zip(chunk, ok) if good]
+                    rest += [r for r, good, score in zip(chunk, ok, scores) if not good and score >= floor]
+                for chunk in A.chunks(rest):
+                    ok = meets(A.gapped(A.codes([r[1] for r in chunk], -1), A.codes([r[2] for r in chunk], -2)), chunk)
+                    linked += [r[0] for r, good in zip(chunk, ok) if good]
+                yield pa.RecordBatch.from_arrays([batch.column(x).take(pa.array(sorted(linked), pa.int64())) for x in ("p", "c")], ["p", "c"])
+
+        kind = dict(both.dtypes)["p"]
+        return spread(both).mapInArrow(run, f"p {kind}, c {kind}").distinct()
 
 
 STRATEGIES: dict[str, type[Reducer]] = {c.name: c for c in (Exact, KmerJaccard, MinhashJaccard, IdentityGreedy, EmbeddingCosine, DescriptorEuclidean, StructuralDistance, Homology)}

@@ -42,9 +42,10 @@ class SplitResult:
     test = property(lambda self: self.part("test"))
     val = property(lambda self: self.part("val"))
 
-    def stats(self) -> dict[str, Any]:
-        """Counts of each part, of labels and groups in parts, of groups that two parts share, and the strategy's own figures."""
-        n = {r.split: r["count"] for r in self.assigned.groupBy("split").count().collect()}
+    def stats(self, sizes: dict[str, int] | None = None) -> dict[str, Any]:
+        """Counts of each part (sizes, where they are known), of labels and groups in parts, of groups that two parts share, and
+        the strategy's own figures."""
+        n = sizes or {r.split: r["count"] for r in self.assigned.groupBy("split").count().collect()}
         out: dict[str, Any] = {"n_total": sum(n.values())} | {f"n_{s}": n.get(s, 0) for s in ("train", "val", "test")} | self.extra
         for c in self.labels:
             out[f"{c}_counts"] = {}
@@ -101,6 +102,20 @@ class FoldResult:
         out = rest.unionByName(self.assigned.where(is_test).withColumn("split", F.lit("test"))).drop("fold")
         return SplitResult(out, self.strategy, self.params, self.labels, self.groups, {"fold_index": i} | self.extra, self.more)
 
+    def expanded(self) -> DataFrame:
+        """All folds as one table: each row once for each fold_index, with the column split that fold(fold_index) gives it. All
+        folds' validation rows come from one ranking."""
+        held = {r.fold: r["count"] for r in self.assigned.groupBy("fold").count().collect()}  # a row for each fold
+        total = sum(held.values())
+        rows = self.assigned.withColumn("fold_index", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))))
+        is_test = F.coalesce(F.col("fold") == F.col("fold_index"), F.lit(False))
+        if not self.val_size:
+            return rows.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("fold")
+        n_val = F.array(*[F.lit(math.ceil((total - held.get(i, 0)) * self.val_size)) for i in range(self.k)])
+        rest = O.shuffle_rank(rows.where(~is_test), F.lit(self.seed) + F.col("fold_index"), self.id_col, ("fold_index",), "__r")
+        rest = rest.withColumn("split", F.when(F.col("__r") <= F.get(n_val, F.col("fold_index")), "val").otherwise("train")).drop("__r")
+        return rest.unionByName(rows.where(is_test).withColumn("split", F.lit("test"))).drop("fold")
+
     def folds(self) -> list[SplitResult]:
         return [self.fold(i) for i in range(self.k)]
 
@@ -347,13 +362,15 @@ class _Numeric(Splitter):
         numbers = list(range(self.n_bins, 1, -1)) if self.auto_reduce_bins else [self.n_bins]
         found = binnings(df, value, numbers, self.binning)
         unique = [sorted(set(raw)) for raw in found]
-        # the rows of every bin of every binning, in one scan
-        held = [F.count_if(bin_of(value, e) == b).alias(f"{n}_{b}") for n, e in zip(numbers, unique) for b in range(len(e) - 1)]
-        sizes = df.agg(*held).first().asDict() if held else {}
-        for n, raw, edges in zip(numbers, found, unique):
+        # the rows up to each inner edge of any binning, in one scan: bins hold the differences
+        inner = sorted({e for edges in unique for e in edges[1:-1]})
+        total, *upto = df.agg(F.count("*"), *[F.count_if(value <= F.lit(e)) for e in inner]).first()
+        below = dict(zip(inner, upto))
+        for raw, edges in zip(found, unique):
             if len(edges) < len(raw) and self.duplicates == "raise":
                 raise ValueError("bin edges coincide")
-            full = [m for b in range(len(edges) - 1) if (m := sizes[f"{n}_{b}"])]
+            cuts = [0, *[below[e] for e in edges[1:-1]], total]
+            full = [b - a for a, b in zip(cuts, cuts[1:]) if b > a]
             if len(edges) >= 3 and len(full) >= 2 and min(full) >= least:
                 return edges
         raise ValueError(f"no binning gives every bin {least} rows")

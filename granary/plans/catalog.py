@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alignment as A
 from ..functions import neighbours as N
 from ..functions import sequences as S
 from ..functions import vectors as V
+from ..operators import hybrids as H
 from ..operators import reducers as R
 from ..operators import splitters as P
 from ..roles import Columns
@@ -277,6 +279,50 @@ def reduce_homology(spark, sf_dir):
     return _kept(R.Homology(min_seq_id=0.6, coverage=0.6).run(_read(spark, sf_dir, "part"), PARTS), "p_partkey")
 
 
+HOMOLOGY = """
+seqs as materialized (select p_name as sequence, min(p_partkey) as id, length(p_name) as len from part group by p_name),
+kms as materialized (
+  select id, len, ('0x' || substr(md5(substr(sequence, i::int, 5)), 1, 15))::bigint as kmer, min(i) - 1 as pos_
+  from seqs, range(1, greatest(len - 4, 1) + 1) r(i) group by all),
+lead as materialized (select * from (select *, row_number() over (partition by id order by kmer, pos_) as nth from kms) where nth <= 20),
+centre as (select kmer, id as centre, pos_ as there from (select *, row_number() over (partition by kmer order by len desc, id) as best from lead) where best = 1),
+met as (
+  select least(l.id, c.centre) as p, greatest(l.id, c.centre) as c, c.centre, case when l.id < c.centre then c.there - l.pos_ else l.pos_ - c.there end as diagonal
+  from lead l join centre c using (kmer) where l.id <> c.centre),
+seeds as materialized (
+  select p, c, centre, diagonal, hits from (
+    select *, row_number() over (partition by p, c, centre order by hits desc, diagonal) as nth
+    from (select p, c, centre, diagonal, count(*) as hits from met group by all)) where nth = 1)
+"""
+
+
+@query(f"""with {HOMOLOGY},
+cols as (
+  select s.p, s.c, s.centre, s.diagonal, s.hits, i, case when substr(x.sequence, i::int, 1) = substr(y.sequence, (i + s.diagonal)::int, 1) then 1 else -1 end as m
+  from seeds s join seqs x on x.id = s.p join seqs y on y.id = s.c, range(1, 200) r(i)
+  where i <= x.len and i + s.diagonal between 1 and y.len),
+sums as (select *, sum(m) over (partition by p, c, centre order by i) as upto from cols),
+runs as (select *, upto - least(0, coalesce(min(upto) over (partition by p, c, centre order by i rows between unbounded preceding and 1 preceding), 0)) as score from sums)
+select p, c, centre, diagonal::bigint as diagonal, hits, max(score)::bigint as score from runs group by all""")
+def homology_seeds(spark, sf_dir):
+    """Pairs with a centre, their best diagonals, and the scores of the best ungapped runs there."""
+    names = _read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("sequence")).agg(F.min("p_partkey").alias("cls"))
+    seeds = R.Homology().seeds(names)
+    x, y = (names.select(F.col("cls").alias(c), F.col("sequence").alias(f"s_{c}")) for c in "pc")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            packed = A.ungapped(A.codes(b.column(5).to_pylist(), -1), A.codes(b.column(6).to_pylist(), -2), b.column(3).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(3).cast(pa.int64()), b.column(4), pa.array(A.unpack(packed)[0])], ["p", "c", "centre", "diagonal", "hits", "score"])
+
+    both = seeds.join(x, "p").join(y, "c").select("p", "c", "centre", "diagonal", "hits", "s_p", "s_c")
+    kind = dict(both.dtypes)["p"]
+    return both.mapInArrow(run, f"p {kind}, c {kind}, centre {kind}, diagonal long, hits long, score long")
+
+
 @query("""
 select d.doc_id as id, 'mmseqs2:' || d.doc_id as cluster_id from documents d
 where d.doc_id = (select min(x.doc_id) from documents x where x.text = d.text)""")
@@ -556,3 +602,107 @@ def split_distance_sampled(spark, sf_dir):
     """Validation rows are a seeded sample of what is left."""
     df, how = _distance(spark, sf_dir)
     return _assigned(P.DistanceAware(val_size=0.1, **how).run(df, VECS), F.col("vec_id").alias("id"), "split")
+
+
+# ---- hybrids --------------------------------------------------------------------------------------------------------
+
+
+NEAR = COSINE.replace(">= 0.3)", ">= 0.38)")
+
+
+@query(f"""
+with recursive {NEAR},
+linked as materialized (select p as x, c as y from edges union all select c, p from edges),
+reach as (select id, id as root from nodes union select l.y as id, r.root from reach r join linked l on l.x = r.id),
+units as materialized (select id, min(root) as unit from reach group by id),
+laid as (select unit, n, sum(n) over (order by md5('13:' || unit), unit) - n as before, sum(n) over () as total from (select unit, count(*) as n from units group by unit)),
+cut as (select unit, 2 * before + n as middle, total, round_even(total * 0.2::double, 0) as nt, round_even(total * 0.1::double, 0) as nv from laid)
+select u.id, u.unit as component, case when middle <= 2 * (total - nt - nv) then 'train' when middle <= 2 * (total - nt) then 'val' else 'test' end as split
+from units u join cut using (unit)""")
+def split_structure_aware(spark, sf_dir):
+    """No pair of vectors above the similarity lies in two parts."""
+    e = _read(spark, sf_dir, "embeddings")
+    edges = N.close_pairs(e.select("vec_id", V.unit(F.col("embedding").cast("array<double>")).alias("v")), "vec_id", "v", 0.38, "cosine")
+    how = dict(edges=edges, id1_col="a", id2_col="b", value_col="score", mode="similarity", threshold=0.38)
+    got = H.StructureAware(val_size=0.1, **how).run(e.select("vec_id", "label"), VECS)
+    return _assigned(got, F.col("vec_id").alias("id"), F.col(got.groups[0]).alias("component"), "split")
+
+
+@query("""
+with recursive labels as materialized (select l, row_number() over (order by l) as i from (select distinct event_type as l from events)),
+held as materialized (
+  select g, list(n order by i) as v from (
+    select u.g, l.i, count(e.event_id) as n from (select distinct user_id::varchar as g from events) u cross join labels l
+    left join events e on e.user_id::varchar = u.g and e.event_type = l.l group by all) group by g),
+kinds as materialized (
+  select v, m, row_number() over (order by list_max(v) desc, list_sum(v) desc, v) as kind from (select v, count(*) as m from held group by v)),
+total as materialized (select list(t order by i) as t from (select i, sum(n)::bigint as t from (select unnest(v) * m as n, unnest(range(len(v))) as i from kinds) group by i)),
+weight as materialized (select list_transform(t, lambda x: (1000000000000 // (greatest(1, x) * greatest(1, x)))::hugeint) as w from total),
+singles as materialized (select kind, v, j, w, row_number() over (order by kind, j) as nth from kinds, weight, range(4) r(j) where j < m % 5),
+steps as (
+  select 0::bigint as nth, -1::bigint as fold, list_transform(range(5), lambda f: list_transform(w, lambda x: 0::hugeint)) as loads from weight
+  union all
+  select nth, fold, list_transform(loads, lambda l, f: case when f - 1 = fold then list_transform(l, lambda x, i: x + v[i]) else l end)
+  from (
+    select s.nth, s.v, p.loads,
+           list_position(costs, list_min(costs)) - 1 as fold
+    from (select *, list_transform(loads, lambda l: list_sum(list_transform(l, lambda x, i: x * nv[i] * nw[i]))) as costs
+          from (select p.*, s.v as nv, s.w as nw from steps p join singles s on s.nth = p.nth + 1)) p
+    join singles s on s.nth = p.nth + 1)),
+placed as (select s.kind, s.j, t.fold from singles s join steps t on t.nth = s.nth),
+ranked as (
+  select h.g, k.kind, k.m, row_number() over (partition by k.kind order by md5('13:' || h.g), h.g) as r from held h join kinds k on k.v = h.v),
+cut as (
+  select r.g, case when r <= m - m % 5 then (r - 1) % 5 else p.fold end as fold
+  from ranked r left join placed p on p.kind = r.kind and p.j = r.r - (m - m % 5) - 1)
+select e.event_id as id, c.fold::int as fold from events e join cut c on c.g = e.user_id::varchar""")
+def stratified_group_kfold(spark, sf_dir):
+    got = H.StratifiedGroupKFold(group_col="user_id", label_col="event_type").run(_read(spark, sf_dir, "events"), EVENTS)
+    return _assigned(got, F.col("event_id").alias("id"), "fold")
+
+
+NESTED = """
+outer_ as materialized (select u, (ntile(5) over (order by md5('13:' || u), u) - 1)::int as fold from (select distinct {unit}::varchar as u from {table})),
+inner_ as (
+  select o.u, j, case when o.fold <> j then (ntile(3) over (partition by j, o.fold <> j order by md5('14:' || o.u), o.u) - 1)::int end as pos_
+  from outer_ o, range(5) r(j)),
+cut as (select u, list(pos_ order by j) as ats from inner_ group by u)
+select t.{id} as id, o.fold, array_to_string(list_transform(c.ats, lambda x: coalesce(x::varchar, '-')), ',') as inner_folds
+from {table} t join outer_ o on o.u = t.{unit}::varchar join cut c on c.u = o.u
+"""
+
+
+def _nested(got, ident):
+    text = F.array_join(F.transform("inner", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    return _assigned(got, F.col(ident).alias("id"), "fold", text.alias("inner_folds"))
+
+
+@query("with " + NESTED.format(unit="o_orderkey", id="o_orderkey", table="orders"))
+def nested_kfold(spark, sf_dir):
+    return _nested(H.NestedKFold().run(_read(spark, sf_dir, "orders"), ORDERS), "o_orderkey")
+
+
+@query("with " + NESTED.format(unit="user_id", id="event_id", table="events"))
+def nested_group_kfold(spark, sf_dir):
+    return _nested(H.NestedKFold(group_col="user_id").run(_read(spark, sf_dir, "events"), EVENTS), "event_id")
+
+
+@query("""
+with """ + NESTED.format(unit="event_id", id="event_id", table="events").rsplit("select t.", 1)[0] + """,
+rows_ as (select e.user_id as g, o.fold, j, i.pos_ from events e join outer_ o on o.u = e.event_id::varchar join inner_ i on i.u = o.u)
+select j::int as "outer", count_if(inside > 0 and inside < n)::bigint as outer_leaks, count_if(folds > 1)::bigint as inner_leaks
+from (select j, g, count_if(fold = j) as inside, count(*) as n, count(distinct pos_) as folds from rows_ group by all) group by j""")
+def nested_leaks(spark, sf_dir):
+    """Rows folded on their own, so that users leak: how many, on each level."""
+    return H.NestedKFold().run(_read(spark, sf_dir, "events"), EVENTS).leaks("user_id")
+
+
+@query("""
+with r as (select event_id, user_id, row_number() over (order by md5('13:' || event_id), event_id) as rn, count(*) over () as n from events),
+c as (select *, round_even(n * 0.2::double, 0) as nt, round_even(n * 0.1::double, 0) as nv from r),
+s as (select user_id, case when rn <= n - nt - nv then 'train' when rn <= n - nt then 'val' else 'test' end as split from c),
+g as (select user_id, bool_or(split = 'train') as a, bool_or(split = 'val') as b, bool_or(split = 'test') as c from s group by user_id)
+select count_if(a and c)::bigint as train_test, count_if(a and b)::bigint as train_val, count_if(b and c)::bigint as val_test from g""")
+def leak_check_random(spark, sf_dir):
+    """A split by rows, whose parts do share users."""
+    return P.leaks(P.Random(val_size=0.1).run(_read(spark, sf_dir, "events"), EVENTS).assigned, "user_id")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import MISSING, fields
 from typing import Any
 
-from ..operators import reducers, splitters
+from ..operators import hybrids, reducers, splitters
 
-KINDS = {"reduce": reducers.STRATEGIES, "split": splitters.STRATEGIES}
+KINDS = {"reduce": reducers.STRATEGIES, "split": splitters.STRATEGIES | hybrids.STRATEGIES}
 
 
 def strategy(kind: str, name: str) -> type:

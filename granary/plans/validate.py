@@ -16,6 +16,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "stratified": ("label",), "stratified_kfold": ("label",), "group": ("group",), "group_kfold": ("group",), "time": ("date",),
     "stratified_numeric": ("numeric label",), "stratified_numeric_kfold": ("numeric label",), "cluster_aware": ("clusters",),
     "homology_aware": ("clusters or sequence",), "distance_aware": ("embeddings or descriptors",), "distance_aware_kfold": ("embeddings or descriptors",),
+    "structure_aware": ("edges",), "stratified_group_kfold": ("label", "group"),
 }
 
 
@@ -59,6 +60,10 @@ def validate(
         e = edges.select(F.col(edges.columns[0]).cast("string").alias("x"), F.col(edges.columns[1]).cast("string").alias("y"))
         inside = e.join(ids.withColumnRenamed("i", "x"), "x", "left_semi").join(ids.withColumnRenamed("i", "y"), "y", "left_semi").count()
         note("edges", None if inside else "no edge lies within the dataset", inside=inside)
+    if clusters is not None:
+        named = clusters.select(F.col(clusters.columns[0]).cast("string").alias("i"))
+        covered = ids.join(named.distinct(), "i", "left_semi").count()
+        note("clusters", None if covered else "no id is in a cluster", covered=covered, coverage=covered / row.n if row.n else 0.0)
     have = {"embeddings": embeddings is not None, "edges": edges is not None, "descriptors": bool(descriptors)}
     have |= {role: getattr(cols, role) in df.columns for role in ("sequence", "label", "group", "date")}
     if (strategy or "").startswith("stratified_numeric") and have["label"]:

@@ -130,28 +130,6 @@ def test_bad_rows(spark, peptides):
         runner.reduce(peptides, "nonsense")
 
 
-def test_alignment():
-    from granary.operators.reducers import _aligned, align
-
-    assert align("ACDEFGHIK", "ACDEFGHIK") == (9, 9)
-    assert align("ACDEFGHIKLMNPQ", "ACDEFGHLMNPQ") == (12, 16)  # two letters left out, each counted as two columns
-    assert align("WWWWWACDEFGHIK", "ACDEFGHIKYYYY") == (9, 9)
-    assert align("ACD", "WYV") == (0, 0)
-    long = "ACDEFGHIKL" * 30
-    assert align(long, long[:150] + "W" + long[151:])[0] >= 298
-    assert _aligned("ACDEFGHIK", "ACDEFGHIKYYYY", 0.9, 0.9, 2, True) and not _aligned("ACDEFGHIK", "ACDEFGHIKYYYY", 0.9, 0.9, 1, True)
-    assert not _aligned("ACDEFGHIK", "ACDEFGHIKYYYY", 0.9, 0.9, 0, True)
-
-
-def test_unrelated_long_sequences_do_not_link(spark):
-    """Two long random sequences share a long subsequence, but no alignment."""
-    from granary.operators.reducers import _aligned
-
-    rng = random.Random(3)
-    a, b = ("".join(rng.choice(LETTERS) for _ in range(600)) for _ in range(2))
-    assert not _aligned(a, b, 0.3, 0.5, 0, True)
-
-
 def test_caps_are_refused(peptides):
     import pytest
 
@@ -161,19 +139,3 @@ def test_caps_are_refused(peptides):
         runner.reduce(peptides, "kmer_jaccard", max_candidates=80)
     with pytest.warns(UserWarning):
         runner.reduce(peptides, "mmseqs2", min_seq_id=0.9, threads=8)
-
-
-def test_nearest(spark):
-    from granary.functions import vectors as V
-
-    rng = random.Random(2)
-    rows = [(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(300)]
-    keep, V.BLOCK = V.BLOCK, 64
-    try:
-        got = {(r.a, r["rank"]): r.b for r in V.nearest(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 4).collect()}
-    finally:
-        V.BLOCK = keep
-    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in rows}
-    for k, v in unit.items():
-        want = sorted(((-round(sum(x * y for x, y in zip(v, w)), 9), j) for j, w in unit.items() if j != k))[:4]
-        assert [got[k, i + 1] for i in range(4)] == [j for _, j in want]
