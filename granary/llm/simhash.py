@@ -241,7 +241,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # without a shared one with probability MISS: sixty at 10^5 rows, growing as the rows' power 0.24. Pairs that share a key
 # are held to the pigeonring budgets and the Hamming check on CHECK_BITS bits. What is left meets the full Hamming check:
 # SURE or fewer differing bits link, more than LOOSE don't, and pairs between have their shingles compared. Copies link to
-# each other through many keys and through each other.
+# each other through many keys and through each other. Where candidate links hold rows together that confirmed links don't,
+# the rows of that family meet in blocks.
 
 SIMILARITY, MISS = 0.8, 0.03
 WIDE_BITS, LEAST_BITS, CHECK_BITS = 2048, 18, 256
@@ -494,13 +495,15 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
 
-def _confirmed(links: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The links (a, b) that the full Hamming check or the shingles themselves confirm. texts: row, text. Joins are merges at
-    every size, so that plans don't turn with the input."""
-    sides = lambda pairs, of, c: pairs.join(of.select(F.col("node").alias("a"), F.col(c).alias(f"{c}_a")).hint("merge"), "a").join(of.select(F.col("node").alias("b"), F.col(c).alias(f"{c}_b")).hint("merge"), "b")
-    far = materialize(sides(links, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_distances, "a long, b long, d long"), "wide-distances")
-    sure, unsure = far.where(F.col("d") <= SURE).select("a", "b"), far.where(F.col("d") > SURE).select("a", "b")
-    nodes = unsure.select(F.col("a").alias("row")).unionByName(unsure.select(F.col("b").alias("row"))).distinct()
+def _sides(pairs: DataFrame, of: DataFrame, c: str) -> DataFrame:
+    """pairs (a, b) with c_a and c_b, the column c of both nodes. Joins are merges at every size, so that plans don't turn with
+    the input."""
+    side = lambda n: of.select(F.col("node").alias(n), F.col(c).alias(f"{c}_{n}")).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _shingle_sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, set) of the texts (row, text) that nodes (row) names."""
 
     def sets(batches):
         import pyarrow as pa
@@ -510,9 +513,79 @@ def _confirmed(links: DataFrame, classes: DataFrame, texts: DataFrame, words: in
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([_shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["node", "set"])
 
-    held = materialize(texts.join(nodes.hint("merge"), "row", "left_semi").mapInArrow(sets, "node long, set binary"), "wide-shingles")
-    alike = sides(unsure, held, "set").select("a", "b", "set_a", "set_b").mapInArrow(_alike, "a long, b long")
-    return sure.unionByName(materialize(alike, "wide-alike"))
+    return materialize(texts.join(nodes.hint("merge"), "row", "left_semi").mapInArrow(sets, "node long, set binary"), "wide-shingles")
+
+
+def _confirmed(links: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, ok): whether the full Hamming check or the shingles themselves confirm a link (a, b). texts: row, text."""
+    far = materialize(_sides(links, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(_distances, "a long, b long, d long"), "wide-distances")
+    unsure = far.where(F.col("d") > SURE).select("a", "b")
+    nodes = unsure.select(F.col("a").alias("row")).unionByName(unsure.select(F.col("b").alias("row"))).distinct()
+    alike = _sides(unsure, _shingle_sets(texts, nodes, words), "set").select("a", "b", "set_a", "set_b").mapInArrow(_alike, "a long, b long")
+    good = materialize(far.where(F.col("d") <= SURE).select("a", "b").unionByName(alike), "wide-alike").withColumn("ok", F.lit(True))
+    return materialize(links.join(good.hint("merge"), ["a", "b"], "left").select("a", "b", F.coalesce("ok", F.lit(False)).alias("ok")), "wide-confirmed")
+
+
+#: Rows, and bytes of shingles, of a block of a family whose rows meet those of other blocks.
+FAMILY_ROWS, FAMILY_BYTES = 1024, 16 << 20
+
+
+def _family_meet(table):
+    """The alike pairs of two blocks (or of one) that aren't joined yet, each joined as it is found. Pairs beyond LOOSE on all
+    bits aren't looked at further."""
+    import pyarrow as pa
+
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    block, node, root = (table.column(c).to_numpy().copy() for c in ("block", "node", "root"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
+    sets = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+    first, second, found = np.flatnonzero(block == i), np.flatnonzero(block == j), []
+    for x in first:
+        apart = second[root[second] != root[x]]
+        if not len(apart):
+            continue
+        d = np.bitwise_count(sig[apart] ^ sig[x]).sum(axis=1, dtype=np.int64)
+        for y, bits in zip(apart[d <= LOOSE], d[d <= LOOSE]):
+            if root[y] == root[x]:
+                continue
+            if bits > SURE:
+                same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if same < SIMILARITY * (len(sets[x]) + len(sets[y]) - same) - 1e-9:
+                    continue
+            found.append((node[x], node[y]))
+            root[root == root[y]] = root[x]
+    return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _family_links(told: DataFrame, joined: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame | None:
+    """More links (a, b), within families that candidate links (told: a, b, ok) hold together but confirmed ones (joined: node,
+    root) don't. None if there are no such families.
+
+    The search for candidates joins what is near step by step, so two alike rows may both hang on a third that is alike to
+    neither. Here the rows of such a family meet each other, in blocks of FAMILY_ROWS rows and FAMILY_BYTES at most, but for
+    those joined already.
+    """
+    piece = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    failed = told.where("not ok").join(piece("a"), "a", "left").join(piece("b"), "b", "left")
+    failed = failed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    family = materialize(components(told.select("a", "b")), "families")
+    torn = failed.select(F.col("a").alias("node")).distinct().join(family, "node").select("root").distinct()
+    rows = family.withColumnRenamed("root", "family").join(torn.withColumnRenamed("root", "family"), "family", "left_semi")
+    rows = materialize(rows.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "family-rows")
+    if rows.isEmpty():
+        return None
+    sets = _shingle_sets(texts, rows.select(F.col("node").alias("row")), words)
+    sized = rows.join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
+    ahead = Window.partitionBy("family").orderBy("root", "node").rowsBetween(Window.unboundedPreceding, -1)
+    cost = F.greatest(F.lit(1.0 / FAMILY_ROWS), F.col("bytes") / F.lit(float(FAMILY_BYTES)))
+    blocks = materialize(sized.withColumn("block", F.floor(F.coalesce(F.sum(cost).over(ahead), F.lit(0.0)) + 1e-9)).drop("bytes"), "family-blocks")
+    spans = materialize(blocks.groupBy("family", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")), "family-spans")
+    other = spans.select("family", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    pairs = spans.withColumnRenamed("block", "i").join(other, "family").where("i <= j and least(low, low_j) < greatest(high, high_j)")
+    sides = pairs.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    full = blocks.join(sides, ["family", "block"]).join(classes.select("node", "sig").hint("merge"), "node").join(sets.hint("merge"), "node")
+    met = full.select("family", "i", "j", "block", "node", "root", "sig", "set").groupBy("family", "i", "j").applyInArrow(_family_meet, "a long, b long")
+    return materialize(met, "family-links")
 
 
 def similar(df: DataFrame, row_col: str, text_col: str = "text", words: int = 5) -> DataFrame:
@@ -532,7 +605,11 @@ def similar(df: DataFrame, row_col: str, text_col: str = "text", words: int = 5)
     prints = materialize(light.mapInArrow(run, "row long, sig binary"), "wide-fingerprints")
     classes = materialize(prints.groupBy("sig").agg(F.min("row").alias("node"), F.count("*").alias("n")), "wide-classes")
     keyed = classes.select("sig", "node").mapInArrow(_wide_keys(slices(classes.count())), "key long, node long, w0 long, w1 long, w2 long, w3 long")
-    near = components(_confirmed(wide_links(keyed), classes, light, words))
+    told = _confirmed(wide_links(keyed), classes, light, words)
+    near = components(told.where("ok").select("a", "b"))
+    more = _family_links(told, near, classes, light, words)
+    if more is not None:
+        near = components(told.where("ok").select("a", "b").unionByName(more))
     # copies of one fingerprint share its class's component
     named = classes.join(near, "node", "left").select("sig", "n", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "node").alias("root"))
     return prints.join(named.where("n > 1 or linked").select("sig", "root"), "sig").select(F.col("row").alias("node"), "root")
