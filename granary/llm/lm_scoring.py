@@ -212,11 +212,62 @@ def _answers(batches):
     tidy()
 
 
-def _passed(c: np.ndarray, context: np.ndarray, mu: float, p: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What tokens add from states of that count: an arc's log-probability, or a failure arc's weight and what the shorter
-    state adds (low). And their probabilities. p: the shorter state's."""
-    q = (c + mu * p) / (context + mu)
-    return np.where(c > 0, np.log10(q), np.log10(mu / (context + mu)) + low), q
+class Automaton:
+    """The part of the model that a chunk's texts can reach: states, arcs and failure arcs, as arrays.
+
+    numbers: for each order the number of the n-gram that ends at each position (-1: none); counts: by number, in training.
+    States are the words and bigrams that training holds, and the root; a state has its n-gram's number. An arc has the
+    number of the n-gram that it completes, and is there if training holds that. It leads to the state of the last two
+    words, or of the last one, or the root, whichever is the longest that there is. A failure arc leads to the state of the
+    same words without the first.
+    """
+
+    def __init__(self, numbers: list[np.ndarray], counts: list[np.ndarray], total: int, types: int, mu: tuple[float, float]):
+        self.numbers, self.held = numbers, [c > 0 for c in counts]
+        p = (counts[0] + ADD) / (total + ADD * (types + 1))
+        self.arcs, self.fail = [np.log10(p)], []
+        for order in (1, 2):
+            here, before = numbers[order], numbers[order - 1]
+            at = np.full(len(counts[order]), -1, dtype=np.int64)  # a position of each n-gram
+            where = np.flatnonzero(here >= 0)
+            at[here[where]] = where
+            context, m = counts[order - 1][before[at - 1]], mu[order - 1]
+            p = (counts[order] + m * p[before[at]]) / (context + m)
+            self.arcs.append(np.log10(p))
+            self.fail.append(np.log10(m / (counts[order - 1] + m)))
+
+    def walk(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log-probability of each text, from the end before it on, all texts a word further at a time. sizes: positions of a
+        text, that end included. The state is carried: how many words it has, and its numbers as a word and as a bigram."""
+        score, order = np.zeros(len(sizes)), np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        n1, n2, n3 = self.numbers
+        word = n1[starts]
+        pair, deep = np.full(len(sizes), -1), self.held[0][word].astype(np.int8)
+        live = len(sizes)
+        for step in range(1, int(sizes.max(initial=0))):
+            while live and sizes[live - 1] <= step:
+                live -= 1
+            at = starts[:live] + step
+            word, pair, deep = word[:live], pair[:live], deep[:live]
+            i, j = n1[at], n2[at]
+            gain = np.zeros(live)
+            two = np.flatnonzero(deep == 2)
+            k = n3[at[two]]
+            found = self.held[2][k]
+            gain[two[found]] = self.arcs[2][k[found]]
+            fell = two[~found]
+            gain[fell] = self.fail[1][pair[fell]]
+            one = np.concatenate([np.flatnonzero(deep == 1), fell])
+            found = self.held[1][j[one]]
+            gain[one[found]] += self.arcs[1][j[one[found]]]
+            fell = one[~found]
+            gain[fell] += self.fail[0][word[fell]]
+            root = np.concatenate([np.flatnonzero(deep == 0), fell])
+            gain[root] += self.arcs[0][i[root]]
+            score[order[:live]] += gain
+            word, pair, deep = i, j, np.where(self.held[1][j], 2, self.held[0][i]).astype(np.int8)
+        return score
 
 
 def _walks(plan: Plan, total: int, types: int, ids, mu: tuple[float, float]):
@@ -240,30 +291,26 @@ def _walks(plan: Plan, total: int, types: int, ids, mu: tuple[float, float]):
             return
         h, sizes = Hashes()(texts)
         del texts
-        counts = []
-        for order, key in zip(ORDERS, _grams(h, sizes, plan.bits)[0]):
+        counts, numbers = [], []
+        for order, key, at in zip(ORDERS, *_grams(h, sizes, plan.bits)):
             keys, where = np.unique(key, return_inverse=True)
             got = [_counts_of(raw, n) for _, data in sorted(answers.pop(order)) for n, raw in [_unpack(data)]]
             got = np.concatenate([np.zeros(0, np.int64), *got])
             if len(got) != len(keys):
                 raise RuntimeError("a chunk of texts has changed between two reads")
-            counts.append(got[where].astype(np.float64))
-        at1, _, at3 = _grams(h, sizes, plan.bits)[1]
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        c1, c2, c3 = counts
-        # of each position: its word's count, and that of the two words that end there
-        word, pair, p2, low2 = (np.zeros(len(h)) for _ in range(4))
+            counts.append(got.astype(np.float64))
+            numbers.append(np.full(len(h), -1, dtype=np.int64))
+            numbers[-1][at] = where
         ends = np.cumsum(sizes) - 1
-        word[at1], pair[at1] = c1, c2
-        word[ends - sizes + 1] = word[ends]  # an end is the context of a text's first word
-        p1 = (c1 + ADD) / (total + ADD * (types + 1))
-        low1 = np.log10(p1)
-        low2[at1], p2[at1] = _passed(c2, word[at1 - 1], mu[0], p1, low1)
-        score = low2.copy()
-        score[at3], _ = _passed(c3, pair[at3 - 1], mu[1], p2[at3], low2[at3])
-        sums = lambda of, weight: np.bincount(of, weight, minlength=len(docs))
-        cols = [pa.array(docs, ids), pa.array(trains, pa.bool_()), pa.array(sizes - 1), pa.array(sums(text[at1], c1 > 0).astype(np.int64))]
-        cols += [pa.array(sums(text[at1], low1)), pa.array(sums(text, score))]
+        starts = ends - sizes + 1
+        numbers[0][starts] = numbers[0][ends]  # an end is the context of a text's first word
+        automaton = Automaton(numbers, counts, total, types, mu)
+        text, token = np.repeat(np.arange(len(sizes)), sizes), np.ones(len(h), dtype=bool)
+        token[starts] = False
+        text, word = text[token], numbers[0][token]
+        sums = lambda weight: np.bincount(text, weight, minlength=len(docs))
+        cols = [pa.array(docs, ids), pa.array(trains, pa.bool_()), pa.array(sizes - 1), pa.array(sums(automaton.held[0][word]).astype(np.int64))]
+        cols += [pa.array(sums(automaton.arcs[0][word])), pa.array(automaton.walk(starts, sizes))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
         tidy()
 

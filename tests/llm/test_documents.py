@@ -340,6 +340,43 @@ def test_recall_of_planted_pairs(spark, similarity, least):
     assert not any(found(a, b) for a, b, _ in below)
 
 
+@pytest.mark.parametrize("block", [1024, 100])
+def test_recall_in_a_family(spark, monkeypatch, block):
+    """800 texts of one template, mostly below 0.8 of each other: pairs from 0.8 on are found even where both resemble a third
+    text that isn't linked, and no component joins texts that alike pairs don't connect."""
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", block)
+    rng, n = random.Random(5), 220
+    base = [f"{rng.getrandbits(32):x}" for _ in range(n)]
+    texts = []
+    for k in range(800):
+        t = list(base)
+        for at in rng.sample(range(n), 4):
+            t[at] = f"{rng.getrandbits(32):x}"
+        if k % 10 == 9:  # a nearer copy of a text before it
+            t = list(texts[rng.randrange(k)])
+            for at in rng.sample(range(n), rng.randint(2, 4)):
+                t[at] = f"{rng.getrandbits(32):x}"
+        texts.append(t)
+    sets = [{tuple(t[k : k + 5]) for k in range(n - 4)} for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    every = {(a, b): alike(a, b) for a in range(800) for b in range(a + 1, 800)}
+    above = [p for p, s in every.items() if s >= 0.8]
+    near = {r.node: r.root for r in simhash.similar(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "row long, text string"), "row").collect()}
+    assert 0.55 < sorted(every.values())[len(every) // 2] < 0.75 and len(above) >= 60
+    assert sum(near.get(a, -a - 1) == near.get(b, -b - 1) for a, b in above) >= 0.95 * len(above)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for (a, b), s in every.items():
+        if s >= 0.77:  # the full Hamming check links without shingles only what is surely above
+            up[find(a)] = find(b)
+    assert all(find(a) == find(r) for a, r in near.items())
+
+
 def test_similar_texts(spark):
     """At a shingle similarity of 0.85 and more pairs are found, below 0.5 none."""
     rng = random.Random(8)
