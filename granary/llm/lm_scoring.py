@@ -2,9 +2,9 @@
 
 The model is a trigram model. Unigrams are add-0.1 estimates that leave room for one unknown word; a bigram's probability is
 (c(v w) + MU2 p(w)) / (c(v) + MU2), a trigram's (c(u v w) + MU3 p(w | v)) / (c(u v) + MU3), with counts over all training
-texts (Dirichlet smoothing, MacKay & Peto 1995). The last two words are the state. Each n-gram that training holds is an
-arc with its log-probability; without one, the failure arc leads to the shorter state and adds that state's weight,
-log10(MU / (c + MU)). One left-to-right traversal of a text carries the state and adds up what it passes. No n-gram is
+texts (Dirichlet smoothing, MacKay & Peto 1995) and MU2, MU3 fitted to them by leaving one out. The last two words are the
+state. Each n-gram that training holds is an arc with its log-probability; without one, the failure arc leads to the shorter
+state and adds that state's weight, log10(MU / (c + MU)). One left-to-right traversal of a text carries the state and adds up what it passes. No n-gram is
 left out, whatever its count, and what a state needs is its own count alone.
 
 All counts cover the whole corpus and stay distributed:
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fold, materialize, table
 from .tokens import tidy
 
-ADD, MU2, MU3 = 0.1, 1000.0, 50.0
+ADD = 0.1
 CHUNK, RANGE = 10_000_000, 5_000_000
 END = b"\n"  # no word holds white space
 SPARE_BITS, KNOWN = 22, 400_000
@@ -209,9 +209,31 @@ def _answers(batches):
             total[0], types[0] = int(sums.sum()), int((sums > 0).sum())
         cols = [pa.array([c for c, _ in got], pa.int32()), pa.array([order] * n, pa.int32()), pa.array([owner] * n, pa.int32()), pa.array(data, pa.binary()), pa.array(total, pa.int64()), pa.array(types, pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names)
+        # how counts are spread: for each number of binary digits, their sum and their number
+        digits = np.frexp(sums[sums > 0].astype(np.float64))[1]
+        there = np.unique(digits)
+        k = len(there)
+        cols = [pa.array(there, pa.int32()), pa.array([-order] * k, pa.int32()), pa.array([owner] * k, pa.int32()), pa.nulls(k, pa.binary())]
+        cols += [pa.array([int(sums[sums > 0][digits == d].sum()) for d in there], pa.int64()), pa.array([int((digits == d).sum()) for d in there], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names)
     tidy()
 
 
+def fitted(contexts: list[tuple[int, int]], singles: int) -> float:
+    """The weight of the shorter state at which training foresees its own singletons.
+
+    Leave one token out: it is then an unseen n-gram if it was its only instance, and its context of count c foresees that
+    with mu / (c - 1 + mu). The sum of that over all tokens rises with mu; it is made equal to the singletons. contexts:
+    (sum of counts, number) of contexts of about one count.
+    """
+    foreseen = lambda mu: sum(total * mu / (total / n - 1 + mu) for total, n in contexts)
+    low, high = 1e-3, 1e9
+    for _ in range(100):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if foreseen(middle) < singles else (low, middle)
+    return high
+
+
 class Automaton:
     """The part of the model that a chunk's texts can reach: states, arcs and failure arcs, as arrays.
 
@@ -318,13 +340,14 @@ def _walks(plan: Plan, total: int, types: int, ids, mu: tuple[float, float]):
 
 
 def score(
-    df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = (MU2, MU3),
+    df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] | None = None,
     chunk: int = CHUNK, span: int = RANGE,
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for each row of df.
 
-    train: which rows the model learns from. mu: weights of the shorter states, in tokens. chunk, span: characters of a chunk of texts and of a range's share, which bound
-    what a task holds; results do not depend on them.
+    train: which rows the model learns from. mu: weights of the shorter states, in tokens, fitted to the training rows unless
+    given. chunk, span: characters of a chunk of texts and of a range's share, which bound what a task holds; results do not
+    depend on them.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -334,10 +357,14 @@ def score(
     answers = asks.repartitionById(1 << plan.range_bits, "owner").mapInArrow(_answers, "chunk int, gram int, owner int, data binary, total long, types long")
     answers = materialize(answers, "lm-answers")
     zero = F.lit(0).cast("long")
-    total, types = answers.agg(F.coalesce(F.sum("total"), zero), F.coalesce(F.sum("types"), zero)).first()
+    total, types = answers.where("gram > 0").agg(F.coalesce(F.sum("total"), zero), F.coalesce(F.sum("types"), zero)).first()
+    if mu is None:  # at most 64 rows an order
+        held = answers.where("gram < 0").groupBy((-F.col("gram")).alias("gram"), "chunk").agg(F.sum("total").alias("total"), F.sum("types").alias("n")).collect()
+        of = lambda order: sorted((r.total, r.n) for r in held if r.gram == order)
+        mu = tuple(fitted(of(order), sum(r.n for r in held if r.gram == order + 1 and r.chunk == 1)) for order in (1, 2))
     none = lambda kind: F.lit(None).cast(kind)
     both = docs.select("chunk", F.lit(0).alias("gram"), F.lit(0).alias("owner"), none("binary").alias("data"), "doc", "train", "text").unionByName(
-        answers.select("chunk", "gram", "owner", "data", none(kind).alias("doc"), F.lit(False).alias("train"), none("string").alias("text"))
+        answers.where("gram > 0").select("chunk", "gram", "owner", "data", none(kind).alias("doc"), F.lit(False).alias("train"), none("string").alias("text"))
     )
     schema = f"doc_id {kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double"
     out = both.repartitionById(plan.chunks, "chunk").mapInArrow(_walks(plan, total, types, to_arrow_type(kind), mu), schema)

@@ -571,6 +571,9 @@ def split(text):
     return [*(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))), b"\n"]
 
 
+MU = (1000.0, 50.0)
+
+
 class Automaton:
     """The model as states (the last words), arcs and failure arcs, walked word by word."""
 
@@ -585,11 +588,11 @@ class Automaton:
         self.uni = lambda w: (self.n[0][w] + 0.1) / (self.total + 0.1 * (self.types + 1))
         self.fail, self.arcs = {}, {}
         for (v, w), c in self.n[1].items():
-            self.fail[v,] = math.log10(lm_scoring.MU2 / (self.n[0][v] + lm_scoring.MU2))
-            self.arcs[(v,), w] = math.log10((c + lm_scoring.MU2 * self.uni(w)) / (self.n[0][v] + lm_scoring.MU2))
+            self.fail[v,] = math.log10(MU[0] / (self.n[0][v] + MU[0]))
+            self.arcs[(v,), w] = math.log10((c + MU[0] * self.uni(w)) / (self.n[0][v] + MU[0]))
         for (u, v, w), c in self.n[2].items():
-            self.fail[u, v] = math.log10(lm_scoring.MU3 / (self.n[1][u, v] + lm_scoring.MU3))
-            self.arcs[(u, v), w] = math.log10((c + lm_scoring.MU3 * 10 ** self.arcs[(v,), w]) / (self.n[1][u, v] + lm_scoring.MU3))
+            self.fail[u, v] = math.log10(MU[1] / (self.n[1][u, v] + MU[1]))
+            self.arcs[(u, v), w] = math.log10((c + MU[1] * 10 ** self.arcs[(v,), w]) / (self.n[1][u, v] + MU[1]))
 
     def step(self, state, w):
         weight = 0.0
@@ -610,12 +613,30 @@ class Automaton:
 def test_language_model(hard, chunk, span):
     """Each score is that of a walk through the explicit automaton, however the corpus is cut."""
     au = Automaton(t for i, t in rows_of(hard) if i is None or i % 4)
-    got = lm_scoring.score(hard, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True)), chunk=chunk, span=span).collect()
+    got = lm_scoring.score(hard, F.coalesce(F.col("doc_id") % 4 != 0, F.lit(True)), mu=MU, chunk=chunk, span=span).collect()
     near = lambda i, n, known, base, score: (i, n, known, float(f"{base:.9g}"), float(f"{score:.9g}"))
     assert Counter(near(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == Counter(near(i, *au.walk(t)) for i, t in rows_of(hard))
     assert {r.train_tokens for r in got} == {au.total} and sum(r.train for r in got) == sum(i is None or i % 4 > 0 for i, _ in rows_of(hard))
 
 
+def test_weights_come_from_training(spark, monkeypatch):
+    """The weights at which leaving one out foresees the singletons; texts outside training change nothing."""
+    rng, seen = random.Random(2), []
+    texts = [prose(rng, rng.randint(5, 60)) for _ in range(120)]
+    keep = lm_scoring.fitted
+    monkeypatch.setattr(lm_scoring, "fitted", lambda contexts, singles: seen.append((contexts, singles)) or keep(contexts, singles))
+    for more in ([], [(1000 + k, prose(rng, 40)) for k in range(30)]):
+        lm_scoring.score(spark.createDataFrame([*enumerate(texts), *more], "doc_id long, text string"), F.col("doc_id") < 1000, chunk=2000, span=500).collect()
+    assert seen[:2] == seen[2:]
+    au = Automaton(texts)
+    for order in (0, 1):
+        contexts, singles = seen[order]
+        assert singles == sum(c == 1 for c in au.n[order + 1].values())
+        assert sum(t for t, _ in contexts) == sum(au.n[order].values()) and sum(n for _, n in contexts) == len(au.n[order])
+        mu = keep(contexts, singles)
+        assert math.isclose(sum(t * mu / (t / n - 1 + mu) for t, n in contexts), singles, rel_tol=1e-6)
+
+
 def test_automaton_is_a_distribution(hard):
     au = Automaton(t for _, t in rows_of(hard))
     states = [(b"\n",), (b"\n", b"the"), (b"never", b"seen"), *list(au.fail)[:20], *list(au.fail)[-20:]]
