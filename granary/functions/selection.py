@@ -2,8 +2,8 @@
 
 A double's bits, with those of negative numbers turned around, order as the numbers do. Each scan looks at the next 16 of
 the 64 bits, only in rows that agree with a wanted rank on the bits before, and counts; after four scans a rank's value is
-known. A scan moves counts only: at most 65,536 for each group and wanted prefix, and that
-many reach the driver. All groups, the whole, and all shares are settled together.
+known. A scan moves counts only: at most 65,536 for each group and wanted prefix, and that many reach the driver. All groups,
+the whole, and all shares are settled together.
 """
 
 from __future__ import annotations
@@ -90,5 +90,5 @@ def select_quantiles(df: DataFrame, value: Column, shares: list[float], group: C
     out = {}
     for g, at in places.items():
         x = {rank: _value(head) for rank, (head, _) in state[g].items()}
-        out[g] = [x[math.floor(p)] + (x[math.ceil(p)] - x[math.floor(p)]) * (p - math.floor(p)) for p in at]
+        out[g] = [x[a] if (a := math.floor(p)) == p else x[a] + (x[a + 1] - x[a]) * (p - a) for p in at]
     return out

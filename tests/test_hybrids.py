@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from granary.operators import components as C
 from granary.operators import hybrids as H
 from granary.operators.components import components
 from granary.plans import registry
@@ -24,7 +25,9 @@ def roots(edges):
     return {x: find(x) for e in edges for x in e}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [10**6, 0, 1200])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(C, "SMALL", small)
     rng = random.Random(3)
     edges = [(0, x) for x in range(10, 1500)] + [(5000, x) for x in range(1490, 2500)] + [(x, x + 1) for x in range(7000, 7040)] + [(1, 1)]
     edges += [(9000 + 2 * x, 9001 + 2 * x) for x in range(50)] + [(7, 7040)]
@@ -33,6 +36,8 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len(want) and {r.node: r.root for r in got} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    text = [(f"n{a}", f"n{b}") for a, b in edges[-40:]]
+    assert {r.node: r.root for r in components(spark.createDataFrame(text, "a string, b string")).collect()} == roots(text)
 
 
 @pytest.mark.parametrize("mode", ["distance", "similarity"])
