@@ -78,7 +78,7 @@ def test_params(tmp_path):
 
 
 def test_registry():
-    assert len(registry.KINDS["reduce"]) == 8 and len(registry.KINDS["split"]) == 13
+    assert len(registry.KINDS["reduce"]) == 8 and len(registry.KINDS["split"]) == 16
     assert registry.defaults("split", "random") == {"test_size": 0.2, "val_size": 0.0, "seed": 13}
     with pytest.raises(ValueError):
         registry.build("reduce", "exact", {"x": 1})
