@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,132 @@ def alike_sets(tokens: DataFrame, threshold: float) -> DataFrame:
     return out.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("c"), "score", "shared")
 
 
+#: Rows, and bits of their sketches, that one task of the grid reads from either side.
+SKETCH_ROWS, SKETCH_BITS = 16384, 1 << 27
+
+
+def parity_sketch(sequence: str, k: int, bits: int):
+    """(n, words): the number of distinct k-mers, and for each of at least `bits` times n bins, a power of two, whether an odd
+    number of k-mers falls into it. Half as many bins are the XOR of both halves."""
+    import numpy as np
+
+    code = np.frombuffer(sequence.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    width = min(k, len(code))
+    h = np.full(max(1, len(code) - width + 1), width, dtype=np.uint64)
+    for j in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + len(h)]
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = np.unique(h ^ (h >> np.uint64(32)))
+    bins = 1 << max(6, math.ceil(math.log2(bits * len(h))))
+    odd = np.bincount((h & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return len(h), np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(words, bins: int):
+    """Sketches (rows of bytes) of more bins as those of `bins`."""
+    while words.shape[1] * 8 > bins:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def alike_sequences(df: DataFrame, k: int, id_col: str, seq_col: str, threshold: float) -> DataFrame:
+    """alike_sets() of the k-mers of sequences, for thresholds at which little may differ. No k-mer becomes a row.
+
+    A k-mer that one set has and the other has not changes one bit of a parity sketch, so sketches differ in no more bits than
+    sets in k-mers; a pair with Jaccard >= t differs in (1-t)/(1+t) of both sizes at most. Sketches, of two to four bits a
+    k-mer, meet in grids of tasks within classes of like sizes; only pairs that pass have their sequences compared. A sketch
+    goes to as many tasks as its class has parts, and memory is that of two parts. All pairs of like sizes meet, so the
+    work is quadratic, at a few dozen words a pair.
+    """
+    t, least = float(threshold), 1e-9
+    kind = dict(df.dtypes)[id_col]
+    step = math.log(1 / t) if t < 1 else 1e-6
+
+    def draw(batches) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                made = [parity_sketch(s, k, 2) for s in batch.column(1).slice(at, 256).to_pylist()]
+                n = [x for x, _ in made]
+                size = [math.floor(math.log(x) / step + least) for x in n]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array([w.tobytes() for _, w in made], pa.binary())], ["id", "n", "size", "bits"])
+
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("sequence"))).mapInArrow(draw, f"id {kind}, n int, size long, bits binary")
+    rows = materialize(rows, "sketches")
+    room = F.least(F.lit(SKETCH_ROWS), F.greatest(F.lit(64), F.lit(SKETCH_BITS) / (8 * F.max(F.octet_length("bits")))))
+    parts = materialize(rows.groupBy("size").agg(F.ceil(F.count("*") / room).cast("long").alias("parts")), "sketch-parts")
+    beside = lambda name, by: parts.select((F.col("size") + by).alias("size"), F.col("parts").alias(name))
+    cut = rows.join(parts.join(beside("after", -1), "size", "left").join(beside("before", 1), "size", "left"), "size")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    key = lambda size, near, a, b, right: F.struct(size.alias("s"), F.lit(near).alias("near"), a.alias("a"), b.alias("b"), right.alias("right"))
+    every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    size, part, no, yes = F.col("size"), F.col("part"), F.lit(False), F.lit(True)
+    met = F.concat(
+        F.transform(every("parts"), lambda q: key(size, 0, F.least(part, q), F.greatest(part, q), part > q)),
+        F.transform(every("after"), lambda q: key(size, 1, part, q, no)),
+        F.transform(every("before"), lambda q: key(size - 1, 1, q, part, yes)),
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        table = pa.Table.from_batches(list(batches)).sort_by([("n", "ascending"), ("id", "ascending")])
+        if not table.num_rows:
+            return
+        right, raw = table.column("right").to_numpy(), table.column("bits").to_pylist()
+        own = table.column("near")[0].as_py() == 0 and table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        bins = 8 * min(map(len, raw))
+        words = np.empty((len(raw), bins // 64), dtype=np.uint64)
+        for w in {len(x) for x in raw}:
+            at = [i for i, x in enumerate(raw) if len(x) == w]
+            for some in range(0, len(at), 1024):
+                block = np.frombuffer(b"".join(raw[i] for i in at[some : some + 1024]), dtype=np.uint8).reshape(-1, w)
+                words[at[some : some + 1024]] = np.ascontiguousarray(folded(block, bins)).view(np.uint64)
+        del raw
+        ids, n = table.column("id").combine_chunks(), table.column("n").to_numpy().astype(np.int64)
+        xs = np.arange(len(n)) if own else np.flatnonzero(~right)
+        ys = xs if own else np.flatnonzero(right)
+        of_y, n_y = words[ys], n[ys]
+        first = max(1, words.shape[1] // 2)  # most pairs differ in too many bits of the first half
+        for i, x in enumerate(xs):
+            low, high = np.searchsorted(n_y, [t * n[x] - least, n[x] / t + least])
+            low = max(low, i + 1) if own else low
+            if low >= high:
+                continue
+            limit = np.floor((1 - t) / (1 + t) * (n[x] + n_y[low:high]) + 1e-6)
+            apart = np.bitwise_count(of_y[low:high, :first] ^ words[x, :first]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(apart <= limit)
+            if len(near) and first < words.shape[1]:
+                apart = apart[near] + np.bitwise_count(of_y[low + near, first:] ^ words[x, first:]).sum(1, dtype=np.int64)
+                near = near[apart <= limit[near]]
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.repeat(ids[x], len(near)), ids.take(pa.array(ys[low + near]))], ["x", "y"])
+
+    grid = cut.select(F.explode(met).alias("k"), "id", "n", "bits").select("k.*", "id", "n", "bits")
+    pairs = materialize(grid.groupBy("s", "near", "a", "b").applyInArrow(compare, f"x {kind}, y {kind}"), "sketch-pairs")
+    whole = lambda name: df.select(F.col(id_col).alias(name), F.col(seq_col).alias(f"s_{name}"))
+
+    def share(batches) -> Iterator:
+        for batch in batches:
+            shared, score = [], []
+            seen: dict = {}
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                for s in (x, y):
+                    if s not in seen:
+                        if len(seen) > 64:
+                            seen.clear()
+                        seen[s] = kmer_set(s, k)
+                a, b = seen.get(x) or kmer_set(x, k), seen[y]
+                shared.append(len(a & b))
+                score.append(shared[-1] / (len(a) + len(b) - shared[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score, pa.float64()), pa.array(shared, pa.int32())], ["x", "y", "score", "shared"])
+
+    both = pairs.join(whole("x"), "x").join(whole("y"), "y").select("x", "y", "s_x", "s_y")
+    out = both.mapInArrow(share, f"x {kind}, y {kind}, score double, shared int").where((F.col("shared") > 0) & (F.col("score") >= t))
+    return out.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("c"), "score", "shared")
+
+
 def identity_column(a: Column, b: Column) -> Column:
     """positional_identity as a column expression."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 1).otherwise(0))

@@ -207,7 +207,10 @@ class _Tokens(Reducer):
         return chosen.select(F.col("id").alias("removed"), F.col("b.rep").alias("representative"), F.col("b.score").alias("score"))
 
     def candidates(self, first: DataFrame, k: int, threshold: float) -> DataFrame:
-        """(p, c, score, shared): classes that share a k-mer and have Jaccard >= threshold, p < c."""
+        """(p, c, score, shared): classes that share a k-mer and have Jaccard >= threshold, p < c. Rare k-mers find them at low
+        thresholds, sketches of whole sets at high ones; both are exact."""
+        if threshold >= 0.5:
+            return S.alike_sequences(first, k, "cls", "sequence", threshold)
         return S.alike_sets(S.kmers(first, k, "cls", "sequence"), threshold)
 
 

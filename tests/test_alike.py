@@ -44,6 +44,27 @@ def test_alike_sets(spark, monkeypatch, threshold, margin, rows):
     assert all(abs(r.score - S.jaccard(sets[r.p], sets[r.c])) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("threshold,rows", [(0.5, 16384), (0.7, 16384), (0.7, 7), (0.95, 3), (1.0, 16384)])
+def test_alike_sequences(spark, monkeypatch, threshold, rows):
+    """Sketches lose no pair, whatever the parts; sets of one k-mer, of short sequences and beyond the BMP too."""
+    monkeypatch.setattr(S, "SKETCH_ROWS", rows)
+    monkeypatch.setattr(S, "SKETCH_BITS", 1 << 40)
+    seqs = sequences(160, 3) + ["a", "ab", "aaaaaa", "aaaaaaa", "\U0001f600é漢字xyzxyzq", "\U0001f600é漢字xyzxyzqx"]
+    seqs += ["".join(random.Random(i).choice("ACGT") for _ in range(3000)) + "T" * i for i in (1, 1, 2, 2)]
+    sets = [S.kmer_set(s, 3) for s in seqs]
+    want = {(i, j): len(sets[i] & sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] & sets[j] and S.jaccard(sets[i], sets[j]) >= threshold}
+    got = S.alike_sequences(spark.createDataFrame(list(enumerate(seqs)), "id long, sequence string"), 3, "id", "sequence", threshold).collect()
+    assert {(r.p, r.c): r.shared for r in got} == want and len(got) == len(want)
+    assert all(abs(r.score - S.jaccard(sets[r.p], sets[r.c])) < 1e-12 for r in got)
+
+
+def test_documents_make_no_row_for_each_kmer(spark, monkeypatch):
+    """Whole texts are sketched: no table of k-mers is written at the threshold of documents."""
+    monkeypatch.setattr(S, "kmers", lambda *a: pytest.fail("a row for each k-mer"))
+    df = spark.createDataFrame([(1, "the quick brown fox " * 9), (2, "the quick brown fox " * 9 + "j"), (3, "jumps over")], "id long, sequence string")
+    assert sorted(r.id for r in R.KmerJaccard(threshold=0.7).run(df).kept.collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("small", [10**6, 0])
 def test_kept_in_buckets(spark, monkeypatch, small):
     monkeypatch.setattr(greedy, "SMALL", small)
