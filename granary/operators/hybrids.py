@@ -20,6 +20,7 @@ class StructureAware(Splitter):
 
     Components, in a seeded order, are laid end to end by their rows; the part in which a component's middle lies gets it. So
     a part's size is off by less than half of each of the two components at its ends. Rows without edges are components.
+    A component may be so large that nothing is left for a part: that is an error, unless allow_empty.
     """
 
     edges: DataFrame | None = None
@@ -31,6 +32,7 @@ class StructureAware(Splitter):
     id1_col: str = "id1"
     id2_col: str = "id2"
     value_col: str = "distance"
+    allow_empty: bool = False
     name = "structure_aware"
     unit = "structure_component"
 
@@ -59,7 +61,7 @@ class StructureAware(Splitter):
         part = F.when(middle <= 2 * n_train, "train").when(middle <= 2 * (n_train + n_val), "val").otherwise("test")
         cut = materialize(laid.select("__u", part.alias("split")), "unit-parts")
         parts = {r.split for r in cut.select("split").distinct().collect()}
-        if missing := {"train", "test", *(["val"] if self.val_size else [])} - parts:
+        if (missing := {"train", "test", *(["val"] if self.val_size else [])} - parts) and not self.allow_empty:
             raise ValueError(f"components are too large: nothing is left for {sorted(missing)}")
         out = df.join(units.join(cut, "__u"), F.col(f"`{cols.id}`") == F.col("__i")).drop("__i").withColumnRenamed("__u", self.unit)
         return SplitResult(out, self.name, self.params(), groups=(self.unit,))

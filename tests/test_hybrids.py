@@ -57,6 +57,15 @@ def test_structure_aware(spark, mode):
     assert {r.id: r.split for r in H.StructureAware(edges=spark.createDataFrame(edges, "id1 string, id2 string, distance double"), mode=mode, threshold=0.5, test_size=0.25, val_size=0.1).run(df).assigned.collect()} == part
 
 
+def test_structure_aware_with_an_empty_part(spark):
+    """One component of nearly all rows: the split is still made where that is allowed, every row with its component."""
+    df = spark.createDataFrame([(i,) for i in range(12)], "id long")
+    chain = spark.createDataFrame([(i, i + 1, 0.1) for i in range(9)], "id1 long, id2 long, distance double")
+    got = H.StructureAware(edges=chain, val_size=0.1, allow_empty=True).run(df).assigned.collect()
+    assert sorted(r.id for r in got) == list(range(12)) and {r.structure_component for r in got} == {0, 10, 11}
+    assert len({r.split for r in got if r.id < 10}) == 1 and len({r.split for r in got}) < 3
+
+
 def test_structure_aware_errors(spark):
     df = spark.createDataFrame([(i,) for i in range(10)], "id long")
     chain = spark.createDataFrame([(i, i + 1, 0.1) for i in range(9)], "id1 long, id2 long, distance double")
