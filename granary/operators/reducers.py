@@ -318,6 +318,43 @@ class MinhashJaccard(_Tokens):
         return self.finish(rows, scored.select("p", "c", "score", F.lit(0).alias("shared")), F.lit(0), "score")
 
 
+#: Rows of the first block of vectors; each further block has BLOCK_GROWTH - 1 times the rows before it.
+FIRST_BLOCK, BLOCK_GROWTH = 4096, 8
+
+
+def _greedy_vectors(first: DataFrame, threshold: float, metric: str) -> DataFrame:
+    """(removed, representative, score) for rows (cls, v), block by block in id order.
+
+    A block's rows first meet the kept rows of the blocks before it, which are all that decide on them; what that leaves is
+    compared with itself. The rows kept so far are few where rows resemble each other, and where they don't there are few
+    pairs. So the pairs of alike rows, whose number grows as the square of the rows, are made in the first block only, and
+    elsewhere no row is sent to more tasks than kept rows have parts.
+    """
+    space = N.Space(first, "cls", "v", N._radius(threshold, metric))
+    if not space.n:
+        return first.sparkSession.createDataFrame([], f"removed {space.kind}, representative {space.kind}, score double")
+    ends, at = [], FIRST_BLOCK
+    while at < space.n:
+        ends.append(at)
+        at *= BLOCK_GROWTH
+    bounds = [r.id for r in O.order_rank(space.rows.select("id"), F.col("id"), name="__r").where(F.col("__r").isin(ends)).select("id").orderBy("id").collect()] if ends else []
+    out = kept = None
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        rest = space.rows.where(F.lit(True) if low is None else F.col("id") > F.lit(low)).where(F.lit(True) if high is None else F.col("id") <= F.lit(high))
+        if kept is not None:
+            gone = N.first_alike(space, kept, rest, threshold, metric)
+            gone = materialize(gone.select(F.col("c").alias("removed"), F.col("p").alias("representative"), "score"), "removed-by-earlier")
+            out = gone if out is None else out.unionByName(gone)
+            rest = materialize(rest.join(gone.select(F.col("removed").alias("id")), "id", "left_anti").select(*space.rows.columns), "block-rest")
+        links = N.close_rows(space, rest, threshold, metric)
+        gone = materialize(resolve(links.select(F.col("a").alias("p"), F.col("b").alias("c"), "score", F.lit(0).alias("shared"))), "removed-in-block")
+        out = gone if out is None else out.unionByName(gone)
+        if high is not None:
+            stay = rest.join(gone.select(F.col("removed").alias("id")), "id", "left_anti").select(*space.rows.columns)
+            kept = materialize(stay if kept is None else kept.unionByName(stay), "kept-vectors")
+    return out
+
+
 def _resolve_vectors(rows: DataFrame, threshold: float, metric: str) -> DataFrame:
     """(removed, representative, score) for rows (id, v) in id order. Equal vectors are one class, named by its smallest id,
     and classes are compared: a copy goes to what keeps its first copy's place. Zero vectors resemble nothing by cosine, not
@@ -325,8 +362,7 @@ def _resolve_vectors(rows: DataFrame, threshold: float, metric: str) -> DataFram
     own = F.exists("v", lambda x: x != 0) if metric == "cosine" else F.lit(True)
     first = rows.where(own).groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
     first = materialize(first.unionByName(rows.where(~own).select("v", F.col("id").alias("cls"), F.lit(1).cast("long").alias("n"))), "vector-classes")
-    links = N.close_pairs(first, "cls", "v", threshold, metric)
-    found = resolve(links.select(F.col("a").alias("p"), F.col("b").alias("c"), "score", F.lit(0).alias("shared")))
+    found = _greedy_vectors(first, threshold, metric)
     # only copies are looked up by their vectors
     many = first.where("n > 1").select("v", "cls")
     copies = rows.join(many, "v").where("id <> cls").select("id", "cls")
