@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordering as O
 from ..storage import materialize
 
 #: Edges that one task may finish; the number is counted before.
@@ -30,14 +31,49 @@ def _finish(pdf):
     return pd.DataFrame({"node": pd.Series(sorted(removed), dtype=pdf["c"].dtype)})
 
 
+def _prefix(ends: DataFrame, most: int):
+    """The last row c of the longest prefix with at most `most` edges among rows (c, n, __r), looked for by halving ranks; None
+    if the first row has more."""
+    low, high = 0, ends.count()
+    while low < high:
+        middle = (low + high + 1) // 2
+        if (ends.where(F.col("__r") <= middle).agg(F.sum("n")).first()[0] or 0) <= most:
+            low = middle
+        else:
+            high = middle - 1
+    return ends.where(F.col("__r") == low).first()["c"] if low else None
+
+
 def removed_rows(edges: DataFrame) -> DataFrame:
-    """(node) of the rows that are not kept, for edges (p, c) in which p precedes c."""
-    left = materialize(edges.select("p", "c").distinct(), "greedy-edges")
-    kind, out = dict(left.dtypes)["c"], None
+    """(node) of the rows that are not kept, for edges (p, c) in which p precedes c. edges: a table, which is read several
+    times; parallel edges do no harm.
+
+    First a prefix of the rows, so short that a task can finish its edges, is settled: what it keeps removes most rows where
+    there are many edges, and few edges are ever shuffled. What is left goes on in rounds.
+    """
+    left = edges.select("p", "c")
+    kind, out, n = dict(left.dtypes)["c"], None, left.count()
+    finish = lambda df: df.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_finish, f"node {kind}")
+    if n > SMALL:
+        ends = left.groupBy("c").agg(F.count("*").alias("n"))
+        ends = materialize(O.order_rank(ends, F.col("c"), name="__r"), "greedy-nodes")
+        end = _prefix(ends, SMALL)
+        if end is not None:
+            inside = materialize(finish(left.where(F.col("c") <= F.lit(end))), "greedy-prefix")
+            early = left.where(F.col("p") <= F.lit(end)).where(F.col("c") > F.lit(end))
+            kept = early.select("p").distinct().join(inside, F.col("p") == F.col("node"), "left_anti")
+            # all kept rows of the prefix, found where they have later neighbours
+            gone = materialize(early.join(materialize(kept, "greedy-kept"), "p", "left_semi").select(F.col("c").alias("node")).distinct(), "greedy-removed")
+            out = inside.unionByName(gone)
+            later = left.where(F.col("p") > F.lit(end))
+            stay = later.select("p").distinct().unionByName(later.select(F.col("c").alias("p"))).distinct().join(gone, F.col("p") == F.col("node"), "left_anti")
+            stay = materialize(stay, "greedy-stay")
+            left = later.join(stay, "p", "left_semi").join(stay.withColumnRenamed("p", "c"), "c", "left_semi")
+        left = materialize(left.select("p", "c").distinct(), "greedy-edges")
     while True:
         n = left.count()
         if n <= SMALL:
-            last = left.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_finish, f"node {kind}")
+            last = finish(left)
             return last if out is None else out.unionByName(last)
         free = left.select(F.col("p").alias("free")).distinct().join(left.select(F.col("c").alias("free")).distinct(), "free", "left_anti")
         gone = materialize(left.join(free, F.col("p") == F.col("free"), "left_semi").select(F.col("c").alias("node")).distinct(), "greedy-removed")

@@ -144,10 +144,18 @@ class Reducer:
 def resolve(edges: DataFrame, best: str = "earliest") -> DataFrame:
     """(removed, representative, score) from edges (p, c, score, shared): the kept neighbour that `best` names."""
     edges = materialize(edges, "edges")
-    gone = materialize(removed_rows(edges), "removed")
-    kept = edges.join(gone.select(F.col("node").alias("c")), "c", "left_semi").join(gone.select(F.col("node").alias("p")), "p", "left_anti")
+    gone = removed_rows(edges)
     order = {"earliest": F.struct("p", "score"), "shared": F.struct((-F.col("shared")).alias("o"), "p", "score"), "score": F.struct((-F.col("score")).alias("o"), "p", "score")}[best]
-    return kept.groupBy("c").agg(F.min(order).alias("b")).select(F.col("c").alias("removed"), F.col("b.p").alias("representative"), F.col("b.score").alias("score"))
+    return _representatives(edges, gone, order)
+
+
+def _representatives(edges: DataFrame, gone: DataFrame, order: Column) -> DataFrame:
+    """(removed, representative, score) of the removed rows (node): of edges (p, c, score) with a kept p the first in order. A row
+    with such an edge is a removed one."""
+    gone = materialize(gone, "removed")
+    kept = materialize(edges.select("p").distinct().join(gone, F.col("p") == F.col("node"), "left_anti"), "kept")
+    best = edges.join(kept, "p", "left_semi").groupBy("c").agg(F.min(order).alias("b"))
+    return best.select(F.col("c").alias("removed"), F.col("b.p").alias("representative"), F.col("b.score").alias("score"))
 
 
 def check_sequences(df: DataFrame, seq_col: str) -> None:
@@ -488,10 +496,12 @@ class StructuralDistance(Reducer):
         e = self.edges.select(F.col(f"`{self.id1_col}`").cast(kind).alias("x"), F.col(f"`{self.id2_col}`").cast(kind).alias("y"), F.col(f"`{self.value_col}`").cast("double").alias("score"))
         e = e.where((F.col("score") <= self.threshold) if near else (F.col("score") >= self.threshold)).where("x <> y")
         e = e.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("c"), "score")
-        e = e.groupBy("p", "c").agg((F.min if near else F.max)("score").alias("score"))
-        ids = df.select(F.col(f"`{cols.id}`").alias("i"))
-        e = e.join(ids.withColumnRenamed("i", "p"), "p", "left_semi").join(ids.withColumnRenamed("i", "c"), "c", "left_semi")
-        return resolve(e.withColumn("shared", F.lit(0)))
+        e = materialize(e, "listed-edges")  # no edge is shuffled: its ends are looked up once, and parallel ones are told apart at the end
+        ends = e.select(F.col("p").alias("i")).distinct().unionByName(e.select(F.col("c").alias("i")).distinct()).distinct()
+        outside = materialize(ends.join(df.select(F.col(f"`{cols.id}`").alias("i")), "i", "left_anti"), "outside")
+        if not outside.isEmpty():
+            e = materialize(e.join(outside.withColumnRenamed("i", "p"), "p", "left_anti").join(outside.withColumnRenamed("i", "c"), "c", "left_anti"), "edges")
+        return _representatives(e, removed_rows(e), F.struct("p", (F.col("score") if near else -F.col("score")).alias("o"), "score"))
 
 
 @dataclass

@@ -107,6 +107,28 @@ def test_rounds_agree_with_the_sequential_end(spark, monkeypatch):
     assert {r.node for r in greedy.removed_rows(edges).collect()} == one
 
 
+def test_dense_edges_are_settled_by_a_prefix(spark, monkeypatch):
+    """Of 300 rows of which any two are alike by a fifth, a prefix leaves few edges for rounds; parallel edges and rows that the
+    table lacks change nothing."""
+    monkeypatch.setattr(greedy, "SMALL", 400)
+    rng = random.Random(8)
+    pairs = [(p, c) for p in range(300) for c in range(p + 1, 300) if rng.random() < 0.2]
+    listed = [(p, c, 0.25) for p, c in pairs] + [(c, p, 0.125) for p, c in pairs[::3]] + [(-1, c, 0.0) for c in range(300)]
+    written, materialize = [], greedy.materialize
+    monkeypatch.setattr(greedy, "materialize", lambda df, label: (written.append((label, (t := materialize(df, label)).count())), t)[1])
+    got = R.StructuralDistance(edges=spark.createDataFrame(listed, "id1 long, id2 long, distance double")).run(spark.range(300)).mapping.collect()
+    near, half = set(pairs), set(pairs[::3])
+    kept, want = [], {}
+    for c in range(300):
+        p = next((p for p in kept if (p, c) in near), None)
+        if p is None:
+            kept.append(c)
+        else:
+            want[str(c)] = (str(p), 0.125 if (p, c) in half else 0.25)
+    assert {r.removed_id: (r.representative_id, r.score) for r in got} == want and len(got) == len(want)
+    assert sum(n for label, n in written if label == "greedy-edges") < len(pairs) / 10
+
+
 def test_exact_counts(peptides):
     assert R.Exact().run(peptides).stats() == {"n_total": 60, "n_kept": 55, "n_removed": 5, "reduction_ratio": 55 / 60}
 
