@@ -21,7 +21,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(EPS)))
+    """Each component over the norm, which is reckoned once."""
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / F.greatest(n, F.lit(EPS))))[0]
 
 
 def euclidean(a: Column, b: Column) -> Column:
