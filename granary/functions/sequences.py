@@ -312,56 +312,158 @@ def token_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
 
 
-def _least(a, b, h, x, y):
-    """The least (a h + b) mod PRIME over h for each a and b, in the buffers x and y.
+def _values(a, b, h):
+    """(a h + b) mod PRIME: a row for each hash, a column for each function.
 
     Of a number below 2**62 the bits beyond the 31st are added to the others, and PRIME is taken off twice where that is
     possible: in unsigned numbers the smaller of y and y - PRIME, as the latter wraps around below zero.
     """
     import numpy as np
 
-    x, y = x[:, : len(h)], y[:, : len(h)]
-    np.multiply(a, h[None, :], out=x)
-    np.add(x, b, out=x)
-    np.right_shift(x, np.uint64(31), out=y)
-    np.bitwise_and(x, np.uint64(PRIME), out=x)
-    np.add(x, y, out=x)
+    x = h[:, None] * a + b
+    y = x >> np.uint64(31)
+    x &= np.uint64(PRIME)
+    x += y
     for _ in range(2):
         np.subtract(x, np.uint64(PRIME), out=y)
         np.minimum(x, y, out=x)
-    return x.min(axis=1)
+    return x.astype(np.uint32)
+
+
+#: Values of functions that a task keeps (64 MB), k-mers whose hashes it keeps, and rows of values that are compared at once.
+KEPT_VALUES, KEPT_HASHES, PIECE = 1 << 24, 1 << 19, 128
+
+
+class _Signer:
+    """Signatures of sequences. A text shares most k-mers with those before it: of the first KEPT_VALUES / seeds k-mers the
+    values of all functions are kept, and a signature is the least of its k-mers' rows; of the first KEPT_HASHES the hash is
+    kept. For other k-mers both are reckoned anew, so what is kept doesn't change the result.
+
+    K-mers are numbers of as many bits for a letter as fit 63; letters are numbered as they come, and k-mers are looked up by
+    linear probing. Sequences with letters beyond those, or shorter than k, have their k-mers cut as text.
+    """
+
+    def __init__(self, k: int, seeds: int, seed: int):
+        import numpy as np
+
+        self.k, self.bits, self.known, self.letters = k, 63 // k, 0, 1
+        self.a, self.b = (np.array(x, dtype=np.uint64)[None, :] for x in zip(*permutations(seeds, seed)))
+        self.letter = np.zeros(0x110000, dtype=np.int64)
+        self.code = np.zeros(1 << min(self.bits, 16), dtype=np.uint32)
+        self.table = np.empty((max(1, min(KEPT_HASHES, KEPT_VALUES // seeds)), seeds), dtype=np.uint32)
+        self.hashes = np.empty(KEPT_HASHES, dtype=np.uint64)
+        size = 4 * KEPT_HASHES
+        self.slots, self.number, self.shift = np.zeros(size, dtype=np.int64), np.empty(size, dtype=np.int32), np.uint64(64 - size.bit_length() + 1)
+
+    def keys(self, sequence: str):
+        """The distinct k-mers as numbers; None if they have to be cut as text."""
+        import numpy as np
+
+        code = np.frombuffer(sequence.encode("utf-32-le"), dtype=np.uint32)
+        if len(code) < self.k:
+            return None
+        found = self.letter[code]
+        if not found.all():
+            new = np.unique(code[found == 0])[: len(self.code) - self.letters]
+            self.code[self.letters : self.letters + len(new)] = new
+            self.letter[new] = range(self.letters, self.letters + len(new))
+            self.letters += len(new)
+            found = self.letter[code]
+            if not found.all():
+                return None
+        n = len(code) - self.k + 1
+        key = found[:n].copy()
+        for j in range(1, self.k):
+            key <<= self.bits
+            key |= found[j : j + n]
+        key.sort()
+        return key[np.append(True, key[1:] != key[:-1])]
+
+    def _texts(self, keys) -> list[str]:
+        import numpy as np
+
+        at = keys[:, None] >> (self.bits * np.arange(self.k - 1, -1, -1)) & ((1 << self.bits) - 1)
+        text = self.code[at].tobytes().decode("utf-32-le")
+        return [text[i : i + self.k] for i in range(0, len(text), self.k)]
+
+    def _start(self, keys):
+        import numpy as np
+
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys):
+        """The numbers of k-mers, in the order in which they were kept; -1 for those that are not."""
+        import numpy as np
+
+        at, out, todo = self._start(keys), np.full(len(keys), -1, dtype=np.int32), np.arange(len(keys))
+        while len(todo):
+            held = self.slots[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.number[at[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+            at[todo] = (at[todo] + 1) % len(self.slots)
+        return out
+
+    def keep(self, keys, hashes) -> None:
+        """Number k-mers that are not kept yet, as far as there is room."""
+        import numpy as np
+
+        keys = keys[: KEPT_HASHES - self.known]
+        at, todo = self._start(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[at[todo]] == 0]
+            self.slots[at[free]] = keys[free]
+            won = self.slots[at[todo]] == keys[todo]
+            self.number[at[todo[won]]] = self.known + todo[won]
+            todo = todo[~won]
+            at[todo] = (at[todo] + 1) % len(self.slots)
+        self.hashes[self.known : self.known + len(keys)] = hashes[: len(keys)]
+        first = self.table[self.known : self.known + len(keys)]
+        for piece in range(0, len(first), PIECE):
+            first[piece : piece + PIECE] = _values(self.a, self.b, hashes[piece : min(piece + PIECE, len(first))])
+        self.known += len(keys)
+
+    def _hashed(self, texts):
+        import numpy as np
+
+        return np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % PRIME for t in texts], dtype=np.uint64)
+
+    def sign(self, sequence: str):
+        import numpy as np
+
+        keys, least = self.keys(sequence), np.full(self.table.shape[1], PRIME, dtype=np.uint32)
+        if keys is None:
+            rest = self._hashed(kmer_set(sequence, self.k))
+        else:
+            at = self.find(keys)
+            new = keys[at < 0]
+            hashes = self._hashed(self._texts(new))
+            held = at[(at >= 0) & (at < len(self.table))]
+            for piece in range(0, len(held), PIECE):
+                np.minimum(least, self.table.take(held[piece : piece + PIECE], axis=0).min(axis=0), out=least)
+            rest = np.concatenate([hashes, self.hashes[at[at >= len(self.table)]]])
+            if self.known < KEPT_HASHES:
+                self.keep(new, hashes)
+        for piece in range(0, len(rest), PIECE):
+            np.minimum(least, _values(self.a, self.b, rest[piece : piece + PIECE]).min(axis=0), out=least)
+        return least
 
 
 def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, seed: int) -> DataFrame:
     """(id, sig): for each of `seeds` hash functions the smallest value over a sequence's k-mers.
 
-    A sequence's hashes are one array in the Arrow batch that holds it, so one row goes out for each sequence. Token hashes
-    are those of token_hash(); a worker keeps those of up to a million k-mers. Memory is bounded: k-mers go in pieces.
+    One row goes out for each sequence. Token hashes are those of token_hash(). Memory is bounded: a task keeps KEPT_VALUES
+    values and KEPT_HASHES hashes, and k-mers go in pieces.
     """
-    drawn = permutations(seeds, seed)
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        a, b = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*drawn))
-        x, y = (np.empty((seeds, 256), dtype=np.uint64) for _ in range(2))
-        known: dict[str, int] = {}
-        md5 = hashlib.md5
+        signer = _Signer(k, seeds, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out = []
-                for s in batch.column(1).slice(at, 256).to_pylist():
-                    found = kmer_set(s, k)
-                    if len(known) + len(found) > 1_000_000:
-                        known.clear()
-                    for t in [t for t in found if t not in known]:
-                        known[t] = int.from_bytes(md5(t.encode()).digest()[:4], "big") % PRIME
-                    h = np.fromiter((known[t] for t in found), dtype=np.uint64, count=len(found))
-                    least = np.full(seeds, PRIME, dtype=np.uint64)
-                    for piece in range(0, len(h), 256):
-                        np.minimum(least, _least(a, b, h[piece : piece + 256], x, y), out=least)
-                    out.append(least)
+                out = [signer.sign(s) for s in batch.column(1).slice(at, 256).to_pylist()]
                 sig = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * seeds, pa.array(np.concatenate(out).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), sig], ["id", "sig"])
 

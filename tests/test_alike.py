@@ -97,6 +97,23 @@ def test_signatures(spark):
         assert r.sig == [min((a * h + b) % S.PRIME for h in hashes) for a, b in perms]
 
 
+@pytest.mark.parametrize("values,hashes,letters", [(1 << 12, 1 << 10, 1 << 12), (64, 128, 1 << 12), (1 << 12, 0, 1 << 12), (1 << 12, 1 << 10, 20)])
+def test_kept_values_change_no_signature(monkeypatch, values, hashes, letters):
+    """With room for all k-mers, for some, for none, and with letters beyond those numbered; what is kept is not reckoned anew."""
+    monkeypatch.setattr(S, "KEPT_VALUES", values)
+    monkeypatch.setattr(S, "KEPT_HASHES", max(hashes, 1))
+    made, reckon = [], S._values
+    monkeypatch.setattr(S, "_values", lambda a, b, h: (made.append(len(h)), reckon(a, b, h))[1])
+    perms, signer = S.permutations(4, 3), S._Signer(5, 4, 3)
+    signer.code = signer.code[:letters]
+    for seq in sequences(12, 5) + ["", "a", "é漢字 text", "abcde", "the quick brown fox " * 3, "the lazy dog and the quick brown fox"]:
+        want = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % S.PRIME for t in S.kmer_set(seq, 5)]
+        for _ in range(2):
+            made.clear()
+            assert signer.sign(seq).tolist() == [min((a * h + b) % S.PRIME for h in want) for a, b in perms]
+        assert values < 1 << 12 or hashes < 1 << 10 or letters == 20 or len(seq) < 5 or not sum(made)
+
+
 @pytest.mark.parametrize("verify", [False, True])
 def test_minhash_model(spark, verify):
     """Kept rows, representatives and scores as one row after the other would give."""
