@@ -296,13 +296,16 @@ class MinhashJaccard(_Tokens):
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
         rows, first = self.classes(df, cols)
-        signed = materialize(S.signatures(first, self.k, "cls", "sequence", self.num_perm, self.seed), "signatures")
+        signed = S.signatures(first, self.k, "cls", "sequence", self.num_perm, self.seed)
+        signed = materialize(signed.select("id", F.col("sig").cast("array<int>").alias("sig")), "signatures")  # values are below 2**31
         b, r = (1, self.num_perm) if self.threshold >= 1 else S.bands(self.threshold, self.num_perm)
         keys = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.struct(i.alias("band"), F.slice("sig", i * r + 1, F.lit(r)).alias("part")))
         entries = signed.select(F.explode(keys).alias("bucket"), "id")
         if self.verify:
             return self._verified(rows, signed, entries)
-        entries = materialize(entries.select(F.concat(F.col("bucket.band").cast("string"), F.lit(":"), F.sha2(F.to_json("bucket.part"), 256)).alias("bucket"), "id"), "bands")
+        # 128 bits of a digest name a bucket
+        digest = F.sha2(F.concat(F.col("bucket.band").cast("string"), F.lit(":"), F.to_json("bucket.part")), 256)
+        entries = materialize(entries.select(F.substring(F.unhex(digest), 1, 16).alias("bucket"), "id"), "bands")
         kept = materialize(kept_in_buckets(entries), "class-kept")
         # a bucket's kept row, if it has one, is its only one
         of = entries.join(kept, "id", "left_semi")
