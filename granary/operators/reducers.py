@@ -329,41 +329,60 @@ class MinhashJaccard(_Tokens):
         return self.finish(rows, scored.select("p", "c", "score", F.lit(0).alias("shared")), F.lit(0), "score")
 
 
-#: Rows of the first block of vectors; each further block has BLOCK_GROWTH - 1 times the rows before it.
+#: Rows of the first block of vectors; a further block has BLOCK_GROWTH times those of the one before at most. A block makes about
+#: as many pairs as all rows of the first could (or one for each row of the table), or has no more rows than the first.
 FIRST_BLOCK, BLOCK_GROWTH = 4096, 8
 
 
+def _block_end(rest: DataFrame, n: int, rows: float, most: int, threshold: float, metric: str):
+    """The last id of the next block of n rows (id, v): about `rows` rows and `most` pairs at most, or FIRST_BLOCK rows; None if all
+    rows are one block. Both are reckoned on a sample of N.SAMPLE rows, of a shorter part of the rows if few of it fit."""
+    import numpy as np
+
+    last = None
+    while True:
+        sample = rest.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(N.SAMPLE).orderBy("id").collect()
+        m, each, before = np.array([r.v for r in sample], dtype=np.float64), n / len(sample), np.zeros(len(sample))
+        for i, j, _ in N._scores(m, m, threshold, metric):
+            np.add.at(before, i[j < i], 1)
+        # no pair in a sample may still be a few
+        pairs, taken = (before.cumsum() + 3) * each**2, (np.arange(len(sample)) + 1) * each
+        fit = int(((taken <= FIRST_BLOCK) | (pairs <= most) & (taken <= rows)).sum())
+        if fit == len(sample):
+            return last
+        if fit >= 64 or each == 1:
+            return sample[max(fit, 1) - 1].id
+        last = sample[len(sample) // 16].id
+        rest = rest.where(F.col("id") <= F.lit(last))
+        n = rest.count()
+
+
 def _greedy_vectors(first: DataFrame, threshold: float, metric: str) -> DataFrame:
     """(removed, representative, score) for rows (cls, v), block by block in id order.
 
-    A block's rows first meet the kept rows of the blocks before it, which are all that decide on them; what that leaves is
-    compared with itself. The rows kept so far are few where rows resemble each other, and where they don't there are few
-    pairs. So the pairs of alike rows, whose number grows as the square of the rows, are made in the first block only, and
-    elsewhere no row is sent to more tasks than kept rows have parts.
+    A block is compared with itself; then the rows that it keeps meet all later ones that are left, and what resembles them
+    goes. So a block holds no row that an earlier one decides on. Blocks are cut where they would make many pairs, whatever
+    order the rows come in: where later rows resemble each other but no earlier row, too, pairs don't grow as the square of
+    the rows. No row is sent to more tasks than the other side has parts.
     """
     space = N.Space(first, "cls", "v", N._radius(threshold, metric))
-    if not space.n:
-        return first.sparkSession.createDataFrame([], f"removed {space.kind}, representative {space.kind}, score double")
-    ends, at = [], FIRST_BLOCK
-    while at < space.n:
-        ends.append(at)
-        at *= BLOCK_GROWTH
-    bounds = [r.id for r in O.order_rank(space.rows.select("id"), F.col("id"), name="__r").where(F.col("__r").isin(ends)).select("id").orderBy("id").collect()] if ends else []
-    out = kept = None
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        rest = space.rows.where(F.lit(True) if low is None else F.col("id") > F.lit(low)).where(F.lit(True) if high is None else F.col("id") <= F.lit(high))
-        if kept is not None:
-            gone = N.first_alike(space, kept, rest, threshold, metric)
-            gone = materialize(gone.select(F.col("c").alias("removed"), F.col("p").alias("representative"), "score"), "removed-by-earlier")
-            out = gone if out is None else out.unionByName(gone)
-            rest = materialize(rest.join(gone.select(F.col("removed").alias("id")), "id", "left_anti").select(*space.rows.columns), "block-rest")
-        links = N.close_rows(space, rest, threshold, metric)
+    out, rest, n, rows = None, space.rows, space.n, FIRST_BLOCK
+    while n:
+        end = _block_end(rest, n, rows, max(FIRST_BLOCK**2 // 2, space.n), threshold, metric)
+        block = rest if end is None else rest.where(F.col("id") <= F.lit(end))
+        links = N.close_rows(space, block, threshold, metric)
         gone = materialize(resolve(links.select(F.col("a").alias("p"), F.col("b").alias("c"), "score", F.lit(0).alias("shared"))), "removed-in-block")
         out = gone if out is None else out.unionByName(gone)
-        if high is not None:
-            stay = rest.join(gone.select(F.col("removed").alias("id")), "id", "left_anti").select(*space.rows.columns)
-            kept = materialize(stay if kept is None else kept.unionByName(stay), "kept-vectors")
-    return out
+        if end is None:
+            break
+        kept = materialize(block.join(gone.select(F.col("removed").alias("id")), "id", "left_anti").select(*space.rows.columns), "kept-vectors")
+        later = rest.where(F.col("id") > F.lit(end))
+        near = N.first_alike(space, kept, later, threshold, metric)
+        near = materialize(near.select(F.col("c").alias("removed"), F.col("p").alias("representative"), "score"), "removed-by-earlier")
+        out = out.unionByName(near)
+        rest = materialize(later.join(near.select(F.col("removed").alias("id")), "id", "left_anti").select(*space.rows.columns), "block-rest")
+        n, rows = rest.count(), rows * BLOCK_GROWTH
+    return first.sparkSession.createDataFrame([], f"removed {space.kind}, representative {space.kind}, score double") if out is None else out
 
 
 def _resolve_vectors(rows: DataFrame, threshold: float, metric: str) -> DataFrame:
