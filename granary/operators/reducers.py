@@ -1,7 +1,8 @@
 """Redundancy reduction: eight strategies, each an edge builder and a rule for the representative.
 
 Every strategy takes rows in id order, keeps a row unless an earlier kept row resembles it, and maps each removed row to
-one kept row. Ties go to the smaller id. Null ids or sequences are refused; so are repeated ids.
+one kept row. Ties go to the smaller id. Null ids or sequences are refused; so are repeated ids. A strategy takes null and
+blank sequences where it is told to (allow_blank).
 """
 
 from __future__ import annotations
@@ -190,11 +191,14 @@ class Exact(Reducer):
 class _Tokens(Reducer):
     """Strategies on sequences: equal sequences are one class, named by its smallest id, and classes are compared."""
 
-    def classes(self, df: DataFrame, cols: Columns) -> tuple[DataFrame, DataFrame]:
-        check_sequences(df, cols.sequence)
+    def classes(self, df: DataFrame, cols: Columns, blank: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(id, cls) of all rows and (sequence, cls) of the classes. blank: null, empty and 'nan' sequences are no errors; null
+        ones are one class."""
+        if not blank:
+            check_sequences(df, cols.sequence)
         rows = df.select(F.col(f"`{cols.id}`").alias("id"), F.col(f"`{cols.sequence}`").cast("string").alias("sequence"))
         first = materialize(rows.groupBy("sequence").agg(F.min("id").alias("cls")), "sequence-classes")
-        digest = F.sha2("sequence", 256).alias("h")  # texts meet where they are grouped; digests go back to the rows
+        digest = F.coalesce(F.sha2("sequence", 256), F.lit("")).alias("h")  # texts meet where they are grouped; digests go back to the rows
         return materialize(rows.select("id", digest).join(first.select(digest, "cls"), "h").select("id", "cls"), "sequence-rows"), first
 
     def finish(self, rows: DataFrame, links: DataFrame, alone: Column, best: str, gone: DataFrame | None = None) -> DataFrame:
@@ -227,11 +231,13 @@ class KmerJaccard(_Tokens):
     """k-mer sets that share a k-mer and have Jaccard >= threshold; the representative shares most k-mers.
 
     Candidates are never capped: a max_candidates is refused, as it would make results depend on the order of work.
+    allow_blank takes null, empty and 'nan' sequences: null ones are copies of each other and share no k-mer with others.
     """
 
     threshold: float = 0.7
     k: int = 5
     max_candidates: int | None = None
+    allow_blank: bool = False
     name, prefix, cluster_column = "kmer_jaccard", "kmer", "kmer_cluster_id"
 
     def validate(self) -> None:
@@ -241,9 +247,9 @@ class KmerJaccard(_Tokens):
             raise ValueError("candidates are never capped here: leave max_candidates unset")
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
-        rows, first = self.classes(df, cols)
+        rows, first = self.classes(df, cols, self.allow_blank)
         # a class shares all its k-mers with itself, more than with any other
-        return self.finish(rows, self.candidates(first, self.k, self.threshold), F.lit(1 << 30), "shared")
+        return self.finish(rows, self.candidates(first.where("sequence is not null"), self.k, self.threshold), F.lit(1 << 30), "shared")
 
 
 @dataclass

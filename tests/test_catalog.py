@@ -41,3 +41,29 @@ def test_query_equals_sql(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "cluster_id"]
+
+
+def odd_documents(spark, path):
+    """Documents with near and exact copies, and null, empty, blank and 'nan' texts; as a query's folder and as rows."""
+    import random
+
+    rng = random.Random(4)
+    words = [" ".join(rng.choice(["here", "there", "other", "and", "ines", "tion"]) for _ in range(30)) for _ in range(6)]
+    texts = [None, "", "nan", *words, None, "", "NaN", " ", "abc", *(w + "s" for w in words), "nan", None, words[0], "", "\n"]
+    rows = [(100 + i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path), rows
+
+
+def test_kmer_documents_without_text(spark, tmp_path):
+    """Null, empty and 'nan' texts are no errors; null ones are one class."""
+    from granary.functions import sequences as S
+
+    path, rows = odd_documents(spark, tmp_path)
+    kept = []
+    for i, text, *_ in rows:
+        if not any(t == text if None in (t, text) else S.jaccard(S.kmer_set(t, 5), S.kmer_set(text, 5)) >= 0.7 for _, t in kept):
+            kept.append((i, text))
+    got = catalog.QUERIES["reduce_kmer_jaccard_documents"](spark, path).collect()
+    assert sorted(map(tuple, got)) == [(i, f"kmer:{i}") for i, _ in kept]
+    assert {None, "", "nan", "NaN", " "} <= {t for _, t in kept} and len(kept) < len(rows) - 6
