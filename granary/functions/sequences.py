@@ -450,7 +450,7 @@ class _Signer:
 
 
 def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, seed: int) -> DataFrame:
-    """(id, sig): for each of `seeds` hash functions the smallest value over a sequence's k-mers.
+    """(id, sig): for each of `seeds` hash functions the smallest value over a sequence's k-mers; null for null sequences.
 
     One row goes out for each sequence. Token hashes are those of token_hash(). Memory is bounded: a task keeps KEPT_VALUES
     values and KEPT_HASHES hashes, and k-mers go in pieces.
@@ -463,8 +463,10 @@ def signatures(df: DataFrame, k: int, id_col: str, seq_col: str, seeds: int, see
         signer = _Signer(k, seeds, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out = [signer.sign(s) for s in batch.column(1).slice(at, 256).to_pylist()]
-                sig = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * seeds, pa.array(np.concatenate(out).astype(np.int64)))
+                some = batch.column(1).slice(at, 256).to_pylist()
+                out = [signer.sign(s or "") for s in some]
+                none = np.repeat([s is None for s in some], seeds)
+                sig = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * seeds, pa.array(np.concatenate(out).astype(np.int64), mask=none))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), sig], ["id", "sig"])
 
     kind = dict(df.dtypes)[id_col]

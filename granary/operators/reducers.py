@@ -1,8 +1,8 @@
 """Redundancy reduction: eight strategies, each an edge builder and a rule for the representative.
 
 Every strategy takes rows in id order, keeps a row unless an earlier kept row resembles it, and maps each removed row to
-one kept row. Ties go to the smaller id. Null ids or sequences are refused; so are repeated ids. A strategy takes null and
-blank sequences where it is told to (allow_blank).
+one kept row. Ties go to the smaller id. Null ids or sequences are refused; so are repeated ids. Two strategies take null and
+blank sequences where they are told to (allow_blank).
 """
 
 from __future__ import annotations
@@ -285,7 +285,8 @@ class IdentityGreedy(_Tokens):
 class MinhashJaccard(_Tokens):
     """MinHash signatures that meet in a band; the representative has the highest estimated Jaccard.
 
-    verify drops pairs whose estimate is below the threshold; at threshold 1 whole signatures must agree.
+    verify drops pairs whose estimate is below the threshold; at threshold 1 whole signatures must agree. allow_blank takes
+    null, empty and 'nan' sequences: null ones are copies of each other and resemble no others.
     """
 
     threshold: float = 0.7
@@ -293,6 +294,7 @@ class MinhashJaccard(_Tokens):
     num_perm: int = 128
     seed: int = 42
     verify: bool = False
+    allow_blank: bool = False
     name, prefix, cluster_column = "minhash_jaccard", "minhash", "minhash_cluster_id"
 
     def validate(self) -> None:
@@ -301,7 +303,7 @@ class MinhashJaccard(_Tokens):
         _at_least("num_perm", self.num_perm, 2)
 
     def pairs(self, df: DataFrame, cols: Columns) -> DataFrame:
-        rows, first = self.classes(df, cols)
+        rows, first = self.classes(df, cols, self.allow_blank)
         signed = S.signatures(first, self.k, "cls", "sequence", self.num_perm, self.seed)
         signed = materialize(signed.select("id", F.col("sig").cast("array<int>").alias("sig")), "signatures")  # values are below 2**31
         b, r = (1, self.num_perm) if self.threshold >= 1 else S.bands(self.threshold, self.num_perm)

@@ -67,3 +67,16 @@ def test_kmer_documents_without_text(spark, tmp_path):
     got = catalog.QUERIES["reduce_kmer_jaccard_documents"](spark, path).collect()
     assert sorted(map(tuple, got)) == [(i, f"kmer:{i}") for i, _ in kept]
     assert {None, "", "nan", "NaN", " "} <= {t for _, t in kept} and len(kept) < len(rows) - 6
+
+
+@pytest.mark.parametrize("name", ["reduce_minhash_jaccard", "minhash_signatures"])
+def test_minhash_documents_without_text(spark, tmp_path, name):
+    """Null, empty and 'nan' texts are what the SQL makes of them."""
+    duckdb = pytest.importorskip("duckdb")
+    path, _ = odd_documents(spark, tmp_path)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, path)
+    want = con.sql(catalog.SQL[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert same(df.select(want.columns).collect()) == same(want.fetchall()) != []
